@@ -7,11 +7,16 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from formsift.schema import GAP
 
-PAIRS = "array<struct<reference:string,predicted:string,position:int>>"
+PAIR = T.StructType([
+    T.StructField("reference", T.StringType()),
+    T.StructField("predicted", T.StringType()),
+    T.StructField("position", T.IntegerType()),
+])
 
 
 def align(reference: str, predicted: str) -> list[tuple[str, str, int]]:
@@ -44,7 +49,7 @@ def align(reference: str, predicted: str) -> list[tuple[str, str, int]]:
     return pairs[::-1]
 
 
-@F.pandas_udf(PAIRS)
+@F.pandas_udf(T.ArrayType(PAIR))
 def align_pairs(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series([
         [{"reference": r, "predicted": p, "position": n} for r, p, n in align(a, b)]
@@ -52,7 +57,7 @@ def align_pairs(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     ])
 
 
-@udtf(returnType="reference: string, predicted: string, position: int")
+@udtf(returnType=PAIR)
 class AlignDigits:
     """``LATERAL align_digits(ref, pred)``: one row per aligned position."""
 
@@ -60,7 +65,7 @@ class AlignDigits:
         yield from align(reference or "", predicted or "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(value: pd.Series, candidate: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two normalised words; meant for distinct pairs."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(value, candidate)])

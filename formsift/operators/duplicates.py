@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from formsift import schema as S
 from formsift.functions import dates, text
 from formsift.operators.ranking import BUCKET_WIDTH, count_earlier
+from formsift.operators.stages import computed
+from formsift.session import settled
 
 # Header fragments (normalised) that decide a column's role, in order.
 SNILS_PARTS = ["снилс"]
@@ -86,6 +88,44 @@ def _repeated(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return by_snils, by_pair.filter("_n > 1 AND birth <> ''").drop("_n"), by_name
 
 
+def _earlier_matches(members: DataFrame, width: int) -> DataFrame:
+    """Earlier matches per record and reason; a pair with equal numbers counts as that only.
+
+    Every record enters the groupings it belongs to: by number, name, name+birth, and the last
+    two once more together with the number. All of them are counted in one pass.
+    """
+    none = F.lit(None).cast("string")
+    name = F.when(F.col("name") != "", F.col("name"))
+    birth = F.when(F.col("birth") != "", F.col("birth"))
+    snils = F.col("snils")
+
+    def grouping(level: str, s: Column, n: Column, b: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), s.alias("ks"), n.alias("kn"), b.alias("kb"))
+
+    entries = members.select("doc_id", (F.col("birth") == "").alias("blank"), F.inline(F.array(
+        F.when(snils.isNotNull(), grouping("snils", snils, none, none)),
+        F.when(name.isNotNull(), grouping("name", none, name, none)),
+        F.when(name.isNotNull() & snils.isNotNull(), grouping("name_snils", snils, name, none)),
+        F.when(name.isNotNull() & birth.isNotNull(), grouping("pair", none, name, birth)),
+        F.when(
+            name.isNotNull() & birth.isNotNull() & snils.isNotNull(),
+            grouping("pair_snils", snils, name, birth),
+        ),
+    ))).filter("level IS NOT NULL")
+    counted = count_earlier(entries, ["level", "ks", "kn", "kb"], "doc_id", "blank", width)
+
+    def total(level: str, plus: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("level") == level, plus)), F.lit(0))
+
+    # A record without birth date matches every earlier namesake, others the undated ones.
+    namesakes = F.when(F.col("blank"), F.col("earlier")).otherwise(F.col("earlier_flagged"))
+    return counted.groupBy("doc_id").agg(
+        total("snils", F.col("earlier")).alias("n_snils"),
+        (total("pair", F.col("earlier")) - total("pair_snils", F.col("earlier"))).alias("n_name_birth"),
+        (total("name", namesakes) - total("name_snils", namesakes)).alias("n_name"),
+    )
+
+
 def batch_duplicates(keys: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     """Records with at least one earlier match: counts per reason and the earliest match.
 
@@ -93,38 +133,16 @@ def batch_duplicates(keys: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     that gives the batch order.
     """
     by_snils, by_pair, by_name = _repeated(keys)
-    members = (
+    members = settled(
         keys.join(by_snils, "snils", "left")
         .join(by_pair, ["name", "birth"], "left")
         .join(by_name, "name", "left")
         .filter("first_snils IS NOT NULL OR first_name IS NOT NULL")
+        .drop("filename"),
+        "duplicate-members",
     )
+    counted = members.join(_earlier_matches(members, width), "doc_id")
     blank = F.col("birth") == ""
-    anyone, blank_row = F.lit(True), blank
-    counted = count_earlier(members, "doc_id", {
-        "same_snils": (["snils"], anyone),
-        "same_name": (["name"], anyone),
-        "same_name_blank": (["name"], blank_row),
-        "same_name_snils": (["name", "snils"], anyone),
-        "same_name_snils_blank": (["name", "snils"], blank_row),
-        "same_pair": (["name", "birth"], anyone),
-        "same_pair_snils": (["name", "birth", "snils"], anyone),
-    }, width)
-    has_snils = F.col("snils").isNotNull()
-    named = F.col("name") != ""
-
-    def without_snils_pairs(total: str, shared: str) -> Column:
-        return F.col(total) - F.when(has_snils, F.col(shared)).otherwise(0)
-
-    counts = {
-        "n_snils": F.when(has_snils, F.col("same_snils")).otherwise(0),
-        "n_name_birth": F.when(
-            named & ~blank, without_snils_pairs("same_pair", "same_pair_snils")
-        ).otherwise(0),
-        "n_name": F.when(named & blank, without_snils_pairs("same_name", "same_name_snils"))
-        .when(named, without_snils_pairs("same_name_blank", "same_name_snils_blank"))
-        .otherwise(0),
-    }
 
     def if_earlier(first: Column) -> Column:
         return F.when(first.doc_id < F.col("doc_id"), first)
@@ -141,10 +159,10 @@ def batch_duplicates(keys: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
         .otherwise(S.REASON_NAME)
     )
     return (
-        counted.withColumns({**counts, **firsts})
+        computed(counted, firsts)
         .filter("n_snils + n_name_birth + n_name > 0")
         .select(
-            "doc_id", *[F.col(n).cast("long").alias(n) for n in counts],
+            "doc_id", "n_snils", "n_name_birth", "n_name",
             first.doc_id.alias("first_index"), first.filename.alias("duplicate_of"),
             reason.alias("first_reason"),
         )

@@ -7,6 +7,8 @@ that is ``w`` times smaller, carry the running offsets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,29 +22,37 @@ def _before_bucket(totals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def count_earlier(
-    df: DataFrame, order: str, counts: dict[str, tuple[list[str], Column]],
-    width: int = BUCKET_WIDTH,
+    entries: DataFrame, keys: list[str], order: str, flag: str, width: int = BUCKET_WIDTH
 ) -> DataFrame:
-    """Add, per name in ``counts``, how many rows with a smaller ``order`` share the keys.
+    """Add ``earlier`` and ``earlier_flagged``: rows with the same keys and a smaller ``order``.
 
-    ``counts`` maps a new column to (key columns, condition a counted row must meet). Entries
-    whose keys start with the same column share one shuffle of the rows.
+    ``order`` is unique within a key. One shuffle of the rows by (keys, bucket) serves the
+    window and the join with the running totals.
     """
-    names = list(df.columns)
-    out = df.withColumn("_bucket", F.floor(F.col(order) / width))
-    source = out
-    for name, (keys, condition) in counts.items():
-        hit = F.when(condition, 1).otherwise(0)
-        window = (
-            Window.partitionBy(*keys, "_bucket").orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        totals = source.groupBy(*keys, "_bucket").agg(F.sum(hit).alias("_n"))
-        out = out.withColumn("_local", F.coalesce(F.sum(hit).over(window), F.lit(0)))
-        out = out.join(_before_bucket(totals, keys), [*keys, "_bucket"], "left").withColumn(
-            name, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))
-        ).drop("_local", "_before")
-    return out.select(*names, *counts)
+    rows = entries.withColumn("_bucket", F.floor(F.col(order) / width))
+    hit = F.when(F.col(flag), 1).otherwise(0)
+    before_row = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before_bucket = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum(hit).alias("_h"))
+    running = totals.withColumns({
+        "_all": F.sum("_n").over(before_bucket), "_flagged": F.sum("_h").over(before_bucket),
+    }).filter("_all > 0").drop("_n", "_h")
+    # Keys are null where a grouping does not use them, so they are compared null-safe.
+    b = running.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_bucket")]
+    local = {
+        "_local": F.coalesce(F.count("*").over(before_row), F.lit(0)),
+        "_local_flagged": F.coalesce(F.sum(hit).over(before_row), F.lit(0)),
+    }
+    joined = rows.withColumns(local).alias("a").join(b, reduce(lambda x, y: x & y, same), "left")
+    zero = F.lit(0)
+    return joined.select(
+        *[F.col(f"a.{n}") for n in entries.columns],
+        (F.col("_local") + F.coalesce("_all", zero)).alias("earlier"),
+        (F.col("_local_flagged") + F.coalesce("_flagged", zero)).alias("earlier_flagged"),
+    )
 
 
 def number_rows(

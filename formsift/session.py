@@ -63,3 +63,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several branches read to the shared folder, and read it back.
+
+    The branches then start from files that outlive any executor, instead of repeating the
+    work above them.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -277,6 +277,7 @@ def check_sql(body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return opening + ",\n".join(parts) + ",\n" + body[len(opening):]
     return "WITH " + ",\n".join(parts) + "\n" + body
