@@ -18,8 +18,11 @@ FIO_CATEGORIES = ["surnames", "first_names", "patronymics"]
 
 
 def default_entries(spark: SparkSession) -> DataFrame:
-    rows = [(category, value) for category, values in S.DICTIONARY_DEFAULTS.items() for value in values]
-    return spark.createDataFrame(rows, "category string, value string")
+    rows = [
+        F.struct(F.lit(category).alias("category"), F.lit(value).alias("value"))
+        for category, values in S.DICTIONARY_DEFAULTS.items() for value in values
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def known_category(category: Column) -> Column:

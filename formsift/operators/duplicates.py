@@ -183,57 +183,59 @@ def originals(keys: DataFrame, key: str) -> DataFrame:
     return keys.join(firsts, key, "inner").select("doc_id", key, "original")
 
 
-def journal_duplicates(incoming: DataFrame, journal: DataFrame) -> DataFrame:
+def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bool = False) -> DataFrame:
     """Incoming records with a match in the journal: counts per reason and the first row.
 
     The journal is reduced to one row per key before any join, so a key that fills a third of
-    either side costs one match per incoming record.
+    either side costs one match per incoming record. A match by name alone needs an incoming
+    record without birth date; ``undated_rows`` also lets journal rows without one match, the
+    rule inside a batch.
     """
-    named = journal.filter("name <> ''")
-    finest = named.groupBy("name", "birth", "snils").agg(
+    finest = journal.filter("name <> ''").groupBy("name", "birth", "snils").agg(
         F.count("*").alias("_n"), F.min("doc_id").alias("_first")
     )
+    undated = F.when(F.col("birth") == "", F.col("_n"))
+    undated_first = F.when(F.col("birth") == "", F.col("_first"))
 
-    def rolled(keys: list[str], tag: str, rows: DataFrame = finest) -> DataFrame:
-        return rows.groupBy(*keys).agg(
-            F.sum("_n").alias(f"n_{tag}"), F.min("_first").alias(f"first_{tag}")
+    def rolled(keys: list[str], tag: str) -> DataFrame:
+        return finest.filter(f"{keys[-1]} IS NOT NULL").groupBy(*keys).agg(
+            F.sum("_n").alias(f"n_{tag}"), F.min("_first").alias(f"first_{tag}"),
+            F.sum(undated).alias(f"undated_{tag}"), F.min(undated_first).alias(f"undated_first_{tag}"),
         )
 
-    numbered = finest.filter("snils IS NOT NULL")
     by_snils = journal.filter("snils IS NOT NULL").groupBy("snils").agg(
         F.count("*").alias("n_s"), F.min("doc_id").alias("first_s")
     )
     joined = (
         incoming.join(by_snils, "snils", "left")
-        .join(rolled(["name"], "name_all"), "name", "left")
+        .join(rolled(["name"], "name"), "name", "left")
         .join(rolled(["name", "birth"], "pair"), ["name", "birth"], "left")
-        .join(rolled(["name", "snils"], "name_s", numbered), ["name", "snils"], "left")
-        .join(numbered.select(
-            "name", "birth", "snils", F.col("_n").alias("n_pair_s")
-        ), ["name", "birth", "snils"], "left")
+        .join(rolled(["name", "snils"], "name_s"), ["name", "snils"], "left")
+        .join(rolled(["name", "birth", "snils"], "pair_s"), ["name", "birth", "snils"], "left")
     )
     blank = F.col("birth") == ""
 
     def n(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0))
 
-    counts = {
+    by_undated = n("undated_name") - n("undated_name_s") if undated_rows else F.lit(0)
+    first_undated = F.col("undated_first_name") if undated_rows else F.lit(None).cast("long")
+    counts = computed(joined, {
         "n_snils": n("n_s"),
         "n_name_birth": F.when(~blank, n("n_pair") - n("n_pair_s")).otherwise(0),
-        "n_name": F.when(blank, n("n_name_all") - n("n_name_s")).otherwise(0),
-    }
-    by_name = F.when(blank, F.col("first_name_all")).otherwise(F.col("first_pair"))
-    first = F.least(F.col("first_s"), by_name)
+        "n_name": F.when(blank, n("n_name") - n("n_name_s")).otherwise(by_undated),
+        "_snils": F.col("first_s"),
+        "_pair": F.when(~blank, F.col("first_pair")),
+        "_name": F.when(blank, F.col("first_name")).otherwise(first_undated),
+    })
+    first = F.least("_snils", "_pair", "_name")
     reason = (
-        F.when(first == F.col("first_s"), S.REASON_SNILS)
-        .when(blank, S.REASON_NAME).otherwise(S.REASON_NAME_BIRTH)
+        F.when(first == F.col("_snils"), S.REASON_SNILS)
+        .when(first == F.col("_pair"), S.REASON_NAME_BIRTH).otherwise(S.REASON_NAME)
     )
-    return (
-        joined.withColumns(counts).filter("n_snils + n_name_birth + n_name > 0")
-        .select(
-            "doc_id", *[F.col(c).cast("long").alias(c) for c in counts],
-            first.alias("first_row"), reason.alias("first_reason"),
-        )
+    return counts.filter("n_snils + n_name_birth + n_name > 0").select(
+        "doc_id", "n_snils", "n_name_birth", "n_name",
+        first.alias("first_row"), reason.alias("first_reason"),
     )
 
 

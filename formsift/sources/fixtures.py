@@ -202,6 +202,22 @@ SELECT event_id AS doc_id,
     ELSE CASE WHEN event_id % 4 = 1 THEN '' ELSE 'no object here' END END AS raw,
   CASE WHEN event_id % 12 = 11 THEN 'so it is ' || body ELSE '' END AS thinking
 FROM (SELECT event_id, '{"child_fio": "' || event_type || '", "phone": "' || CAST(9000000000 + event_id AS string) || '"}' AS body FROM events) s
+""",
+    # A log of confirmed corrections; some rows are incomplete or of an unknown category.
+    "fx_corrections": """
+SELECT doc_id AS seq,
+  split_part('surnames|organizations|surnames|first_names|cities|surnames|patronymics|colours', '|', CAST(doc_id % 8 + 1 AS int)) AS category,
+  CASE WHEN doc_id % 9 = 4 THEN '' ELSE split_part('Бодров|ГУСД|Зодцов|АЛЕКСЕЙ|Липецк,|Добров|Влалимирович|рыжий', '|', CAST(doc_id % 8 + 1 AS int)) END AS wrong,
+  CASE WHEN doc_id % 13 = 6 THEN '  ' WHEN doc_id % 3 = 0 THEN split_part('Бобров|РЖД|Бобров|Алексей|Липецк|Бобров|Владимирович|красный', '|', CAST(doc_id % 8 + 1 AS int))
+       ELSE split_part(' Боброва|МВД|Бобров |Алексей|Липецк|Добров|Владимировна|красный', '|', CAST(doc_id % 8 + 1 AS int)) END AS right_value
+FROM fx_person
+""",
+    # Dictionary entries seen in the data, besides the built-in ones.
+    "fx_entries": """
+SELECT DISTINCT category, value FROM (
+  SELECT split_part('surnames|first_names|patronymics', '|', n) AS category,
+    CASE n WHEN 1 THEN surname WHEN 2 THEN first_name ELSE 'Петровна' END AS value
+  FROM (SELECT *, {rows:1,2,3} AS n FROM fx_person) a) b
 """,
     # Text boxes per page (page = order).
     "fx_detections": """
