@@ -51,12 +51,24 @@ def current_corrections(corrections: DataFrame) -> DataFrame:
 
 
 def new_corrections(existing: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Confirmed pairs to append: complete, and not what the mapping already says."""
+    """Confirmed pairs to append: complete, and not what the mapping already says.
+
+    With a ``seq`` column, a pair that equals the mapping is still kept when an earlier pair of
+    the same table has changed that mapping.
+    """
     pairs = confirmed.withColumns({
         name: text.strip(F.col(name)) for name in ("category", "wrong", "right")
     }).filter("category <> '' AND wrong <> '' AND right <> ''")
     pairs = pairs.withColumn("norm", text.dict_norm(F.col("wrong")))
-    return pairs.join(current_corrections(existing), ["category", "norm", "right"], "left_anti").drop("norm")
+    known = current_corrections(existing).withColumnRenamed("right", "in_force")
+    joined = pairs.join(known, ["category", "norm"], "left")
+    changes = ~F.coalesce(F.col("right") == F.col("in_force"), F.lit(False))
+    if "seq" not in confirmed.columns:
+        return joined.filter(changes).select(*confirmed.columns)
+    first_change = joined.filter(changes).groupBy("category", "norm").agg(F.min("seq").alias("changed_at"))
+    return joined.join(first_change, ["category", "norm"]).filter(
+        changes | (F.col("seq") > F.col("changed_at"))
+    ).select(*confirmed.columns)
 
 
 def learned_pairs(accepted: DataFrame) -> DataFrame:
