@@ -118,30 +118,38 @@ def _recent_failures(attempts: DataFrame, key: str, name: str) -> DataFrame:
 
     Only the last 15 minutes matter, so an hour of attempts plus a copy of the 15 minutes
     before it is enough: windows are per (key, hour) and a busy key is spread over its hours.
+    Each failure adds one when it happens and takes it back when it leaves the window, so
+    every frame only grows and costs one step per row however dense the attempts are.
     """
     span = S.LOCK_WINDOW_SECONDS
     chunk = F.floor(F.col("at_s") / CHUNK_SECONDS)
-    next_start = (chunk + 1) * CHUNK_SECONDS
-    carries = F.col("at_s") > next_start - span
+    carries = F.col("at_s") > (chunk + 1) * CHUNK_SECONDS - span
     copies = attempts.withColumn("chunk", F.explode(
         F.when(carries, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     ))
-    order = Window.partitionBy(key, "chunk").orderBy("at_s")
-    recent = order.rangeBetween(-(span - 1), -1)
-    fail = F.when(F.col("success"), 0).otherwise(1)
-    until_now = F.sum(fail).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    counted = copies.withColumns({
-        "_upto": until_now,
-        "_before": F.coalesce(F.sum(fail).over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_recent": F.coalesce(F.sum(fail).over(recent), F.lit(0)),
-    })
-    # Failures up to the last recent success are forgiven.
-    forgiven = F.max(F.when(F.col("success"), F.col("_upto"))).over(recent)
-    since_success = F.coalesce(F.col("_before") - forgiven, F.col("_recent"))
-    return (
-        counted.withColumn(name, since_success)
-        .filter(F.col("chunk") == chunk).drop("chunk", "_upto", "_before", "_recent")
+    happens = F.struct(F.col("at_s").alias("t"), F.when(F.col("success"), 0).otherwise(1).alias("step"), F.lit(True).alias("real"))
+    leaves = F.struct((F.col("at_s") + span - 1).alias("t"), F.lit(-1).alias("step"), F.lit(False).alias("real"))
+    marks = copies.select(
+        "*", F.inline(F.when(F.col("success"), F.array(happens)).otherwise(F.array(happens, leaves)))
     )
+    order = Window.partitionBy(key, "chunk").orderBy("t")
+    before, upto = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(Window.unboundedPreceding, 0)
+    failed = F.when(F.col("real"), F.col("step")).otherwise(0)
+    works = F.col("real") & F.col("success")
+    zero = F.lit(0)
+    totals = marks.withColumns({
+        "_recent": F.coalesce(F.sum("step").over(before), zero),
+        "_before": F.coalesce(F.sum(failed).over(before), zero),
+        "_upto": F.sum(failed).over(upto),
+        "_last_ok": F.max(F.when(works, F.col("t"))).over(before),
+    })
+    # Failures up to the last success within the window are forgiven.
+    forgiven = F.max(F.when(works, F.col("_upto"))).over(before)
+    counted = totals.withColumn("_forgiven", forgiven).filter("real").filter(F.col("chunk") == chunk)
+    since_success = F.when(
+        F.col("_last_ok") >= F.col("at_s") - (span - 1), F.col("_before") - F.col("_forgiven")
+    ).otherwise(F.col("_recent"))
+    return counted.select(*attempts.columns, since_success.alias(name))
 
 
 def lockout(attempts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from formsift import schema as S
 from formsift.functions import fields, text
 from formsift.functions.align import similarity
+from formsift.session import settled
 
 FIO_CATEGORIES = ["surnames", "first_names", "patronymics"]
 
@@ -137,7 +138,11 @@ def nearest_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def resolve(keys: DataFrame, entries: DataFrame, corrections: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """``category, norm, to, score, source`` for the distinct keys: custom, exact, then nearest."""
+    """``category, norm, to, score, source`` for the distinct keys: custom, exact, then nearest.
+
+    The distinct keys and entries are read by several joins, so both are written once first.
+    """
+    keys, entries = settled(keys, "dictionary-keys"), settled(entries, "dictionary-entries")
     custom = keys.join(
         current_corrections(corrections).withColumnRenamed("right", "to"), ["category", "norm"]
     ).select("category", "norm", "to", F.lit(1.0).alias("score"), F.lit("custom").alias("source"))

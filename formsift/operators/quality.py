@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formsift.functions import fields, metrics, text
 from formsift.functions.align import align_pairs
+from formsift.operators.stages import computed
 from formsift.schema import GAP, MATRIX_SYMBOLS
 
 
@@ -89,7 +90,8 @@ def aligned_digits(eval_fields: DataFrame) -> DataFrame:
         F.length("ref") == F.length("pred"),
         metrics.hamming(F.col("ref"), F.col("pred")) == F.levenshtein("ref", "pred"),
     ).otherwise(False)
-    marked = pairs.withColumn("straight", straight)
+    # Staged, so that the test runs on the distinct pairs and not below the aggregation.
+    marked = computed(pairs, {"straight": straight})
     by_position = F.transform(
         F.split("ref", ""),
         lambda r, i: F.struct(

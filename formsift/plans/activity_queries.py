@@ -80,8 +80,8 @@ def b11_retry_items(spark, sf):
 
 
 @query("c7_valid_accesses", """
-WITH sessions7 AS (SELECT event_id AS token, user_id, epoch(ts) // 1 AS created_s, epoch(ts) // 1 + 86400 * 5 AS expires_s FROM events WHERE event_type = 'signup'),
-accesses AS (SELECT event_id AS id, event_id - event_id % 5 AS token, epoch(ts) // 1 AS at_s FROM events)
+WITH sessions7 AS (SELECT event_id AS token, user_id, epoch_us(ts) // 1000000 AS created_s, epoch_us(ts) // 1000000 + 86400 * 5 AS expires_s FROM events WHERE event_type = 'signup'),
+accesses AS (SELECT event_id AS id, event_id - event_id % 5 AS token, epoch_us(ts) // 1000000 AS at_s FROM events)
 SELECT a.id, a.token, s.user_id FROM accesses a JOIN sessions7 s USING (token) JOIN customer u ON u.c_custkey = s.user_id
 WHERE a.at_s >= s.created_s AND s.expires_s > a.at_s AND u.c_custkey % 17 <> 0""")
 def c7_valid_accesses(spark, sf):

@@ -73,10 +73,10 @@ def i4_sliding_failures(spark, sf):
 
 
 _SESSIONS = """
-WITH accessed AS (SELECT username, epoch(ts) // 1 AS s FROM fx_activity),
+WITH accessed AS (SELECT username, epoch_us(ts) // 1000000 AS s FROM fx_activity),
 marked AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY username ORDER BY s) <= 86399 THEN 0 ELSE 1 END AS starts FROM accessed),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY username ORDER BY s ROWS UNBOUNDED PRECEDING) AS no FROM marked),
-spans AS (SELECT username, make_timestamp(CAST(min(s) AS bigint) * 1000000) AS started, make_timestamp((CAST(max(s) AS bigint) + 86399) * 1000000) AS ended, count(*) AS accesses
+spans AS (SELECT username, make_timestamp(min(s) * 1000000) AS started, make_timestamp((max(s) + 86399) * 1000000) AS ended, count(*) AS accesses
   FROM numbered GROUP BY username, no)
 SELECT * FROM spans"""
 
@@ -86,7 +86,7 @@ def i5_sessions(spark, sf):
     return streams.sessions(_timed(derived(spark, sf, "fx_activity")))
 
 
-@query("i5_stream_sessions", _SESSIONS + " WHERE ended <= (SELECT make_timestamp(CAST(max(s) AS bigint) * 1000000) - INTERVAL 1 HOUR FROM accessed)")
+@query("i5_stream_sessions", _SESSIONS + " WHERE ended <= (SELECT make_timestamp(max(s) * 1000000) - INTERVAL 1 HOUR FROM accessed)")
 def i5_stream_sessions(spark, sf):
     stream = _timed(_stream(spark, sf, "fx_activity", "events"))
     return streams.run_to_table(streams.sessions(stream, "1 hour"), "stream-sessions")

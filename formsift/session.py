@@ -54,6 +54,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/formsift/{purpose}-{uuid.uuid4().hex}"
 
 
+def few_splits(df: DataFrame) -> int:
+    """Partitions to spread a scan over when it has fewer splits than there are cores, else 0.
+
+    Only the plan is looked at. Large tables have more splits than cores and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if df.rdd.getNumPartitions() < cores else 0
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side is small.
 
