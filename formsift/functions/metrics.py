@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from formsift.functions.text import words
+from formsift.functions.text import let, words
 
 
 def _as_character(position: Column) -> Column:
@@ -19,16 +19,19 @@ def cer(reference: Column, predicted: Column) -> Column:
 
 def word_distance(reference: Column, predicted: Column) -> Column:
     """Edit distance over words: each distinct word of the pair becomes one character."""
-    ref, pred = words(reference), words(predicted)
-    seen = F.array_distinct(F.concat(ref, pred))
+    pair = F.struct(words(reference).alias("r"), words(predicted).alias("p"))
 
-    def encoded(w: Column) -> Column:
-        return F.array_join(
-            F.transform(w, lambda x: _as_character(F.array_position(seen, x))), ""
-        )
+    def distance(v: Column) -> Column:
+        def over(seen: Column) -> Column:
+            def encoded(w: Column) -> Column:
+                return F.array_join(F.transform(w, lambda x: _as_character(F.array_position(seen, x))), "")
+
+            return F.levenshtein(encoded(v["r"]), encoded(v["p"]))
+
+        return let(F.array_distinct(F.concat(v["r"], v["p"])), over)
 
     # Equal texts need no encoding at all.
-    return F.when(reference == predicted, 0).otherwise(F.levenshtein(encoded(ref), encoded(pred)))
+    return F.when(reference == predicted, 0).otherwise(let(pair, distance))
 
 
 def wer(reference: Column, predicted: Column) -> Column:

@@ -161,13 +161,14 @@ def resolve(keys: DataFrame, entries: DataFrame, corrections: DataFrame, fuzzy:
 
 
 def fio_tokens(df: DataFrame, value: str = "value") -> DataFrame:
-    """All words of the name fields; the first three have a category."""
+    """Words 1 to 3 of the name fields under their categories."""
     category = F.try_element_at(F.array(*[F.lit(x) for x in FIO_CATEGORIES]), (F.col("pos") + 1).cast("int"))
     return (
         df.filter(F.col("field").isin(S.CHILD_FIO, S.PARENT_FIO))
         .select("doc_id", "field", F.posexplode(text.words(F.col(value))))
         .select("doc_id", "field", F.col("pos").alias("part_no"), F.col("col").alias("word"),
                 category.alias("category"), text.dict_norm(F.col("col")).alias("norm"))
+        .filter("category IS NOT NULL")
     )
 
 
@@ -185,7 +186,7 @@ def text_tokens(df: DataFrame, value: str = "value") -> DataFrame:
 
 def propose(tokens: DataFrame, entries: DataFrame, corrections: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Tokens with ``to, score, source`` where a change applies (null elsewhere)."""
-    keys = tokens.filter("category IS NOT NULL AND norm <> ''").select("category", "norm").distinct()
+    keys = tokens.filter("norm <> ''").select("category", "norm").distinct()
     found = resolve(keys, entries, corrections, fuzzy)
     joined = tokens.join(found, ["category", "norm"], "left")
     applies = (F.col("source") == "custom") | (F.col("to") != F.col("word"))
@@ -203,12 +204,18 @@ def changes(proposed: DataFrame) -> DataFrame:
     )
 
 
-def rebuilt(proposed: DataFrame) -> DataFrame:
-    """Values with at least one changed word, put together again."""
-    part = F.struct("part_no", F.coalesce("to", "word").alias("w"))
-    return (
-        proposed.groupBy("doc_id", "field")
-        .agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count("to").alias("n"))
-        .filter("n > 0")
-        .select("doc_id", "field", F.array_join(F.transform("parts", lambda p: p["w"]), " ").alias("corrected"))
+def rebuilt(records: DataFrame, proposed: DataFrame, value: str = "value") -> DataFrame:
+    """``doc_id, field, corrected`` for the values with at least one changed word.
+
+    Only the changed words are grouped; the texts meet them by (doc_id, field).
+    """
+    entry = F.struct("part_no", "to")
+    patches = proposed.filter("to IS NOT NULL").groupBy("doc_id", "field").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("patch")
+    )
+    patched = F.transform(
+        text.words(F.col(value)), lambda w, i: F.coalesce(F.try_element_at("patch", i), w)
+    )
+    return records.select("doc_id", "field", value).join(patches, ["doc_id", "field"]).select(
+        "doc_id", "field", F.array_join(patched, " ").alias("corrected")
     )

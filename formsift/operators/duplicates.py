@@ -66,6 +66,11 @@ def application_keys(df: DataFrame) -> DataFrame:
     )
 
 
+def _join_key(key: str) -> Column:
+    """The key, or a value of its own for a record without one, so that these do not pile up."""
+    return F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("#"), F.col("doc_id")))
+
+
 def _first(condition: Column | None = None) -> Column:
     member = F.struct("doc_id", "filename")
     return F.min(member if condition is None else F.when(condition, member))
@@ -133,12 +138,13 @@ def batch_duplicates(keys: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     that gives the batch order.
     """
     by_snils, by_pair, by_name = _repeated(keys)
+    spread = keys.withColumns({"_s": _join_key("snils"), "_n": _join_key("name")})
     members = settled(
-        keys.join(by_snils, "snils", "left")
-        .join(by_pair, ["name", "birth"], "left")
-        .join(by_name, "name", "left")
+        spread.join(by_snils.withColumnRenamed("snils", "_s"), "_s", "left")
+        .join(by_pair.withColumnRenamed("name", "_n"), ["_n", "birth"], "left")
+        .join(by_name.withColumnRenamed("name", "_n"), "_n", "left")
         .filter("first_snils IS NOT NULL OR first_name IS NOT NULL")
-        .drop("filename"),
+        .drop("filename", "_s", "_n"),
         "duplicate-members",
     )
     counted = members.join(_earlier_matches(members, width), "doc_id")
@@ -206,13 +212,14 @@ def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bo
     by_snils = journal.filter("snils IS NOT NULL").groupBy("snils").agg(
         F.count("*").alias("n_s"), F.min("doc_id").alias("first_s")
     )
-    joined = (
-        incoming.join(by_snils, "snils", "left")
-        .join(rolled(["name"], "name"), "name", "left")
-        .join(rolled(["name", "birth"], "pair"), ["name", "birth"], "left")
-        .join(rolled(["name", "snils"], "name_s"), ["name", "snils"], "left")
-        .join(rolled(["name", "birth", "snils"], "pair_s"), ["name", "birth", "snils"], "left")
-    )
+    spread = incoming.withColumns({"_s": _join_key("snils"), "_n": _join_key("name")})
+    joined = spread.join(by_snils.withColumnRenamed("snils", "_s"), "_s", "left")
+    for keys, tag in (
+        (["name"], "name"), (["name", "birth"], "pair"),
+        (["name", "snils"], "name_s"), (["name", "birth", "snils"], "pair_s"),
+    ):
+        side = rolled(keys, tag).withColumnsRenamed({"name": "_n", "snils": "_s"})
+        joined = joined.join(side, [{"name": "_n", "snils": "_s"}.get(k, k) for k in keys], "left")
     blank = F.col("birth") == ""
 
     def n(c: str) -> Column:

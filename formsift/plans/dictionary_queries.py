@@ -85,7 +85,7 @@ def a10_new_corrections(spark, sf):
 
 @query("c4_nearest_entry")
 def c4_nearest_entry(spark, sf):
-    tokens = dictionary.fio_tokens(derived(spark, sf, "fx_fields")).filter("category IS NOT NULL")
+    tokens = dictionary.fio_tokens(derived(spark, sf, "fx_fields"))
     keys = tokens.select("category", "norm").distinct()
     best = dictionary.nearest_entries(keys, _entries(spark, sf))
     return best.withColumn("score", F.round("score", 6))
@@ -118,8 +118,9 @@ def l1_exact_name_changes(spark, sf):
 
 @query("l1_suggest_fio")
 def l1_suggest_fio(spark, sf):
-    tokens = dictionary.fio_tokens(derived(spark, sf, "fx_fields"))
-    return dictionary.rebuilt(dictionary.propose(tokens, _entries(spark, sf), _corrections(spark, sf)))
+    records = derived(spark, sf, "fx_fields")
+    proposed = dictionary.propose(dictionary.fio_tokens(records), _entries(spark, sf), _corrections(spark, sf))
+    return dictionary.rebuilt(records, proposed)
 
 
 @query("l2_exact_text_changes", _exact_changes("text_tokens"))
@@ -130,8 +131,9 @@ def l2_exact_text_changes(spark, sf):
 
 @query("l2_correct_texts")
 def l2_correct_texts(spark, sf):
-    tokens = dictionary.text_tokens(derived(spark, sf, "fx_fields"))
-    return dictionary.rebuilt(dictionary.propose(tokens, _entries(spark, sf), _corrections(spark, sf)))
+    records = derived(spark, sf, "fx_fields")
+    proposed = dictionary.propose(dictionary.text_tokens(records), _entries(spark, sf), _corrections(spark, sf))
+    return dictionary.rebuilt(records, proposed)
 
 
 @query("c5_patronymic_match", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import fields, names, text
-from formsift.operators import canon, duplicates
+from formsift.operators import canon, dictionary, duplicates, journal, reconcile, responses
 from formsift.sources.fixtures import derived
 
 
@@ -37,6 +37,46 @@ def finish_records(records: DataFrame) -> DataFrame:
     )
 
 
+def answer_records(answers: DataFrame) -> DataFrame:
+    """Raw model answers ``doc_id, raw, thinking`` to formatted standard fields.
+
+    Documents whose answer cannot be read have no rows here; ``responses.answers_to_fields``
+    reports them.
+    """
+    rows = responses.answers_to_fields(answers).filter("error IS NULL")
+    named = canon.canonical_fields(canon.strip_internal(rows)).filter("value IS NOT NULL")
+    return named.select(
+        "doc_id", "field", fields.auto_format(F.col("field"), F.col("value")).alias("value")
+    )
+
+
+def checked_records(records: DataFrame, entries: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Records with dictionary corrections, formatting and suggestions.
+
+    Address and passport words are replaced, names only get a suggestion that asks for review.
+    ``records``: ``doc_id, field, value, status, verified, alternative``.
+    """
+    texts = dictionary.rebuilt(
+        records, dictionary.propose(dictionary.text_tokens(records), entries, corrections)
+    )
+    corrected = records.join(texts, ["doc_id", "field"], "left").withColumn(
+        "value", F.coalesce("corrected", "value")
+    ).drop("corrected")
+    names_ = dictionary.rebuilt(
+        records, dictionary.propose(dictionary.fio_tokens(records), entries, corrections)
+    ).withColumnRenamed("corrected", "suggestion")
+    return reconcile.attach_suggestions(finish_records(corrected), names_)
+
+
+def batch_journal(records: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Export journal of a batch: ``records`` doc_id, field, value; ``statuses`` doc_id, filename, review_status."""
+    service = statuses.select("doc_id", F.inline(F.array(
+        F.struct(F.lit(S.SOURCE_FILE).alias("field"), F.col("filename").alias("value")),
+        F.struct(F.lit(S.REVIEW_STATUS).alias("field"), F.col("review_status").alias("value")),
+    )))
+    return journal.export_records(records.select("doc_id", "field", "value").unionByName(service))
+
+
 def reviewed_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with duplicate counts and review status."""
     records = derived(spark, sf_dir, "fx_applications")

@@ -8,7 +8,9 @@ from formsift import schema as S
 from formsift.functions import fields
 from formsift.operators import canon, duplicates, journal, ranking
 from formsift.plans import duck as D
-from formsift.plans.flows import reviewed_applications, status_summary
+from formsift.plans.flows import (
+    answer_records, batch_journal, checked_records, reviewed_applications, status_summary,
+)
 from formsift.plans.registry import query
 from formsift.sources.fixtures import derived, table
 
@@ -203,3 +205,36 @@ def d14_journal_summary(spark, sf):
 @query("d14_class_distribution", "SELECT upper(profile) AS class_name, count(*) AS n FROM fx_applications GROUP BY 1")
 def d14_class_distribution(spark, sf):
     return journal.class_distribution(_status_rows(spark, sf), "profile")
+
+
+# --- whole flows --------------------------------------------------------------------------
+
+
+@query("flow_answer_records", f"""
+WITH truth AS (SELECT doc_id, regexp_extract(raw || ' ' || thinking, '"child_fio": "(\\w+)"', 1) AS fio, regexp_extract(raw || ' ' || thinking, '"phone": "(\\d+)', 1) AS phone FROM fx_responses)
+SELECT doc_id, '{S.CHILD_FIO}' AS field, {D.format_fio('fio')} AS value FROM truth WHERE fio <> ''
+UNION ALL SELECT doc_id, '{S.PHONE}', {D.format_phone('phone')} FROM truth WHERE fio <> ''""")
+def flow_answer_records(spark, sf):
+    return answer_records(derived(spark, sf, "fx_responses"))
+
+
+@query("flow_batch_journal", f"""
+WITH {_PAIRS} SELECT a.doc_id, row_number() OVER (ORDER BY a.doc_id) AS "{S.ROW_NUMBER}", {_duck_export()}, a.filename AS "{S.SOURCE_FILE}",
+  CASE WHEN reviewer_confirmed AND f.doc_id IS NOT NULL THEN '{S.STATUS_VERIFIED_DUP}' WHEN reviewer_confirmed THEN '{S.STATUS_VERIFIED}'
+  WHEN f.doc_id IS NOT NULL THEN '{S.STATUS_DUP}' ELSE '{S.STATUS_REVIEW}' END AS "{S.REVIEW_STATUS}"
+FROM fx_applications a LEFT JOIN found f ON a.doc_id = f.doc_id""")
+def flow_batch_journal(spark, sf):
+    formatted = derived(spark, sf, "fx_fields").select(
+        "doc_id", "field", fields.auto_format(c("field"), c("value")).alias("value")
+    )
+    return batch_journal(formatted, reviewed_applications(spark, sf))
+
+
+@query("flow_checked_records")
+def flow_checked_records(spark, sf):
+    from formsift.plans.dictionary_queries import _corrections, _entries
+
+    records = derived(spark, sf, "fx_fields").withColumns(
+        {"verified": c("status") == "read", "alternative": F.lit("")}
+    )
+    return checked_records(records, _entries(spark, sf), _corrections(spark, sf))

@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows up to which a lookup side is broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 100_000
-
 
 def build_session(app: str = "formsift", cpus: int | str = "*", **conf: str) -> SparkSession:
     """Local session for tests and benchmarks; a cluster brings its own."""
@@ -63,17 +58,6 @@ def few_splits(df: DataFrame) -> int:
     return cores if df.rdd.getNumPartitions() < cores else 0
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small.
-
-    The count stops at ``rows + 1``. A larger side is returned without a hint, so the join
-    is shuffled and adaptive execution splits its skewed partitions.
-    """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
-
-
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several branches read to the shared folder, and read it back.
 

@@ -109,10 +109,10 @@ def test_dictionary_rules(spark):
     df = spark.createDataFrame(rows, "doc_id long, field string, value string")
     corrections = spark.createDataFrame([("surnames", "бодров", "Бобров", 1)], "category string, wrong string, right string, seq long")
     entries = dictionary.dictionary_entries(dictionary.default_entries(spark), corrections)
-    fio = dictionary.rebuilt(dictionary.propose(dictionary.fio_tokens(df), entries, corrections))
+    fio = dictionary.rebuilt(df, dictionary.propose(dictionary.fio_tokens(df), entries, corrections))
     assert {(r.doc_id, r.corrected) for r in fio.collect()} == {(1, "Бобров Алексей Владимирович")}
     proposed = dictionary.propose(dictionary.text_tokens(df), entries, corrections)
-    assert {(r.doc_id, r.corrected) for r in dictionary.rebuilt(proposed).collect()} == {(1, "г. Воронеж ул"), (2, "выдан РЖД")}
+    assert {(r.doc_id, r.corrected) for r in dictionary.rebuilt(df, proposed).collect()} == {(1, "г. Воронеж ул"), (2, "выдан РЖД")}
 
 
 def test_corrections_log(spark):
