@@ -187,7 +187,8 @@ def text_tokens(df: DataFrame, value: str = "value") -> DataFrame:
 def propose(tokens: DataFrame, entries: DataFrame, corrections: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Tokens with ``to, score, source`` where a change applies (null elsewhere)."""
     keys = tokens.filter("norm <> ''").select("category", "norm").distinct()
-    found = resolve(keys, entries, corrections, fuzzy)
+    # The answers per distinct word are written too: scoring runs once, whatever reads them.
+    found = settled(resolve(keys, entries, corrections, fuzzy), "dictionary-answers")
     joined = tokens.join(found, ["category", "norm"], "left")
     applies = (F.col("source") == "custom") | (F.col("to") != F.col("word"))
     return joined.select(

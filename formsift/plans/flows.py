@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formsift import schema as S
 from formsift.functions import fields, names, text
 from formsift.operators import canon, dictionary, duplicates, journal, reconcile, responses
+from formsift.session import settled
 from formsift.sources.fixtures import derived
 
 
@@ -21,12 +22,14 @@ def surname_hints(records: DataFrame) -> DataFrame:
     return pair.select("doc_id", F.lit(S.PARENT_FIO).alias("field"), hint.alias("hint")).filter("hint IS NOT NULL")
 
 
-def finish_records(records: DataFrame) -> DataFrame:
+def finish_records(records: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """After reconciliation: compare surnames, then format every value.
 
-    ``records``: ``doc_id, field, value, status, verified, alternative``.
+    ``records``: ``doc_id, field, value, status, verified, alternative``. Pass ``hints`` when
+    they can be read from an earlier table, so that the records are not computed twice.
     """
-    out = records.join(surname_hints(records), ["doc_id", "field"], "left")
+    hints = surname_hints(records) if hints is None else hints
+    out = records.join(hints, ["doc_id", "field"], "left")
     hinted = F.col("hint").isNotNull()
     blank = text.blank_to_empty(F.col("alternative")) == ""
     return out.select(
@@ -56,6 +59,7 @@ def checked_records(records: DataFrame, entries: DataFrame, corrections: DataFra
     Address and passport words are replaced, names only get a suggestion that asks for review.
     ``records``: ``doc_id, field, value, status, verified, alternative``.
     """
+    entries = settled(entries, "dictionary")
     texts = dictionary.rebuilt(
         records, dictionary.propose(dictionary.text_tokens(records), entries, corrections)
     )
@@ -65,7 +69,8 @@ def checked_records(records: DataFrame, entries: DataFrame, corrections: DataFra
     names_ = dictionary.rebuilt(
         records, dictionary.propose(dictionary.fio_tokens(records), entries, corrections)
     ).withColumnRenamed("corrected", "suggestion")
-    return reconcile.attach_suggestions(finish_records(corrected), names_)
+    # The dictionary leaves names alone here, so their hints come from the records as they were.
+    return reconcile.attach_suggestions(finish_records(corrected, surname_hints(records)), names_)
 
 
 def batch_journal(records: DataFrame, statuses: DataFrame) -> DataFrame:
