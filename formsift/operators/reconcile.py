@@ -98,20 +98,28 @@ def with_digit_vote(tallied: DataFrame) -> DataFrame:
         & F.forall(options, lambda o: F.length(o["cmp"]) == length)
     )
 
+    def shown(digits: Column) -> Column:
+        date = F.regexp_replace(digits, r"^(\d{2})(\d{2})(\d{4})\z", "$1.$2.$3")
+        return F.when(F.contains(F.lower(field), F.lit("дата")), date).otherwise(digits)
+
     def outcome(p: Column) -> Column:
         accepted = F.transform(p, lambda x: (x["n"] >= 2) & (2 * x["n"] > F.col("usable")))
         unresolved = F.filter(
             F.transform(accepted, lambda ok, i: F.when(~ok, i + 1)), lambda i: i.isNotNull()
         )
         joined = F.array_join(F.transform(p, lambda x: x["digit"]), "")
-        date = F.regexp_replace(joined, r"^(\d{2})(\d{2})(\d{4})\z", "$1.$2.$3")
-        is_date = F.contains(F.lower(field), F.lit("дата"))
         return F.struct(
             unresolved.alias("unresolved"),
-            F.when(F.size(unresolved) == 0, F.when(is_date, date).otherwise(joined)).alias("digits"),
+            F.when(F.size(unresolved) == 0, shown(joined)).alias("digits"),
         )
 
-    raw = F.when(eligible, let(_positions(options), outcome))
+    # Views that all agree, the usual case, need no count per position.
+    agreed = F.struct(
+        F.array().cast("array<int>").alias("unresolved"), shown(options[0]["cmp"]).alias("digits")
+    )
+    raw = F.when(eligible & (F.size(options) == 1), agreed).when(
+        eligible, let(_positions(options), outcome)
+    )
     voted = computed(tallied, {"raw_vote": raw})
     return computed(voted, {
         "unresolved": F.col("raw_vote.unresolved"),

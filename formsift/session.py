@@ -16,6 +16,8 @@ def build_session(app: str = "formsift", cpus: int | str = "*", **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        # Call sites of column expressions cost more than the plans of small tables.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
