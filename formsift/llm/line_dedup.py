@@ -65,18 +65,29 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 5, lg_k: int = 12, z: flo
     hit = lines.join(wide, "line").groupBy(F.struct("doc_id").alias("_key")).agg(
         F.collect_set("line").alias("_gone"),
         F.collect_set(F.when(F.col("first_doc").eqNullSafe(F.col("doc_id")), F.col("line"))).alias("_first"))
-    joined = docs.drop("n_lines", "n_removed").withColumn("_key", F.struct("doc_id")).join(hit, "_key", "left")
-    return joined.select(*clean_columns(docs))
+    joined = docs.drop(*ADDED).withColumn("_key", F.struct("doc_id")).join(hit, "_key", "left")
+    counted = joined.withColumn("_kept", kept_lines()).withColumns(counts())
+    return counted.withColumn("text", kept_text()).select(*[c for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def clean_columns(docs: DataFrame) -> list[Column]:
-    """The columns of a document joined with its ``_gone`` and ``_first`` line hashes."""
+ADDED = ("n_lines", "n_removed")
+
+
+def kept_lines() -> Column:
+    """Lines that stay of a text joined with its ``_gone`` and ``_first`` line hashes; null: all."""
     hashes, text_lines = line_hashes(F.col("text")), lines_of(F.col("text"))
     here = F.transform(hashes, lambda h, i: F.coalesce(
         ~F.array_contains("_gone", h) | (F.array_contains("_first", h) & (F.array_position(hashes, h) == i + 1)), F.lit(True)))
-    stays = F.when(F.col("_gone").isNotNull(), here)
-    kept = F.transform(F.filter(F.arrays_zip(text_lines.alias("l"), stays.alias("s")), lambda x: x["s"]), lambda x: x["l"])
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(text_lines)).alias("n_lines")
-    gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(text_lines) - F.size(kept)).alias("n_removed")
-    return [text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")] + [n, gone]
+    zipped = F.arrays_zip(text_lines.alias("line"), here.alias("stays"))
+    return F.when(F.col("_gone").isNotNull(), F.transform(F.filter(zipped, lambda x: x["stays"]), lambda x: x["line"]))
+
+
+def kept_text() -> Column:
+    return F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
+
+
+def counts() -> dict[str, Column]:
+    """Lines of a text, and those that go."""
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    gone = F.when(F.col("_kept").isNull(), 0).otherwise(n - F.size("_kept"))
+    return {"n_lines": n, "n_removed": gone}
