@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formsift.llm import fingerprint, line_dedup, mixing, packing, quality, token_prefix, url_filter
+from formsift.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, token_prefix, url_filter
 from formsift.llm.common import table
 from formsift.llm.registry import query
 from formsift.session import use_utc
@@ -115,3 +115,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS, keep_ids=False)
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
