@@ -53,17 +53,19 @@ def mixture(
     targets = settled(source_targets(
         base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, budget), "mix-targets")
     joined = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(base["*"], "source_size", "target")
+    # Each step's rows are few and small; written, they spare the next step's plan the work before.
     turns = F.when(F.col("source_size") > 0, F.ceil(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     entries = joined.select("*", F.explode(F.sequence(F.lit(0), F.greatest(turns - 1, F.lit(0)))).alias("epoch"))
     entries = entries.withColumn("place", even_place(F.lit(seed), F.col("epoch"), F.col("doc_id")))
+    entries = settled(entries, "mix-entries")
     timed = running_totals(entries, ["source", "epoch"], "place", ["doc_id", "size"], "size", "before")
     start = F.col("epoch") * F.col("source_size") + F.col("before")
     served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
     finish = F.when(F.col("target") > 0, F.least(F.lit(1.0), (start + F.col("size")) / F.col("target")))
     timed = timed.withColumns({"taken": F.coalesce(served, F.lit(0)), "finish": F.coalesce(finish, F.lit(1.0))})
-    return timed.select(
+    return settled(timed.select(
         "doc_id", "source", "size", "source_size", "target", F.when(F.col("taken") > 0, F.col("epoch")).alias("epoch"),
-        "taken", "finish")
+        "taken", "finish"), "mix")
 
 
 def in_order(mix: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def in_order(mix: DataFrame) -> DataFrame:
     Adds ``mix_start``, the words of the mix before an entry. Fair queueing spreads the words
     evenly over virtual time, so equal stretches of it make even buckets for the running total.
     """
-    served = settled(mix.filter("taken > 0"), "mix-entries")
+    served = mix.filter("taken > 0")
     budget = served.select("source", "target").distinct().agg(F.sum("target")).scalar()
     placed = served.withColumn("stretch", F.least(F.col("finish"), F.lit(1 - 2.0**-40)))
     order = ["source", "epoch", "doc_id", "size"]
