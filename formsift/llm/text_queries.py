@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formsift.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, token_prefix, url_filter
+from formsift.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_prefix, url_filter
 from formsift.llm.common import table
 from formsift.llm.registry import query
 from formsift.session import use_utc
@@ -120,3 +120,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), keep_text=False)
