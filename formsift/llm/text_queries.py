@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formsift.llm import fingerprint, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, token_prefix, url_filter
+from formsift.llm import fingerprint, line_dedup, mixing, neighbours, ngram_join, packing, quality, suffix_dedup, token_prefix, url_filter
 from formsift.llm.common import table
 from formsift.llm.registry import query
 from formsift.session import use_utc
@@ -125,3 +125,9 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
