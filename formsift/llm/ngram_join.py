@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +39,18 @@ class Threshold:
     def __init__(self, num: int = 3, den: int = 4):
         self.num, self.den = num, den
 
+    def shared(self, n: int) -> int:
+        """How many of its first elements a set of ``n`` is asked to share with a similar one, if
+        that isn't smaller."""
+        return n // 20 + 1
+
     def first(self, n: int) -> int:
-        """How many first elements must meet one of a similar set's."""
-        return n - -(-n * self.num // self.den) + 1
+        """How many first elements hold that many shared ones, whatever the similar set."""
+        return n - -(-n * self.num // self.den) + self.shared(n)
+
+    def least_shared(self, n):
+        """How many first elements a set of ``n`` shares with any similar one, at least."""
+        return F.floor(F.ceil(n * self.num / self.den) / 20) + 1
 
     def needed(self, n, m):
         """The least overlap of two sets of these sizes."""
@@ -246,7 +254,10 @@ def tiles(table: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFra
     group = Window.partitionBy("element")
     rows = rows.select("*", F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"))
     rows = settled(rows.filter("low < high").drop("low", "high"), "meetings")
-    rows = rows.join(classes, "doc_id").select("element", "id", "n").distinct()
+    # A document that meets others in fewer elements than a similar one shares with it has none.
+    enough = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("met")).filter(
+        F.col("met") >= threshold.least_shared(F.col("n"))).select("doc_id")
+    rows = rows.join(enough, "doc_id").join(classes, "doc_id").select("element", "id", "n").distinct()
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(threshold.den / threshold.num)) + F.lit(1e-9))
     rows = rows.select("element", "id", "n", F.explode(F.array(band, band - 1)).alias("band"))
     tile = Window.partitionBy("element", "band")
@@ -259,7 +270,8 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``main`` is the component of the smallest member. Tiles with the same members are one.
     """
-    named = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
+    plain = members.select("element", "band", "id", "n")
+    named = plain.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "label", F.coalesce("component", "id")).drop("component")
     kinds = named.groupBy("element", "band").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("id", "label"))["label"].alias("main"),
@@ -277,14 +289,12 @@ def pivot_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
-def block_pairs(members: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs of different components in a tile whose bitmaps allow a link.
-
-    Members outside the main component, in blocks, meet all members, in blocks: a task sees two
-    blocks at most, and what is sent grows with the members outside times the blocks.
-    """
+def block_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members outside the main component of a tile, in blocks (side 0), beside all members (side
+    1): a task sees two blocks of a tile at once, and what is sent grows with the members outside
+    times the blocks."""
     # A hash splits a tile into parts of about one block.
-    salted = members.drop("n").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(BLOCK // 2))))
+    salted = members.drop("n").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(BLOCK))))
     outside = salted.filter("label <> main").withColumnRenamed("salt", "left")
     inside = salted.withColumnRenamed("salt", "right")
     parts = lambda d, side: d.select("element", "band", side).distinct()
@@ -292,35 +302,67 @@ def block_pairs(members: DataFrame, sets: DataFrame, threshold: Threshold) -> Da
     pick = lambda d, side: d.select("element", "band", "left", "right", "id", "label", F.lit(side).alias("side"))
     rows = pick(outside.join(both, ["element", "band", "left"]), 0).unionByName(
         pick(inside.join(both, ["element", "band", "right"]), 1))
-    rows = rows.join(sets.select("id", "n", "bits"), "id")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["side", "id"])
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        ids, labels, sizes = (right[c].to_numpy() for c in ("id", "label", "n"))
-        rows, maps = [np.frombuffer(b, np.uint8) for b in right["bits"]], {}
-        found_a, found_b = [], []
-        for a, label, n, bits in zip(left["id"], left["label"], left["n"], left["bits"]):
-            near = np.flatnonzero((labels != label) & (np.minimum(n, sizes) * threshold.den >= np.maximum(n, sizes) * threshold.num))
-            if not len(near):
-                continue
-            own = np.frombuffer(bits, np.uint8)
-            size = min(len(own), min(len(rows[i]) for i in near))
-            if size not in maps:
-                maps[size] = {}
-            folds = maps[size]
-            for i in near:
-                if i not in folds:
-                    folds[i] = folded(rows[i], size)
-            other = np.stack([folds[i] for i in near])
-            bound = overlap_bound(folded(own, size)[None, :], n, other, sizes[near])
-            hits = near[bound >= threshold.needed(n, sizes[near])]
-            found_a += [a] * len(hits)
-            found_b += ids[hits].tolist()
-        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("element", "band", "left", "right").applyInPandas(compare, "a long, b long").distinct()
+    tile = ["element", "band", "left", "right"]
+    rows = rows.join(sets.select("id", "n", "bits"), "id").withColumn("tile", F.struct(*tile)).drop(*tile)
+    return rows.repartition("tile").sortWithinPartitions("tile", "side", "id")
+
+
+def likely_partners(lefts: list[tuple], rights: list[tuple], threshold: Threshold, best: bool) -> list[tuple]:
+    """(bound, left, right) of pairs of different components whose bitmaps allow a link; with
+    ``best``, of each left and component only the pair with the highest bound."""
+    ids, labels, sizes = (np.array([r[k] for r in rights]) for k in range(3))
+    maps = [np.frombuffer(r[3], np.uint8) for r in rights]
+    folds: dict[int, list] = {}
+    out = []
+    for a, label, n, bits in lefts:
+        near = np.flatnonzero((labels != label) & (np.minimum(n, sizes) * threshold.den >= np.maximum(n, sizes) * threshold.num))
+        if not len(near):
+            continue
+        own = np.frombuffer(bits, np.uint8)
+        size = min(len(own), min(len(maps[i]) for i in near))
+        if size not in folds:
+            folds[size] = [folded(m, size) if len(m) >= size else m for m in maps]
+        row = folds[size]
+        bound = overlap_bound(folded(own, size)[None, :], n, np.stack([row[i] for i in near]), sizes[near])
+        fits = bound >= threshold.needed(n, sizes[near])
+        hits = near[fits]
+        if best and len(hits):
+            order = np.lexsort((ids[hits], -bound[fits], labels[hits]))
+            first = np.ones(len(order), bool)
+            first[1:] = labels[hits][order][1:] != labels[hits][order][:-1]
+            hits = hits[order[first]]
+        out += [(min(a, b), max(a, b)) for b in ids[hits].tolist()]
+    return out
+
+
+def block_pairs(rows: DataFrame, threshold: Threshold, best: bool) -> DataFrame:
+    """Pairs ``a, b`` of different components in a tile that may be similar."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sides, out = None, ([], []), set()
+        for batch in batches:
+            tiles_ = batch.column("tile")
+            keys = zip(*(tiles_.field(k).to_pylist() for k in range(4)))
+            values = zip(*(batch.column(c).to_pylist() for c in ("id", "label", "n", "bits")))
+            for key, side, row in zip(keys, batch.column("side").to_pylist(), values):
+                if key != tile:
+                    if tile is not None:
+                        out.update(likely_partners(*sides, threshold, best))
+                    tile, sides = key, ([], [])
+                sides[side].append(row)
+            if len(out) > 100_000:
+                yield pairs_batch(out)
+                out = set()
+        if tile is not None:
+            out.update(likely_partners(*sides, threshold, best))
+        yield pairs_batch(out)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def pairs_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    rows = sorted(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["a", "b"])
 
 
 def similar_components(docs: DataFrame, threshold: Threshold | None = None) -> DataFrame:
@@ -346,19 +388,28 @@ def similar_components(docs: DataFrame, threshold: Threshold | None = None) -> D
     links = settled(verified(first, sets, threshold), "links")
     # A document's rows, should it have several, are one node.
     same = classes.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    step = 0
     while True:
         labels = components(links.unionByName(same), "labels")
         members = open_members(members, labels)
-        rest = members.filter("label <> main").groupBy("element", "band").count().agg(F.max("count")).first()[0] or 0
-        if rest <= BLOCK:
+        outside = members.filter("label <> main").groupBy("element", "band").count().agg(F.max("count")).first()[0]
+        if not outside:
             break
-        more = settled(verified(pivot_pairs(members), sets, threshold), "links")
-        if more.isEmpty():
+        # While a tile has more than a block outside its main component, one of them meets all;
+        # then each meets its likeliest partner in other components; at last, all likely ones.
+        if outside > BLOCK and step == 0:
+            pairs = pivot_pairs(members)
+        else:
+            step = max(step, 1)
+            pairs = block_pairs(block_rows(members, sets), threshold, best=step < 2)
+        more = settled(verified(pairs, sets, threshold), "links")
+        found = not more.isEmpty()
+        if step == 2:
+            if found:
+                labels = components(links.unionByName(more).unionByName(same), "labels")
             break
+        step += not found
         links = links.unionByName(more)
-    if rest:
-        last = verified(block_pairs(members, sets, threshold), sets, threshold)
-        labels = components(links.unionByName(last).unionByName(same), "labels")
     named = labels.select(F.col("node").alias("doc_id"), "component")
     out = table.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
