@@ -4,26 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formsift.llm import line_dedup, quality
-from formsift.llm.common import settled, table
+from formsift.llm import line_dedup, mixing, ngram_join, packing, quality
+from formsift.llm.common import settled, table, word_count
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules accept; learned from ``labels`` and the stage's texts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.score_quality(docs, labels).filter("predicted = 1").select(*docs.columns)
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that spread over many sources."""
     cleaned = line_dedup.drop_boilerplate(docs).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_classifier", keep_good), ("line_dedup", clean_lines)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest identifier."""
+    groups = ngram_join.similar_components(docs)
+    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each time; one that is in service when the
+    budget ends is taken if at least half of its words are."""
+    mix = mixing.in_order(mixing.mixture(docs))
+    keys = ["doc_id", "source", "size"]
+    rows = docs.withColumn("size", word_count(F.col("text")))
+    taken = mix.groupBy(*keys).agg(F.count_if(F.col("taken") * 2 >= F.col("size")).alias("times"))
+    # Rows that agree in all keys share what is taken of them.
+    alike = rows.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    same = lambda d: d.withColumn("_key", F.struct(*keys))
+    times = same(taken).drop(*keys).join(same(alike).drop(*keys), "_key").select(
+        "_key", F.ceil(F.col("times") / F.col("rows")).cast("int").alias("times"))
+    repeated = same(rows).join(times.filter("times > 0"), "_key").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", keep_good), ("line_dedup", clean_lines), ("ngram_jaccard_join", drop_near_copies),
+    ("source_mixing", mix_sources), ("best_fit_packing", pack_sequences),
+]
 
 #: The classifier and the packing cannot be written in SQL.
 ORACLE_SQL: str | None = None
