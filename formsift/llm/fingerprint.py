@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formsift.llm.common import settled
@@ -51,38 +51,38 @@ POWERS = tuple(Powers(b) for b in BASES)
 
 
 class PrefixHash:
-    """Prefix arrays of a text, for two bases; a span's hash has 62 bits."""
-
-    def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.n = len(codes)
-        self.prefix = []
-        for powers in POWERS:
-            terms = reduced(codes * powers.upto(self.n + 1)[0][:self.n])
-            self.prefix.append(np.concatenate([np.zeros(1, np.uint64), reduced(np.cumsum(terms, dtype=np.uint64))]))
-
-    def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of the spans of one length from each start, whatever the text they stand in."""
-        out = np.full(len(starts), length, np.uint64)
-        halves = []
+    """Prefix arrays of a text, for two bases; a span's hash has 62 bits.
+
+    ``like`` and ``keep`` name a text with the same first characters, whose arrays are taken over.
+    """
+
+    def __init__(self, text: str, like: PrefixHash | None = None, keep: int = 0):
+        self.n, self.prefix = len(text), []
+        codes = np.frombuffer(text[keep:].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        for k, powers in enumerate(POWERS):
+            terms = reduced(codes * powers.upto(self.n + 1)[0][keep:self.n])
+            sums = np.empty(self.n + 1, np.uint64)
+            sums[:keep + 1] = like.prefix[k][:keep + 1] if like else 0
+            sums[keep + 1:] = reduced(np.cumsum(terms, dtype=np.uint64) + sums[keep])
+            self.prefix.append(sums)
+
+    def span(self, start: int, length: int) -> int:
+        """Hash of a span, whatever the text that it stands in."""
+        out = 0
         for prefix, powers in zip(self.prefix, POWERS):
-            part = prefix[starts + length] + PRIME - prefix[starts]
-            halves.append(reduced(reduced(part) * powers.upto(self.n + 1)[1][starts]))
-        out = (halves[0] << np.uint64(31)) | halves[1]
+            part = int(prefix[start + length]) - int(prefix[start])
+            out = out << 31 | part * int(powers.rows[1][start]) % int(PRIME)
         return out
 
-    def windows(self, length: int) -> np.ndarray:
-        """Hashes of all spans of one length, in order."""
-        halves = []
-        for prefix, powers in zip(self.prefix, POWERS):
-            part = reduced(prefix[length:] + PRIME - prefix[:len(prefix) - length])
-            halves.append(reduced(part * powers.upto(self.n + 1)[1][:len(part)]))
-        return (halves[0] << np.uint64(31)) | halves[1]
+    def windows(self, length: int, first: int = 0) -> np.ndarray:
+        """Hashes of all spans of one length from ``first`` on, in order, by the first base alone."""
+        prefix, powers = self.prefix[0], POWERS[0]
+        part = reduced(prefix[first + length:] + PRIME - prefix[first:self.n + 1 - length])
+        return reduced(part * powers.upto(self.n + 1)[1][first:first + len(part)])
 
     def equal(self, start: int, other: PrefixHash, other_start: int, length: int) -> bool:
         """Whether two spans have the same hash, so but for chance the same characters."""
-        a = self.spans(np.array([start]), length)
-        return bool(a[0] == other.spans(np.array([other_start]), length)[0])
+        return self.span(start, length) == other.span(other_start, length)
 
     def common_extension(self, start: int, other: PrefixHash, other_start: int) -> int:
         """Length of the longest common run from two positions, by binary search."""
@@ -112,17 +112,26 @@ def smallest(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(hashes)[:k]
 
 
-def fingerprint(prefix: PrefixHash) -> tuple[int, np.ndarray]:
+def fingerprint(prefix: PrefixHash, spans: np.ndarray | None = None) -> tuple[int, np.ndarray]:
     """Hash of the whole text, and its sketch: the smallest span hashes, cut to 32 bits."""
-    whole = int(prefix.spans(np.zeros(1, np.int64), prefix.n)[0])
+    whole = prefix.span(0, prefix.n)
+    if spans is None:
+        spans = span_hashes(prefix)
+    return whole, np.unique((smallest(spans, SMALLEST) >> np.uint64(32)).astype(np.uint32))
+
+
+def span_hashes(prefix: PrefixHash, like: np.ndarray | None = None, keep: int = 0) -> np.ndarray:
+    """Spread hashes of a text's spans; ``like`` has them of a text with ``keep`` equal characters."""
     if prefix.n == 0:
-        return whole, np.zeros(0, np.uint32)
-    hashes = mixed(prefix.windows(min(SPAN, prefix.n)))
-    return whole, np.unique((smallest(hashes, SMALLEST) >> np.uint64(32)).astype(np.uint32))
+        return np.zeros(0, np.uint64)
+    same = max(0, keep - SPAN + 1)
+    if like is None or prefix.n < SPAN or not same:
+        return mixed(prefix.windows(min(SPAN, prefix.n)))
+    return np.concatenate([like[:same], mixed(prefix.windows(SPAN, same))])
 
 
-def as_text(print_: tuple[int, np.ndarray]) -> str:
-    return f"{print_[0]:016x}:{print_[1].astype('>u4').tobytes().hex()}"
+def packed(print_: tuple[int, np.ndarray]) -> bytes:
+    return print_[0].to_bytes(8, "big") + print_[1].astype(">u4").tobytes()
 
 
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
@@ -141,36 +150,39 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+SCHEMA = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
           "near_edited double, near_next double, common_chars long")
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
 
 
 def row(doc_id: int | None, text: str, own: tuple, following: str, next_print: tuple) -> tuple:
-    """The result for one document, from its prefix hash and print, and the next's print."""
-    prefix, print_ = own
-    changed = edited(text, following)
-    changed_prefix = PrefixHash(changed)
-    changed_print = fingerprint(changed_prefix)
+    """The result for one document, from its hashes and print, and the next's print."""
+    prefix, spans, print_ = own
+    changed, keep = edited(text, following), len(text) - len(text) // 2
+    changed_prefix = PrefixHash(changed, prefix, keep)
+    changed_print = fingerprint(changed_prefix, span_hashes(changed_prefix, spans, keep))
     return (
-        doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), as_text(print_),
-        as_text(changed_print), likeness(print_, changed_print), likeness(print_, next_print),
+        doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), packed(print_),
+        packed(changed_print), likeness(print_, changed_print), likeness(print_, next_print),
         prefix.common_extension(0, changed_prefix, 0),
     )
 
 
-def hashed(text: str) -> tuple[PrefixHash, tuple]:
+def hashed(text: str) -> tuple[PrefixHash, np.ndarray, tuple]:
     prefix = PrefixHash(text)
-    return prefix, fingerprint(prefix)
+    spans = span_hashes(prefix)
+    return prefix, spans, fingerprint(prefix, spans)
 
 
 def batch_of(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-    """Result rows, and rows of the first and last document of a partition."""
-    kinds = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), (
-        "n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), (
-        "near_edited", pa.float64()), ("near_next", pa.float64()), ("common_chars", pa.int64())])
-    full = [("row", None, r[0], None, *r[1:]) for r in rows] + [(*e, *[None] * 7) for e in edges]
-    return pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in full], kinds)
+    """Result rows, and rows (kind, partition, document, text) of the ends of a partition."""
+    nothing = [None] * len(rows)
+    heads = [["row"] * len(rows), nothing, [r[0] for r in rows], nothing]
+    columns = [pa.array([*head, *(e[k] for e in edges)], t) for k, (head, t) in enumerate(
+        zip(heads, [pa.string(), pa.int32(), pa.int64(), pa.string()]))]
+    columns += [pa.array([*(r[k] for r in rows), *[None] * len(edges)], TYPES[k]) for k in range(1, len(NAMES))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "part", "doc_id", "text", *NAMES[1:]])
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +196,7 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             if held is None:
                 edges.append(("first", part, doc_id, text))
             else:
-                rows.append(row(held[0], held[1], held[2], text, now[1]))
+                rows.append(row(held[0], held[1], held[2], text, now[2]))
             held = doc_id, text, now
             if len(rows) >= 1000:
                 yield batch_of(rows, [])
@@ -197,10 +209,14 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare documents with a given next one."""
     for batch in batches:
-        rows = [row(d, t, hashed(t), n, hashed(n)[1]) for d, t, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows) if rows else [[]] * len(NAMES),
-            [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()])], NAMES)
+        rows = [row(d, t, hashed(t), n, hashed(n)[2]) for d, t, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))]
+        columns = zip(*rows) if rows else [[]] * len(NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], NAMES)
+
+
+def as_text(print_: Column) -> Column:
+    """A fingerprint as hexadecimal text: hash of the whole, colon, sketch."""
+    return F.concat(F.lower(F.hex(F.substring(print_, 1, 8))), F.lit(":"), F.lower(F.hex(F.substring(print_, 9, 1 << 20))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -224,4 +240,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     firsts = firsts.withColumn("before", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())))
     pairs = ends.filter("kind = 'last'").join(firsts.select("before", "following"), F.col("part") == F.col("before"))
     across = pairs.select("doc_id", "text", "following").mapInArrow(compare_pairs, SCHEMA)
-    return compared.filter("kind = 'row'").select(*NAMES).unionByName(across)
+    rows = compared.filter("kind = 'row'").select(*NAMES).unionByName(across)
+    return rows.withColumns({
+        "edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": as_text(F.col("fingerprint")),
+        "edited_fingerprint": as_text(F.col("edited_fingerprint"))})
