@@ -48,8 +48,7 @@ def canonical_fields(df: DataFrame) -> DataFrame:
     no record is collected.
     """
     key, value = F.col("key"), F.col("value")
-    # A technical key that gets renamed moves behind the record's other keys.
-    order = F.when(key.isin(*S.ENGLISH_KEYS), F.col("key_ord") + 1000).otherwise(F.col("key_ord"))
+    order = F.col("key_ord")
     technical = {russian: english for english, russian in S.ENGLISH_KEYS.items()}
 
     def by_key(name: str) -> Column:

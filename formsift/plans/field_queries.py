@@ -320,7 +320,7 @@ _TARGET_RULE = " OR ".join(f"(target = '{t}' AND {_duck_alias(t)})" for t in S.A
 @query("b2_canonical_fields", f"""
 WITH raw AS (SELECT *, {_ENGLISH} AS russian FROM fx_raw),
 named AS (SELECT doc_id, CASE WHEN russian IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raw o WHERE o.doc_id = raw.doc_id AND o.key = raw.russian)
-    THEN russian ELSE key END AS key, CASE WHEN russian IS NULL THEN key_ord ELSE key_ord + 1000 END AS ord, value FROM raw),
+    THEN russian ELSE key END AS key, key_ord AS ord, value FROM raw),
 targets AS (SELECT DISTINCT doc_id, unnest({str(list(S.ALIAS_RULES))}) AS target FROM fx_raw),
 own AS (SELECT t.doc_id, t.target, max(trim(n.value)) AS value FROM targets t LEFT JOIN named n ON n.doc_id = t.doc_id AND n.key = t.target GROUP BY ALL),
 hits AS (SELECT t.doc_id, t.target, arg_min(trim(n.value), n.ord) AS value FROM targets t JOIN named n ON n.doc_id = t.doc_id

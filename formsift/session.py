@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ def build_session(app: str = "formsift", cpus: int | str = "*", **conf: str) ->
         # Call sites of column expressions cost more than the plans of small tables.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Small test files are cut finer than a cluster would, by the reader itself.
+        "spark.sql.files.maxPartitionBytes": "4m",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -44,22 +47,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/formsift/{purpose}-{uuid.uuid4().hex}"
 
 
-def few_splits(df: DataFrame) -> int:
-    """Partitions to spread a scan over when it has fewer splits than there are cores, else 0.
-
-    Only the plan is looked at. Large tables have more splits than cores and are not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return cores if df.rdd.getNumPartitions() < cores else 0
-
-
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several branches read to the shared folder, and read it back.
 

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formsift.session import few_splits, use_utc
+from formsift.session import use_utc
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -265,11 +265,9 @@ def _duck_text(text: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when its file has fewer splits."""
+    """A driver table."""
     use_utc(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = few_splits(df)
-    return df.repartition(parts) if parts else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str] | None = None) -> DataFrame:
@@ -281,12 +279,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str] |
         if item in FIXTURES:
             parts.append(f"{item} AS ({_spark_text(FIXTURES[item])})")
         else:
-            source, hint = views.get(item), ""
-            if source is None:
-                source = f"parquet.`{sf_dir}/{item}.parquet`"
-                spread = few_splits(spark.read.parquet(f"{sf_dir}/{item}.parquet"))
-                hint = f"/*+ REPARTITION({spread}) */ " if spread else ""
-            parts.append(f"{item} AS (SELECT {hint}* FROM {source})")
+            source = views.get(item) or f"parquet.`{sf_dir}/{item}.parquet`"
+            parts.append(f"{item} AS (SELECT * FROM {source})")
     return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")
 
 

@@ -24,12 +24,17 @@ SESSION_GAP = f"{S.SESSION_TTL_HOURS * 3600 - 1} seconds"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Table files of one name as a stream; ``files_per_batch`` bounds a micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """A table as a stream, be it one file or a folder of files; ``files_per_batch`` bounds a
+    micro-batch. A table that is missing is an error, as is one without a file."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # A stream's source is a folder; of this one only the table's own file is taken.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:

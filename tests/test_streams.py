@@ -1,5 +1,10 @@
 """Streams over several files give what one batch job gives."""
 
+import pathlib
+import shutil
+
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from formsift.operators import activity, dictionary, duplicates
@@ -55,3 +60,23 @@ def test_session_end_is_exclusive(spark):
     df = spark.createDataFrame([("u", 0), ("u", 86399), ("u", 86399 + 86400)], "username string, s long")
     rows = streams.sessions(df.select("username", F.timestamp_seconds("s").alias("ts"))).orderBy("started").collect()
     assert [r.accesses for r in rows] == [2, 1]
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_stream_reads_the_table_and_no_other(spark, tmp_path, as_folder):
+    """One file or a folder of files; a table whose name begins alike stays out."""
+    rows = spark.range(40).select("id", (F.col("id") % 3).alias("v"))
+    for name, table in (("part", rows), ("partsupp", rows.limit(7))):
+        table.repartition(4 if as_folder else 1).write.parquet(f"{tmp_path}/written/{name}")
+        if as_folder:
+            shutil.move(f"{tmp_path}/written/{name}", f"{tmp_path}/{name}.parquet")
+        else:
+            (file,) = pathlib.Path(f"{tmp_path}/written/{name}").glob("part-*.parquet")
+            shutil.move(file, f"{tmp_path}/{name}.parquet")
+    got = streams.run_to_table(streams.read_stream(spark, str(tmp_path), "part", 1), "source").collect()
+    assert sorted(r.id for r in got) == list(range(40))
+
+
+def test_stream_of_no_table_is_an_error(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        streams.read_stream(spark, str(tmp_path), "part")
