@@ -43,6 +43,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -50,27 +53,53 @@ class WordEncoder:
         batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in batch]
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, from those of their runs of letters, digits or marks where that is exact."""
-        cut = {w: RUNS.findall(w.lower()) if PLAIN.fullmatch(w) else [w] for w in words}
-        new = list({r for runs in cut.values() for r in runs} - self.runs.keys())
-        found = dict(zip(new, self.encode(new)))
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that are one word each to the tokenizer: a line of many, cut at word ends."""
+        lines = [" ".join(runs[k:k + 500]) for k in range(0, len(runs), 500)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(ends) != len(runs):
+            raise ValueError("a run is not one word")
+        data = ids.tobytes()
+        return [data[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: list[str]) -> None:
+        """Take in the ids of words, from those of their runs of letters, digits or marks where that
+        is exact."""
+        whole, cut = [], {}
+        for w in words:
+            if w.isascii() and w.isalpha():
+                cut[w] = (w.lower(),)
+            elif PLAIN.fullmatch(w):
+                cut[w] = RUNS.findall(w.lower())
+            else:
+                whole.append(w)
         known = self.runs
-        out = {w: b"".join([found[r] if r in found else known[r] for r in runs]) for w, runs in cut.items()}
-        if len(known) + len(found) > MOST_WORDS:
-            self.runs = {}
-        self.runs.update((r, i) for r, i in found.items() if len(r) <= LONGEST_WORD)
-        return out
+        if len(known) > MOST_WORDS:
+            known.clear()
+        new = list(set().union(*cut.values()) - known.keys())
+        if new:
+            known.update(zip(new, self.encode_runs(new)))
+        if whole:
+            self.words.update(zip(whole, self.encode(whole)))
+        self.words.update((w, known[r[0]] if len(r) == 1 else b"".join([known[x] for x in r])) for w, r in cut.items())
+        for r in new:
+            if len(r) > LONGEST_WORD:
+                del known[r]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 4 bytes each, little-endian."""
+        known = self.words
+        if len(known) > MOST_WORDS:
+            known.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut) - self.words.keys()
-        found, known = self.learn(list(new)), self.words
-        out = [b"".join([found[w] if w in found else known[w] for w in words]) for words in cut]
-        if len(known) + len(found) > MOST_WORDS:
-            self.words = {}
-        self.words.update((w, i) for w, i in found.items() if len(w) <= LONGEST_WORD)
+        new = list(set().union(*cut) - known.keys())
+        if new:
+            self.learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for w in new:
+            if len(w) > LONGEST_WORD:
+                del known[w]
         return out
 
 

@@ -118,37 +118,39 @@ class PrefixCounter:
             self.follows, self.pairs = {}, 0
         return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Differences along each word with the mark before it."""
-        cut = {w: self.units.findall(SPACE_MARK + w.replace(" ", SPACE_MARK)) for w in words}
-        new = sorted({u for units in cut.values() for u in units} - self.parts.keys())
-        found = self.resolve(new)
-        known = self.parts
-        out = {w: b"".join([found[u] if u in found else known[u] for u in units]) for w, units in cut.items()}
-        if len(known) + len(found) > MOST_WORDS:
-            self.parts = {}
-        self.parts.update((u, d) for u, d in found.items() if len(u) <= LONGEST_WORD)
-        return out
+    def learn(self, words: list[str]) -> None:
+        """Take in the differences along each word with the mark before it."""
+        known, cut = self.parts, {w: self.units.findall(SPACE_MARK + w.replace(" ", SPACE_MARK)) for w in words}
+        if len(known) > MOST_WORDS:
+            known.clear()
+        new = sorted(set().union(*cut.values()) - known.keys())
+        known.update(self.resolve(new))
+        self.words.update((w, known[u[0]] if len(u) == 1 else b"".join([known[x] for x in u])) for w, u in cut.items())
+        for u in new:
+            if len(u) > LONGEST_WORD:
+                del known[u]
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Per character of each text, by how much it changes the token count of the prefix."""
+        known = self.words
+        if len(known) > MOST_WORDS:
+            known.clear()
         # With runs of spaces a text is cut as a whole; else each word has one mark before it.
         cut = [[t] if t[:1] == " " or t[-1:] == " " or "  " in t else t.split(" ") for t in texts]
-        new = set().union(*cut) - self.words.keys()
-        new.discard("")
-        found = self.learn(new)
-        known = self.words
+        new = list(set().union(*cut) - known.keys() - {""})
+        if new:
+            self.learn(new)
         out = []
         for text, words in zip(texts, cut):
             if not text:
                 out.append(np.zeros(0, np.int8))
                 continue
-            steps = np.frombuffer(b"".join([found[w] if w in found else known[w] for w in words]), np.int8).copy()
+            steps = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int8).copy()
             steps[1] += steps[0]  # the mark before the text comes with its first character
             out.append(steps[1:])
-        if len(known) + len(found) > MOST_WORDS:
-            self.words = {}
-        self.words.update((w, d) for w, d in found.items() if len(w) <= LONGEST_WORD)
+        for w in new:
+            if len(w) > LONGEST_WORD:
+                del known[w]
         return out
 
     def differences(self, text: str) -> np.ndarray:
