@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import dates, text
-from formsift.operators.ranking import BUCKET_WIDTH, count_earlier
+from formsift.operators.ranking import BUCKETS, count_earlier
 from formsift.operators.stages import computed
 from formsift.session import settled
 
@@ -93,7 +93,7 @@ def _repeated(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return by_snils, by_pair.filter("_n > 1 AND birth <> ''").drop("_n"), by_name
 
 
-def _earlier_matches(members: DataFrame, width: int) -> DataFrame:
+def _earlier_matches(members: DataFrame, buckets: int) -> DataFrame:
     """Earlier matches per record and reason; a pair with equal numbers counts as that only.
 
     Every record enters the groupings it belongs to: by number, name, name+birth, and the last
@@ -117,7 +117,7 @@ def _earlier_matches(members: DataFrame, width: int) -> DataFrame:
             grouping("pair_snils", snils, name, birth),
         ),
     ))).filter("level IS NOT NULL")
-    counted = count_earlier(entries, ["level", "ks", "kn", "kb"], "doc_id", "blank", width)
+    counted = count_earlier(entries, ["level", "ks", "kn", "kb"], "doc_id", "blank", buckets)
 
     def total(level: str, plus: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("level") == level, plus)), F.lit(0))
@@ -131,7 +131,7 @@ def _earlier_matches(members: DataFrame, width: int) -> DataFrame:
     )
 
 
-def batch_duplicates(keys: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def batch_duplicates(keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Records with at least one earlier match: counts per reason and the earliest match.
 
     ``keys`` holds ``doc_id, filename, snils, name, birth`` with a unique integer ``doc_id``
@@ -147,7 +147,7 @@ def batch_duplicates(keys: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
         .drop("filename", "_s", "_n"),
         "duplicate-members",
     )
-    counted = members.join(_earlier_matches(members, width), "doc_id")
+    counted = members.join(_earlier_matches(members, buckets), "doc_id")
     blank = F.col("birth") == ""
 
     def if_earlier(first: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import text
-from formsift.operators.ranking import BUCKET_WIDTH, number_by_id
+from formsift.operators.ranking import BUCKETS, number_by_id
 
 NO_DATA = "Нет данных"
 
@@ -20,13 +20,13 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(filled).select(*cells)
 
 
-def export_records(records: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def export_records(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Long records ``doc_id, field, value`` as the journal's columns in order, any number of rows."""
     names = S.JOURNAL_COLUMNS[1:]
     wide = records.groupBy("doc_id").agg(*[
         text.safe_cell(F.max(F.when(F.col("field") == n, F.col("value")))).alias(n) for n in names
     ])
-    numbered = number_by_id(wide, "doc_id", S.ROW_NUMBER, width)
+    numbered = number_by_id(wide, "doc_id", S.ROW_NUMBER, buckets)
     return numbered.select("doc_id", *[F.col(f"`{n}`") for n in S.JOURNAL_COLUMNS])
 
 
@@ -63,16 +63,17 @@ def is_number_column(name: str) -> bool:
     return name.lower().startswith("№") or "п/п" in name.lower()
 
 
-def append_records(journal: DataFrame, incoming: DataFrame) -> DataFrame:
+def append_records(journal: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Append wide rows to a journal whose columns grow by the fields it does not know.
 
     New columns stand before the file and status columns. When two incoming fields fall on one
-    column, the later one is written.
+    column, the later one is written. A number column of the journal goes on after its rows, in
+    the order of ``order``, a unique column of ``incoming`` that is not written itself.
     """
     columns = list(journal.columns)
     source: dict[str, str] = {}
     for name in incoming.columns:
-        if is_number_column(name):
+        if is_number_column(name) or name == order:
             continue
         target = find_column(columns, name)
         if target is None:
@@ -80,17 +81,24 @@ def append_records(journal: DataFrame, incoming: DataFrame) -> DataFrame:
             service = [i for i, c in enumerate(columns) if "файл" in c.lower() or "статус" in c.lower()]
             columns.insert(min(service, default=len(columns)), name)
         source[target] = name
-    renamed = incoming.select(*[
+    number = next((c for c in journal.columns if is_number_column(c)), None)
+    rows = number_by_id(incoming, order, "_place")
+    numbered = []
+    if number is not None:
+        # The sheet's row is what counts, not the numbers that stand in it.
+        existing = journal.agg(F.count(F.lit(1))).scalar()
+        numbered = [(existing + F.col("_place")).cast("string").alias(number)]
+    renamed = rows.select(*numbered, *[
         text.safe_cell(F.col(f"`{name}`").cast("string")).alias(target) for target, name in source.items()
     ])
     combined = journal.unionByName(renamed, allowMissingColumns=True)
     return combined.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def delete_rows(journal: DataFrame, row_ids: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFrame:
+def delete_rows(journal: DataFrame, row_ids: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
     """Drop the listed rows and number the rest again; unknown ids have no effect."""
     kept = journal.join(row_ids.select(order).distinct(), order, "left_anti")
-    return number_by_id(kept, order, "row_no", width)
+    return number_by_id(kept, order, "row_no", buckets)
 
 
 def update_rows(journal: DataFrame, updates: DataFrame, key: str) -> DataFrame:

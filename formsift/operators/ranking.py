@@ -1,8 +1,8 @@
 """Numbering and prefix counts that never sort a whole group in one task.
 
-Rows are cut into buckets of the (unique, integer) order column. A bucket of width ``w`` holds
-at most ``w`` rows of any group, so each window below is bounded; the buckets' totals, a table
-that is ``w`` times smaller, carry the running offsets.
+Rows are cut into buckets between quantiles of the order column, so that they are even however
+sparse, dense or clustered its values are. The windows below stay inside a bucket; the buckets'
+totals, a table of a fixed number of rows for each key, carry the running offsets.
 """
 
 from __future__ import annotations
@@ -12,7 +12,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_WIDTH = 1_000_000
+#: Buckets of an order column, a power of two.
+BUCKETS = 1024
+
+
+def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add ``_bucket``, which rises with ``order``; nulls and empty tables have bucket 0."""
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(order, shares, 100 * buckets).alias("b")).scalar()
+    # The bounds below a value are counted by halving.
+    steps = F.array(*[F.lit(buckets >> k) for k in range(1, buckets.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda i, step: F.when(
+        F.try_element_at("_bounds", i + step) < F.col(order), i + step).otherwise(i))
+    return df.withColumn("_bounds", bounds).withColumn("_bucket", F.coalesce(below, F.lit(0))).drop("_bounds")
 
 
 def _before_bucket(totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,14 +34,14 @@ def _before_bucket(totals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def count_earlier(
-    entries: DataFrame, keys: list[str], order: str, flag: str, width: int = BUCKET_WIDTH
+    entries: DataFrame, keys: list[str], order: str, flag: str, buckets: int = BUCKETS
 ) -> DataFrame:
     """Add ``earlier`` and ``earlier_flagged``: rows with the same keys and a smaller ``order``.
 
     ``order`` is unique within a key. One shuffle of the rows by (keys, bucket) serves the
     window and the join with the running totals.
     """
-    rows = entries.withColumn("_bucket", F.floor(F.col(order) / width))
+    rows = with_bucket(entries, order, buckets)
     hit = F.when(F.col(flag), 1).otherwise(0)
     before_row = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
@@ -83,5 +95,7 @@ def number_rows(
     )
 
 
-def number_by_id(df: DataFrame, order: str, name: str = "row_no", width: int = BUCKET_WIDTH) -> DataFrame:
-    return number_rows(df, [F.col(order)], F.floor(F.col(order) / width), name)
+def number_by_id(df: DataFrame, order: str, name: str = "row_no", buckets: int = BUCKETS) -> DataFrame:
+    """Dense numbers from 1 in the order of a column, which may be sparse, such as a hash."""
+    rows = with_bucket(df, order, buckets)
+    return number_rows(rows, [F.col(order)], F.col("_bucket"), name).drop("_bucket")

@@ -124,13 +124,13 @@ _CELL = "CASE WHEN {x}[1] IN ('=', '+', '-', '@') THEN '''' || {x} ELSE {x} END"
 
 @query("f1_evolving_append", f"""
 SELECT CAST(doc_id AS varchar) AS "{S.ROW_NUMBER}", child_fio AS "{S.CHILD_FIO}", phone AS "{S.PHONE}", NULL AS "Предметы на выбор", filename AS "{S.SOURCE_FILE}" FROM fx_applications
-UNION ALL SELECT NULL, trim(parent_fio), {_CELL.format(x='trim(phone)')}, {_CELL.format(x='trim(notes)')}, filename FROM fx_applications""")
+UNION ALL SELECT CAST((SELECT count(*) FROM fx_applications) + row_number() OVER (ORDER BY doc_id) AS varchar), trim(parent_fio), {_CELL.format(x='trim(phone)')}, {_CELL.format(x='trim(notes)')}, filename FROM fx_applications""")
 def f1_evolving_append(spark, sf):
     incoming = derived(spark, sf, "fx_applications").select(
-        c("parent_fio").alias("ФИО ребенка"), c("phone").alias("Телефон для связи"),
+        "doc_id", c("parent_fio").alias("ФИО ребенка"), c("phone").alias("Телефон для связи"),
         c("notes").alias("Предметы на выбор"), c("filename").alias("Файл"),
     )
-    return journal.append_records(_wide(spark, sf), incoming)
+    return journal.append_records(_wide(spark, sf), incoming, "doc_id")
 
 
 def _long_records(spark, sf):

@@ -45,7 +45,7 @@ def test_batch_duplicates_match_all_pairs(spark):
             counts = tuple(reasons.count(r) for r in (S.REASON_SNILS, S.REASON_NAME_BIRTH, S.REASON_NAME))
             expected[cur[0]] = (*counts, *found[0])
     # Width 7 spreads every hot group over many buckets.
-    got = {r[0]: tuple(r[1:]) for r in duplicates.batch_duplicates(df, width=7).collect()}
+    got = {r[0]: tuple(r[1:]) for r in duplicates.batch_duplicates(df, buckets=4).collect()}
     assert got == expected
     chosen = df.filter("doc_id >= 200")
     listed = {tuple(r) for r in duplicates.matches_of(chosen, df).collect()}
@@ -69,7 +69,7 @@ def test_journal_duplicates_match_all_pairs(spark):
 
 def test_numbering_over_buckets(spark):
     ids = spark.range(0, 1000, 7)
-    got = [tuple(r) for r in ranking.number_by_id(ids, "id", "no", width=50).orderBy("id").collect()]
+    got = [tuple(r) for r in ranking.number_by_id(ids, "id", "no", buckets=8).orderBy("id").collect()]
     assert got == [(i, n) for n, i in enumerate(range(0, 1000, 7), 1)]
     boxes = spark.createDataFrame(
         [(1, i, (i * 37) % 11 * 100, i % 3, 0, 0) for i in range(60)], "page_id long, det_no int, y1 int, x1 int, x2 int, y2 int"
@@ -168,13 +168,26 @@ def test_lockout(spark):
 
 def test_append_grows_before_service_columns(spark):
     base = spark.createDataFrame([("1", "Иванов", "a.png", "Проверено")], f"`{S.ROW_NUMBER}` string, `{S.CHILD_FIO}` string, `{S.SOURCE_FILE}` string, `{S.REVIEW_STATUS}` string")
-    new = spark.createDataFrame([("=Петров", "физика", "b.png")], "`ФИО ребенка` string, `Предметы` string, `Файл` string")
-    out = journal.append_records(base, new)
+    new = spark.createDataFrame([(7, "=Петров", "физика", "b.png")], "id long, `ФИО ребенка` string, `Предметы` string, `Файл` string")
+    out = journal.append_records(base, new, "id")
     assert out.columns == [S.ROW_NUMBER, S.CHILD_FIO, "Предметы", S.SOURCE_FILE, S.REVIEW_STATUS]
-    assert tuple(out.filter(F.col("Предметы").isNotNull()).first()) == (None, "'=Петров", "физика", "b.png", None)
+    assert tuple(out.filter(F.col("Предметы").isNotNull()).first()) == ("2", "'=Петров", "физика", "b.png", None)
     assert journal.find_column(S.JOURNAL_COLUMNS, "Телефон родителя") == S.PARENT_FIO
 
 
 def test_log_rows_hold_no_business_values(spark):
     df = spark.createDataFrame([(1, "u", "x", "Иванов", "f.png")], f"id long, username string, action string, `{S.CHILD_FIO}` string, filename string")
     assert canon.pii_safe(df).columns == ["id", "username", "action"]
+
+
+def test_numbering_of_sparse_identifiers(spark):
+    """Hashed 64-bit identifiers: even buckets, and no window without a partition but over totals."""
+    ids = spark.range(5000).select(F.xxhash64("id").alias("id"))
+    numbered = ranking.number_by_id(ids, "id", "no", buckets=64)
+    rows = sorted(tuple(r) for r in numbered.collect())
+    assert [n for _, n in rows] == list(range(1, 5001))
+    sizes = [r["count"] for r in ranking.with_bucket(ids, "id", 64).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 5000 / 64
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    lone = [line for line in plan.splitlines() if "Window [" in line and "], [_bucket#" in line and ", [_bucket#" not in line.split("windowspec")[1]]
+    assert all("sum(_n" in line for line in lone)
