@@ -52,6 +52,8 @@ def running_totals(
         "_bucket": F.floor(F.col(place) * F.col("_blocks") * F.lit(rows)).cast("long"),
     })
     own, block, bucket = g + ["_block", "_bucket"], g + ["_block"], ["_bucket"]
+    # Else the windows would stay with the groups' partitioning, and a large group in one task.
+    keyed = keyed.repartition(*own)
     before = lambda keys, by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy(*own).agg(F.sum(value).alias("_sum"))
     block_sums = sums.groupBy(*block).agg(F.sum("_sum").alias("_block_sum"))
