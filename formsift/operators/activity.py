@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import text
+from formsift.session import settled
 
 # Sign-in attempts of one key are windowed per chunk of this many seconds.
 CHUNK_SECONDS = 3600
@@ -153,7 +154,7 @@ def _recent_failures(attempts: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def lockout(attempts: DataFrame) -> DataFrame:
-    """Blocked attempts when every failure counts (rule A).
+    """A report in which every failure counts, unlike in the rule (``exact_lockout``).
 
     ``attempts``: ``id, username, ip, success, at_s``. User names are compared case-folded.
     Attempts in one second see only earlier seconds.
@@ -164,47 +165,121 @@ def lockout(attempts: DataFrame) -> DataFrame:
     return counted.select("id", "user_key", "ip", "user_failures", "ip_failures", blocked.alias("blocked"))
 
 
-def busy_spells(attempts: DataFrame, key: str) -> DataFrame:
-    """Attempts with the start of the spell they belong to.
+def sign_in_keys(attempts: DataFrame) -> DataFrame:
+    """``id, user_key, ip_key, at_s, success``: user names trimmed and folded, a blank IP null."""
+    user = F.lower(text.strip(F.col("username")))
+    ip = text.strip(F.col("ip"))
+    return attempts.select(
+        "id", F.when(user != "", user).alias("user_key"), F.when(ip != "", ip).alias("ip_key"), "at_s", "success")
 
-    Two attempts with an empty 15-minute slot between them cannot influence each other. Spells
-    come from the (key, slot) counts, a small table; a key's rows never meet in one task unless
-    they form one unbroken spell.
+
+class SignInRule:
+    """Attempts in order, one at a time: which are locked out.
+
+    A user is locked after so many failures in the window, an address after so many more. A
+    locked attempt counts as nothing; a success clears both counters. An attempt without a user
+    is neither locked nor counted; one without an address has only the user's counter.
+    """
+
+    def __init__(self, users: dict | None = None, addresses: dict | None = None):
+        self.users, self.addresses = users or {}, addresses or {}
+
+    @staticmethod
+    def recent(counters: dict, key: str, at_s: int) -> list[int]:
+        times = [t for t in counters.get(key, ()) if at_s - t < S.LOCK_WINDOW_SECONDS]
+        if times:
+            counters[key] = times
+        else:
+            counters.pop(key, None)
+        return times
+
+    def attempt(self, user: str | None, ip: str | None, at_s: int, success: bool) -> bool:
+        if user is None:
+            return False
+        if len(self.recent(self.users, user, at_s)) >= S.MAX_FAILED_USER:
+            return True
+        if ip is not None and len(self.recent(self.addresses, ip, at_s)) >= S.MAX_FAILED_IP:
+            return True
+        for counters, key in ((self.users, user), (self.addresses, ip)):
+            if key is None:
+                continue
+            if success:
+                counters.pop(key, None)
+            else:
+                counters[key] = [*counters.get(key, ()), at_s]
+        return False
+
+
+def sign_in_groups(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``spell``: attempts that cannot influence each other have different ones.
+
+    A user's or an address' attempts influence later ones for less than a window, so a key's
+    attempts with an empty window before them begin a new run. Runs of users and of addresses
+    that share an attempt are connected; a spell is a connected group of runs. The runs come from
+    (key, slot) counts, and spells from the links between runs, both smaller than the attempts.
     """
     slot = F.floor(F.col("at_s") / S.LOCK_WINDOW_SECONDS)
-    slots = attempts.select(key, slot.alias("slot")).distinct()
-    by_slot = Window.partitionBy(key).orderBy("slot")
-    starts = F.when(
-        F.coalesce(F.col("slot") - F.lag("slot").over(by_slot) > 1, F.lit(True)), F.col("slot")
-    )
-    spells = slots.withColumn("spell", F.last(starts, ignorenulls=True).over(by_slot))
-    return attempts.withColumn("slot", slot).join(spells, [key, "slot"]).drop("slot")
+    rows = keyed.withColumn("slot", slot)
+    for key, run in (("user_key", "user_run"), ("ip_key", "ip_run")):
+        slots = rows.filter(F.col(key).isNotNull()).select(key, "slot").distinct()
+        by_slot = Window.partitionBy(key).orderBy("slot")
+        starts = F.when(F.coalesce(F.col("slot") - F.lag("slot").over(by_slot) > 1, F.lit(True)), F.col("slot"))
+        runs = slots.withColumn("start", F.last(starts, ignorenulls=True).over(by_slot))
+        name = F.concat_ws("|", F.lit(key[0]), "start", key)
+        rows = rows.join(runs.select(key, "slot", name.alias(run)), [key, "slot"], "left")
+    links = settled(rows.filter("user_run is not null and ip_run is not null").select("user_run", "ip_run").distinct(), "run-links")
+    spells = connected(links.select(F.col("user_run").alias("a"), F.col("ip_run").alias("b")))
+    named = rows.join(spells.withColumnRenamed("node", "user_run"), "user_run", "left")
+    return named.withColumn("spell", F.coalesce("component", "user_run", "ip_run")).drop("slot", "user_run", "ip_run", "component")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """``node, component`` (its smallest node) of the nodes of ``links`` (a, b).
+
+    Each round gives a node the smallest component among its neighbours' and then that one's
+    own, so components merge in rounds that grow with the logarithm of the longest path.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "spells")
+    while True:
+        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        stepped = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.least("component", "near").alias("component"))
+        jumped = stepped.alias("x").join(stepped.alias("y"), F.col("x.component") == F.col("y.node"), "left").select(
+            F.col("x.node").alias("node"), F.coalesce("y.component", "x.component").alias("component"))
+        following = settled(jumped, "spells")
+        changed = following.join(labels, ["node", "component"], "left_anti")
+        if changed.isEmpty():
+            return labels
+        labels = following
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply the recursive rule to rows sorted by (user_key, spell, at_s, id)."""
-    current, failures = None, []
+    """Apply the rule to rows sorted by (spell, at_s, id)."""
+    current, rule = None, SignInRule()
     for rows in batches:
+        rows = rows.astype(object).where(rows.notna(), None)
         blocked = []
-        for user, spell, at_s, success in zip(rows.user_key, rows.spell, rows.at_s, rows.success):
-            if (user, spell) != current:
-                current, failures = (user, spell), []
-            failures = [t for t in failures if at_s - t < S.LOCK_WINDOW_SECONDS]
-            locked = len(failures) >= S.MAX_FAILED_USER
-            blocked.append(locked)
-            if not locked:
-                failures = [] if success else [*failures, at_s]
-        yield rows[["id", "user_key", "at_s", "success"]].assign(blocked=blocked)
+        for spell, user, ip, at_s, success in zip(rows.spell, rows.user_key, rows.ip_key, rows.at_s, rows.success):
+            if spell != current:
+                current, rule = spell, SignInRule()
+            blocked.append(rule.attempt(user, ip, at_s, bool(success)))
+        yield rows[["id", "user_key", "ip_key", "at_s", "success"]].assign(blocked=blocked)
 
 
-def exact_user_lockout(attempts: DataFrame) -> DataFrame:
-    """The per-user rule in which a blocked attempt does not count as a failure.
+def exact_lockout(attempts: DataFrame) -> DataFrame:
+    """Which attempts are locked out, with the counters of users and of addresses.
 
-    The state carried along a spell is at most five times, whatever the spell's length.
+    ``attempts`` has ``id, username, ip, success, at_s``; attempts of one second go by ``id``. The
+    work is split by spells that cannot influence each other; a task reads a spell in order
+    and keeps only the times of open counters.
     """
-    folded = attempts.select(
-        "id", F.lower(text.strip(F.col("username"))).alias("user_key"), "at_s", "success"
-    )
-    spells = busy_spells(folded, "user_key")
-    ordered = spells.repartition("user_key", "spell").sortWithinPartitions("user_key", "spell", "at_s", "id")
-    return ordered.mapInPandas(_replay, "id long, user_key string, at_s long, success boolean, blocked boolean")
+    spells = sign_in_groups(sign_in_keys(attempts))
+    ordered = spells.repartition("spell").sortWithinPartitions("spell", "at_s", "id")
+    return ordered.mapInPandas(
+        _replay, "id long, user_key string, ip_key string, at_s long, success boolean, blocked boolean")
+
+
+def exact_user_lockout(attempts: DataFrame) -> DataFrame:
+    """The rule with the counters of users alone."""
+    alone = attempts.withColumn("ip", F.lit(None).cast("string"))
+    return exact_lockout(alone).drop("ip_key")

@@ -105,14 +105,34 @@ def _failures_sql(key: str, name: str) -> str:
   ON b.k = a.k AND b.at_s BETWEEN a.at_s - 899 AND a.at_s - 1 AND b.at_s > coalesce(a.ok_s, -1) GROUP BY a.id)"""
 
 
-@query("e8_lockout", f"""
+@query("e8_failure_counts", f"""
 WITH {_failures_sql('lower(username)', 'by_user')}, {_failures_sql('ip', 'by_ip')}
 SELECT l.id, lower(username) AS user_key, ip, u.n AS user_failures, p.n AS ip_failures, u.n >= 5 OR p.n >= 15 AS blocked
 FROM fx_logins l JOIN by_user u ON u.id = l.id JOIN by_ip p ON p.id = l.id""")
-def e8_lockout(spark, sf):
+def e8_failure_counts(spark, sf):
     return activity.lockout(derived(spark, sf, "fx_logins"))
 
 
+# Both counters, one attempt of the whole log after another.
+BOTH_COUNTERS = """
+WITH RECURSIVE turns AS (SELECT id, nullif(lower(trim(username)), '') AS user_key, nullif(trim(ip), '') AS ip_key, at_s, success,
+    row_number() OVER (ORDER BY at_s, id) AS turn FROM fx_logins),
+play AS (SELECT CAST(0 AS bigint) AS turn, CAST(NULL AS bigint) AS id, CAST(NULL AS varchar) AS user_key, CAST(NULL AS varchar) AS ip_key, false AS blocked,
+    CAST([] AS STRUCT(u varchar, i varchar, t bigint)[]) AS uf, CAST([] AS STRUCT(u varchar, i varchar, t bigint)[]) AS pf
+  UNION ALL SELECT turn, id, user_key, ip_key, locked, 
+    CASE WHEN locked OR user_key IS NULL THEN uf WHEN success THEN list_filter(uf, lambda f: f.u <> user_key) ELSE list_append(uf, {'u': user_key, 'i': ip_key, 't': at_s}) END,
+    CASE WHEN locked OR user_key IS NULL OR ip_key IS NULL THEN pf WHEN success THEN list_filter(pf, lambda f: f.i <> ip_key) ELSE list_append(pf, {'u': user_key, 'i': ip_key, 't': at_s}) END
+  FROM (SELECT *, user_key IS NOT NULL AND (len(list_filter(uf, lambda f: f.u = user_key)) >= 5 OR (ip_key IS NOT NULL AND len(list_filter(pf, lambda f: f.i = ip_key)) >= 15)) AS locked
+    FROM (SELECT t.*, list_filter(p.uf, lambda f: t.at_s - f.t < 900) AS uf, list_filter(p.pf, lambda f: t.at_s - f.t < 900) AS pf
+      FROM play p JOIN turns t ON t.turn = p.turn + 1) a) b)
+SELECT id, user_key, ip_key, blocked FROM play WHERE turn > 0"""
+
+
+@query("e8_lockout", BOTH_COUNTERS)
+def e8_lockout(spark, sf):
+    return activity.exact_lockout(derived(spark, sf, "fx_logins")).select("id", "user_key", "ip_key", "blocked")
+
+
 # The recursive rule, one attempt per step of every user.
 EXACT_LOCKOUT = """
 WITH RECURSIVE turns AS (SELECT id, lower(username) AS user_key, at_s, success, row_number() OVER (PARTITION BY lower(username) ORDER BY at_s, id) AS turn FROM fx_logins),

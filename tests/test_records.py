@@ -191,3 +191,28 @@ def test_numbering_of_sparse_identifiers(spark):
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     lone = [line for line in plan.splitlines() if "Window [" in line and "], [_bucket#" in line and ", [_bucket#" not in line.split("windowspec")[1]]
     assert all("sum(_n" in line for line in lone)
+
+
+def test_lockout_of_users_and_addresses(spark):
+    """One hot address over many hours, blank users and addresses, equal seconds, successes."""
+    rng = random.Random(12)
+    rows, at = [], 0
+    for i in range(700):
+        at += 4000 if i % 120 == 119 else rng.choice([0, 0, 1, 5, 20, 40])
+        user = rng.choice(["anna", " Anna ", "boris", "clara", "", None] + [f"u{k}" for k in range(12)])
+        ip = rng.choice(["10.0.0.1"] * 5 + ["10.0.0.2", " ", None])
+        rows.append((i, user, ip, rng.random() < 0.03, at))
+    users, addresses, want = {}, {}, {}
+    for i, user, ip, success, t in sorted(rows, key=lambda r: (r[4], r[0])):
+        user, ip = (user or "").strip().lower(), (ip or "").strip()
+        for counters in (users, addresses):
+            for key in counters:
+                counters[key] = [x for x in counters[key] if t - x < 900]
+        want[i] = bool(user) and (len(users.get(user, [])) >= 5 or bool(ip) and len(addresses.get(ip, [])) >= 15)
+        if user and not want[i]:
+            for counters, key in ((users, user), (addresses, ip)):
+                if key:
+                    counters[key] = [] if success else counters.get(key, []) + [t]
+    got = {r.id: r.blocked for r in activity.exact_lockout(spark.createDataFrame(rows, LOGINS)).collect()}
+    assert got == want and 50 < sum(want.values()) < 650
+    assert activity.sign_in_groups(activity.sign_in_keys(spark.createDataFrame(rows, LOGINS))).select("spell").distinct().count() > 3
