@@ -94,34 +94,78 @@ def _numbered_letters(norm: Column) -> Column:
     )
 
 
-def _with_letters(df: DataFrame) -> DataFrame:
-    """Add the letters and the prefix of them that any match must share.
+#: Letters whose frequency is told apart; the others count as rare.
+FREQUENT_LETTERS = 512
+
+
+def _letter_rank(words: DataFrame) -> Column:
+    """Rank of the lambda's letter, rarest first, as measured over ``words``; a bounded list."""
+    counts = words.select(F.explode(_numbered_letters(F.col("norm"))).alias("letter")).groupBy("letter").count()
+    top = [r["letter"] for r in counts.orderBy(F.desc("count"), "letter").limit(FREQUENT_LETTERS).collect()]
+    pairs = [F.lit(x) for rank, letter in enumerate(reversed(top), 1) for x in (letter, rank)]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
+
+
+def _joined(prefix: Column, many: int) -> Column:
+    """All combinations of so many letters of a prefix, each as one text."""
+    if many == 1:
+        return prefix
+    rest = lambda i: F.slice(prefix, i + 2, F.size(prefix))
+    return F.flatten(F.transform(prefix, lambda x, i: F.transform(
+        _joined(rest(i), many - 1), lambda y: F.concat(x, F.lit("|"), y))))
+
+
+def _with_letters(df: DataFrame, rank: Column) -> DataFrame:
+    """Add the word's numbered letters, rarest first, and the keys of which a match shares one.
 
     The ratio of two words is at most their letter overlap, 2*shared/(m+n). For a ratio of t a
-    word of m letters must share at least t*m/(2-t) of them, so two matching words have a
-    common letter among the first m - needed + 1 of each. The filter loses no match.
+    word of m letters must share at least t*m/(2-t) of them. Two words that share s letters have
+    the first k shared ones among the first m - s + k of each, so a combination of k letters of
+    that prefix meets. Words too short to share k letters meet by one. Nothing is lost.
     """
-    t = _threshold(F.col("category"))
-    needed = F.ceil(F.length("norm") * t / (2 - t) - 1e-9)
-    return df.withColumn("letters", _numbered_letters(F.col("norm"))).withColumn(
-        "prefix", F.slice("letters", F.lit(1), F.greatest(F.lit(1), F.length("norm") - needed + 1).cast("int"))
-    )
+    t, m = _threshold(F.col("category")), F.length("norm")
+    needed = F.greatest(F.lit(1), F.ceil(m * t / (2 - t) - 1e-9))
+    lettered = df.withColumn("letters", F.transform(
+        F.array_sort(F.transform(_numbered_letters(F.col("norm")), lambda x: F.struct(
+            F.coalesce(F.try_element_at(rank, x), F.lit(0)).alias("rank"), x.alias("letter")))),
+        lambda e: e["letter"]))
+
+    def first(least: Column, k: int) -> Column:
+        return F.slice("letters", F.lit(1), F.greatest(F.lit(0), m - least + k).cast("int"))
+
+    def keys(k: int) -> Column:
+        many = _joined(first(F.greatest(needed, F.lit(k)), k), k)
+        few = F.transform(first(needed, 1), lambda x: F.concat(F.lit("1|"), x))
+        return F.when(needed < k, F.concat(many, few)).otherwise(many)
+
+    # A low threshold takes longer prefixes, which three letters narrow as much as two do others.
+    return lettered.withColumn("keys", F.when(t < 0.75, keys(3)).otherwise(keys(2)))
+
+
+def candidate_pairs(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of ``words`` (category, norm) and ``known`` (category, to, norm) that share a key and
+    whose lengths allow a match; a pair comes once for each key that it shares."""
+    rank = _letter_rank(words.select("norm").unionByName(known.select("norm")))
+    t, m = _threshold(F.col("category")), F.length("norm")
+    shortest = F.greatest(F.lit(1), F.ceil(m * t / (2 - t) - 1e-9))
+    lengths = F.sequence(shortest, F.greatest(shortest, F.floor(m * (2 - t) / t + 1e-9)))
+    left = _with_letters(words, rank).withColumn("length", F.explode(lengths)).withColumn("key", F.explode("keys")).drop("keys")
+    right = _with_letters(known, rank).select(
+        "category", "to", F.col("norm").alias("known"), F.col("letters").alias("known_letters"),
+        m.cast("long").alias("length"), F.explode("keys").alias("key"))
+    return left.join(right, ["category", "key", "length"])
 
 
 def nearest_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """Best entry ``category, norm, to, score`` for each key with a score over its threshold.
 
-    Candidates come from an equi-join on prefix letters; the letter overlap is checked in the
-    JVM, and only distinct surviving pairs reach the similarity function. Equal scores go to
-    the smallest entry.
+    Candidates come from an equi-join on rare letters and length; the letter overlap is checked
+    in the JVM, and only distinct surviving pairs reach the similarity function. Equal scores go
+    to the smallest entry.
     """
-    words = _with_letters(keys.filter("norm <> ''"))
-    known = _with_letters(
-        entries.select("category", F.col("value").alias("to"), text.dict_norm(F.col("value")).alias("known"))
-        .filter("known <> ''").withColumnRenamed("known", "norm")
-    ).select("category", "to", F.col("norm").alias("known"), F.col("letters").alias("known_letters"),
-             F.explode("prefix").alias("letter"))
-    pairs = words.withColumn("letter", F.explode("prefix")).join(known, ["category", "letter"])
+    words = keys.filter("norm <> ''")
+    known = entries.select("category", F.col("value").alias("to"), text.dict_norm(F.col("value")).alias("norm")).filter("norm <> ''")
+    pairs = candidate_pairs(words, known)
     shared = F.size(F.array_intersect("letters", "known_letters"))
     bound = 2 * shared / (F.size("letters") + F.size("known_letters"))
     pairs = (

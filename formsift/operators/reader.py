@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame
 def read_fields(df: DataFrame, predict: Callable[[pd.Series], pd.Series], content: str = "content") -> DataFrame:
     """``doc_id, raw, error`` from ``doc_id`` and a content column.
 
-    ``predict`` maps a series of contents to a series of raw answers. When a batch fails, its
-    documents are tried one by one, so a bad document costs its own row only.
+    ``predict`` maps a series of contents to a series of raw answers; an answer that is an
+    exception is its row's error. When a call fails as a whole, its batch is halved until the
+    documents that fail are alone, so one bad document costs a few calls and its own row.
     """
 
-    def one(item) -> tuple[str | None, str | None]:
+    def answers(items: pd.Series) -> list[tuple[str | None, str | None]]:
         try:
-            return str(predict(pd.Series([item])).iloc[0]), None
-        except Exception as exc:  # the row reports it
-            return None, f"{type(exc).__name__}: {exc}"
+            found = list(predict(items))
+            if len(found) != len(items):
+                raise ValueError("predict must give one answer for each document")
+        except Exception as exc:
+            if len(items) == 1:
+                return [(None, f"{type(exc).__name__}: {exc}")]
+            half = len(items) // 2
+            return answers(items.iloc[:half]) + answers(items.iloc[half:])
+        return [(None, f"{type(x).__name__}: {x}") if isinstance(x, Exception) else (str(x), None) for x in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            try:
-                raw, error = predict(rows[content]).astype(str).to_list(), [None] * len(rows)
-            except Exception:
-                pairs = [one(item) for item in rows[content]]
-                raw, error = [p[0] for p in pairs], [p[1] for p in pairs]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_list(), "raw": raw, "error": error})
+            pairs = answers(rows[content]) if len(rows) else []
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_list(), "raw": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
 
     return df.select("doc_id", content).mapInPandas(run, "doc_id long, raw string, error string")

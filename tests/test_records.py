@@ -3,9 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from formsift import schema as S
+from tests.conftest import SF_DIR
 from formsift.operators import activity, canon, dictionary, duplicates, journal, ranking, regions
 
 KEYS = "doc_id long, filename string, snils string, name string, birth string"
@@ -104,6 +106,19 @@ def test_nearest_entries_lose_no_match(spark):
         assert got == expected and expected
 
 
+@pytest.mark.parametrize("category, most", [("surnames", 0.12), ("cities", 0.05)])
+def test_few_pairs_become_candidates(spark, category, most):
+    """Distinct words of real texts: the share of all pairs that the letter keys let through."""
+    def words(table):
+        column = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+        found = spark.read.parquet(f"{SF_DIR}/{table}.parquet").select(column.alias("norm")).filter("norm <> ''").distinct()
+        return found.orderBy(F.xxhash64("norm")).limit(1500).select(F.lit(category).alias("category"), "norm")
+
+    left, right = words("documents"), words("conversations").withColumn("to", F.col("norm"))
+    pairs = dictionary.candidate_pairs(left, right).select("norm", "known").distinct().count()
+    assert 0 < pairs <= most * left.count() * right.count(), pairs / (left.count() * right.count())
+
+
 def test_dictionary_rules(spark):
     rows = [(1, S.CHILD_FIO, "Бодров алексей Влодимирович"), (1, S.ADDRESS, "г. Воронеш, ул"), (2, S.PASSPORT, "выдан РЖТ"), (3, S.PARENT_FIO, "Иванов")]
     df = spark.createDataFrame(rows, "doc_id long, field string, value string")
