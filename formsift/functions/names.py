@@ -10,22 +10,24 @@ from formsift.functions.text import (
 )
 
 # --- Fixed values ------------------------------------------------------------------------
-PATRONYMICS = """
-александрович алексеевич анатольевич андреевич антонович аркадьевич артемович артёмович
-борисович вадимович валентинович валерьевич васильевич викторович витальевич владимирович
-владиславович вячеславович геннадьевич георгиевич григорьевич даниилович данилович
-денисович дмитриевич евгеньевич егорович иванович игоревич ильич кириллович
-константинович леонидович львович максимович матвеевич михайлович никитич николаевич
-олегович павлович петрович пётрович романович русланович сергеевич станиславович
-степанович тимофеевич федорович фёдорович филиппович эдуардович юрьевич ярославович
-александровна алексеевна анатольевна андреевна антоновна аркадьевна артемовна артёмовна
-борисовна вадимовна валентиновна валерьевна васильевна викторовна витальевна владимировна
-владиславовна вячеславовна геннадьевна георгиевна григорьевна данииловна даниловна
-денисовна дмитриевна евгеньевна егоровна ивановна игоревна ильинична кирилловна
-константиновна леонидовна львовна максимовна матвеевна михайловна никитична николаевна
-олеговна павловна петровна пётровна романовна руслановна сергеевна станиславовна
-степановна тимофеевна федоровна фёдоровна филипповна эдуардовна юрьевна ярославовна
-""".split()
+PATRONYMICS = [
+    "александрович", "алексеевич", "анатольевич", "андреевич", "антонович", "аркадьевич", "артемович",
+    "артёмович", "борисович", "вадимович", "валентинович", "валерьевич", "васильевич", "викторович",
+    "витальевич", "владимирович", "владиславович", "вячеславович", "геннадьевич", "георгиевич",
+    "григорьевич", "даниилович", "данилович", "денисович", "дмитриевич", "евгеньевич", "егорович",
+    "иванович", "игоревич", "ильич", "кириллович", "константинович", "леонидович", "львович", "максимович",
+    "матвеевич", "михайлович", "никитич", "николаевич", "олегович", "павлович", "петрович", "пётрович",
+    "романович", "русланович", "сергеевич", "станиславович", "степанович", "тимофеевич", "федорович",
+    "фёдорович", "филиппович", "эдуардович", "юрьевич", "ярославович", "александровна", "алексеевна",
+    "анатольевна", "андреевна", "антоновна", "аркадьевна", "артемовна", "артёмовна", "борисовна",
+    "вадимовна", "валентиновна", "валерьевна", "васильевна", "викторовна", "витальевна", "владимировна",
+    "владиславовна", "вячеславовна", "геннадьевна", "георгиевна", "григорьевна", "данииловна", "даниловна",
+    "денисовна", "дмитриевна", "евгеньевна", "егоровна", "ивановна", "игоревна", "ильинична", "кирилловна",
+    "константиновна", "леонидовна", "львовна", "максимовна", "матвеевна", "михайловна", "никитична",
+    "николаевна", "олеговна", "павловна", "петровна", "пётровна", "романовна", "руслановна", "сергеевна",
+    "станиславовна", "степановна", "тимофеевна", "федоровна", "фёдоровна", "филипповна", "эдуардовна",
+    "юрьевна", "ярославовна",
+]
 PATRONYMIC_ENDINGS = ["ович", "евич", "ич", "овна", "евна", "ична", "инична", "внч", "внa"]
 LATER_WORD_ENDINGS = ["ович", "евич", "ич", "овна", "евна", "ична", "внч"]
 MALE_INPUT_ENDINGS = ["ч", "вич", "ич", "внч", "вч"]

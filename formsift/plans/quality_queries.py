@@ -100,15 +100,16 @@ def d9_position_errors(spark, sf):
     return quality.position_errors(quality.aligned_digits(derived(spark, sf, "fx_eval")))
 
 
-@query("j3_align_udtf")
+@query("j3_align_udtf", f"""
+WITH RECURSIVE {_ALIGNED} SELECT field, reference, predicted, CAST(position AS int) AS position, CAST(sum(n) AS bigint) AS n FROM aligned GROUP BY ALL""")
 def j3_align_udtf(spark, sf):
     from formsift.functions.align import AlignDigits
 
     spark.udtf.register("align_digits", AlignDigits)
-    quality.numeric_pairs(derived(spark, sf, "fx_eval")).createOrReplaceTempView("fs_digit_pairs")
     return spark.sql(
         "SELECT p.field, a.reference, a.predicted, a.position, sum(p.n) AS n "
-        "FROM fs_digit_pairs p, LATERAL align_digits(p.ref, p.pred) a GROUP BY ALL"
+        "FROM {pairs} p, LATERAL align_digits(p.ref, p.pred) a GROUP BY ALL",
+        pairs=quality.numeric_pairs(derived(spark, sf, "fx_eval")),
     )
 
 
