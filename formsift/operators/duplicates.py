@@ -197,20 +197,21 @@ def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bo
     record without birth date; ``undated_rows`` also lets journal rows without one match, the
     rule inside a batch.
     """
-    finest = journal.filter("name <> ''").groupBy("name", "birth", "snils").agg(
+    # One pass over the journal; all levels are rolled up from its distinct keys.
+    finest = settled(journal.filter("name <> '' OR snils IS NOT NULL").groupBy("name", "birth", "snils").agg(
         F.count("*").alias("_n"), F.min("doc_id").alias("_first")
-    )
+    ), "journal-keys")
     undated = F.when(F.col("birth") == "", F.col("_n"))
     undated_first = F.when(F.col("birth") == "", F.col("_first"))
 
     def rolled(keys: list[str], tag: str) -> DataFrame:
-        return finest.filter(f"{keys[-1]} IS NOT NULL").groupBy(*keys).agg(
+        return finest.filter(f"name <> '' AND {keys[-1]} IS NOT NULL").groupBy(*keys).agg(
             F.sum("_n").alias(f"n_{tag}"), F.min("_first").alias(f"first_{tag}"),
             F.sum(undated).alias(f"undated_{tag}"), F.min(undated_first).alias(f"undated_first_{tag}"),
         )
 
-    by_snils = journal.filter("snils IS NOT NULL").groupBy("snils").agg(
-        F.count("*").alias("n_s"), F.min("doc_id").alias("first_s")
+    by_snils = finest.filter("snils IS NOT NULL").groupBy("snils").agg(
+        F.sum("_n").alias("n_s"), F.min("_first").alias("first_s")
     )
     spread = incoming.withColumns({"_s": _join_key("snils"), "_n": _join_key("name")})
     joined = spread.join(by_snils.withColumnRenamed("snils", "_s"), "_s", "left")
