@@ -31,9 +31,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], epochs: int, budg
     left = F.sum("w").over(by_need.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.partitionBy())
     s = s.withColumn("level", (total * F.lit(budget) - spent) / left)
-    # Sources are capped in order of need until one has room at the level that is left.
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), "level")))
-    s = s.withColumn("final", level.over(Window.partitionBy())["level"])
+    # Sources are capped in order of need until one has room at the level that is left; further
+    # ones would only lower the level.
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level")))
+    s = s.withColumn("final", level.over(Window.partitionBy()))
     target = F.coalesce(F.least(F.col("cap").cast("double"), F.col("w") * F.col("final")), F.col("cap").cast("double"))
     return s.select("source", "source_size", target.alias("target"))
 

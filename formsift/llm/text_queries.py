@@ -65,7 +65,7 @@ sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (
 weighted AS (SELECT source, source_size, 3 * source_size AS cap, CASE (p - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sources),
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM weighted),
-final AS (SELECT arg_min(level, cap / w) AS level FROM levels WHERE level <= cap / w),
+final AS (SELECT max(level) AS level FROM levels WHERE level <= cap / w),
 targets AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT level FROM final)) AS target FROM weighted),
 entries AS (SELECT b.*, t.source_size, t.target, e.epoch, e.epoch * t.source_size + coalesce(sum(b.size) OVER (
     PARTITION BY b.source, e.epoch ORDER BY substr(md5('mix|' || e.epoch || '|' || b.doc_id), 1, 12), b.doc_id, b.size
