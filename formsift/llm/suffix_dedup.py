@@ -111,11 +111,15 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
     return settled(runs.filter("n > 1").select("anchor"), "anchors")
 
 
-OCCURRENCE = "anchor long, place int, context binary, doc_id long, start long"
+OCCURRENCE = "anchor long, place int, mark binary, size int, doc_id long, start long, spot int, context binary"
 
 
 def occurrences(texts: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """The contexts of runs whose anchor occurs again: all bytes of the run's strings."""
+    """The contexts of runs whose anchor occurs again: all bytes of the run's strings.
+
+    ``mark`` is the context's hash, by which equal ones are found without moving their bytes;
+    ``spot`` is the place of (document, start) in a filter of a fixed size.
+    """
     bits = anchors.select(F.col("anchor").bitwiseAND(FILTER_BITS - 1).alias("p"))
     table = texts.sparkSession.sparkContext.broadcast(bit_filter(bits))
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
@@ -128,12 +132,15 @@ def occurrences(texts: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 anchor, part, first, stop, place = (x[hit] for x in found)
                 data = b"".join(x[2] for x in parts)
                 base = np.cumsum([0] + [len(x[2]) for x in parts])
-                docs = np.array([x[0] for x in parts])[part] if len(part) else np.zeros(0, np.int64)
-                offset = np.array([x[1] for x in parts], np.int64)[part] if len(part) else np.zeros(0, np.int64)
+                docs = np.array([x[0] for x in parts], np.int64)[part]
+                start = first - base[part] + np.array([x[1] for x in parts], np.int64)[part]
+                contexts = [data[a:b + length - 1] for a, b in zip(first.tolist(), stop.tolist())]
+                spot = mix(docs.view(np.uint64) * Tables.upto(2)[0][1] + start.view(np.uint64)) & np.uint64(FILTER_BITS - 1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor.view(np.int64)), pa.array((place - first).astype(np.int32)),
-                    pa.array([data[a:b + length - 1] for a, b in zip(first.tolist(), stop.tolist())], pa.binary()),
-                    pa.array(docs.astype(np.int64)), pa.array(first - base[part] + offset),
+                    pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in contexts], pa.binary()),
+                    pa.array((stop - first + length - 1).astype(np.int32)), pa.array(docs), pa.array(start),
+                    pa.array(spot.astype(np.int32)), pa.array(contexts, pa.binary()),
                 ], names)
 
     return texts.mapInArrow(emit, OCCURRENCE)
@@ -141,23 +148,22 @@ def occurrences(texts: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
 
 def first_of_equals(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct contexts with their first place, and ``doc_id, start, end`` of all the others."""
-    keys = ["anchor", "place", "context"]
+    keys = ["anchor", "place", "mark"]
     distinct = settled(found.groupBy(*keys).agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")), "contexts")
-    mark = F.xxhash64("context").alias("mark")
-    again = distinct.filter("n > 1").select("anchor", "place", mark, "first")
-    rows = found.select("anchor", "place", mark, F.octet_length("context").alias("size"), "doc_id", "start")
-    others = rows.join(again, ["anchor", "place", "mark"]).filter(F.struct("doc_id", "start") != F.col("first"))
+        F.min(F.struct("doc_id", "start", "spot")).alias("first"), F.count(F.lit(1)).alias("n")), "contexts")
+    again = distinct.filter("n > 1").select(*keys, "first")
+    rows = found.select(*keys, "size", "doc_id", "start")
+    here = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
+    others = rows.join(again, keys).filter(F.struct("doc_id", "start") != here)
     return distinct, others.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
-def single_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """Contexts cut into one occurrence for each of their strings, told apart by a hash."""
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("at")
-    cut = contexts.select("anchor", "place", "context", "first", at)
+def single_strings(found: DataFrame, length: int) -> DataFrame:
+    """Contexts cut into one occurrence for each of their strings."""
+    cut = found.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - length)).alias("at"))
     string = F.substring("context", F.col("at") + 1, F.lit(length))
-    return cut.select("anchor", (F.col("place") - F.col("at")).alias("place"), F.unhex(F.md5(string)).alias("context"),
-                      F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("at")).alias("start"))
+    return cut.select("anchor", (F.col("place") - F.col("at")).alias("place"), F.unhex(F.md5(string)).alias("mark"),
+                      F.lit(length).alias("size"), "doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(0).alias("spot"))
 
 
 class Block:
@@ -210,10 +216,23 @@ class Block:
         return [tuple(s) for s in spans]
 
 
-def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
-    """``doc_id, start, end`` of strings that start earlier in another context of their anchor."""
+def by_suffix_array(found: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
+    """``doc_id, start, end`` of strings that start earlier in another context of their anchor.
+
+    Only the first of equal contexts is looked at, and only of anchors with several; the filter
+    lets a few others by, which changes nothing.
+    """
+    many = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
+    several = distinct.select("anchor", F.col("first.spot").alias("p"), many.alias("many")).filter(
+        (F.col("many") > 1) & (F.col("many") <= MOST_CONTEXTS))
+    table = found.sparkSession.sparkContext.broadcast(bit_filter(several.select("p")))
     names = ["doc_id", "start", "end"]
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = has_bit(table.value, batch.column("spot").to_numpy())
+            yield batch.select(["anchor", "context", "doc_id", "start"]).filter(pa.array(hit))
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, group, current = Block(length), [], None
 
@@ -234,8 +253,9 @@ def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
         if block.contexts:
             yield handed(block.repeats())
 
-    rows = contexts.select("anchor", "context", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
-    return rows.sortWithinPartitions("anchor").mapInArrow(judge, "doc_id long, start long, end long")
+    rows = found.select("anchor", "context", "doc_id", "start", "spot").mapInArrow(
+        pick, "anchor long, context binary, doc_id long, start long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(judge, "doc_id long, start long, end long")
 
 
 def without(raw: bytes, spans: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -260,12 +280,11 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     anchors = repeated_anchors(texts, length)
     found = settled(occurrences(texts, anchors, length), "occurrences")
     distinct, others = first_of_equals(found)
-    many = distinct.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
-    partly = by_suffix_array(many.filter((F.col("many") > 1) & (F.col("many") <= MOST_CONTEXTS)), length)
+    partly = by_suffix_array(found, distinct, length)
     crowded = distinct.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor")
-    strings = single_strings(distinct.join(crowded, "anchor", "left_semi"), length)
+    ours = distinct.join(crowded, "anchor", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
+    strings = single_strings(found.join(crowded, "anchor", "left_semi").join(ours, ["doc_id", "start"], "left_semi"), length)
     _, alone = first_of_equals(strings)
-    alone = alone.select("doc_id", "start", (F.col("start") + length).alias("end"))
     spans = others.unionByName(partly).unionByName(alone)
     return settled(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
@@ -309,11 +328,11 @@ def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
 
     def second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield batch_of([judged(r["doc_id"], r["raw"], r["spans"] or []) for r in rows], {})
+            yield batch_of([
+                judged(r["doc_id"], r["raw"], r["spans"] or []) if r["raw"] is not None else tuple(r[c] for c in types)
+                for r in batch.to_pylist()], {})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    looked = settled(texts.withColumn("p", place).mapInArrow(first_look, schema + ", raw binary"), "looked")
-    rest = looked.filter("raw is not null").select("doc_id", "raw").join(spans, "doc_id", "left")
-    out = looked.filter("raw is null").drop("raw").unionByName(rest.mapInArrow(second_look, schema))
+    looked = texts.withColumn("p", place).mapInArrow(first_look, schema + ", raw binary")
+    out = looked.join(spans, "doc_id", "left").mapInArrow(second_look, schema)
     return out if keep_text else out.drop("kept")
