@@ -7,6 +7,7 @@ import __spark_entry__ as driver
 import corpus_pipeline
 from formsift.llm import catalog
 from tests.conftest import SF_DIR
+from tests.llm.test_operators import brute_components, brute_lines
 from tools.check import compare, duck
 
 DOCUMENTS = ["doc_id", "lang", "n_chars", "source", "text"]
@@ -27,15 +28,23 @@ def test_pipeline_keeps_the_shape_and_takes_effect(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
         docs = corpus_pipeline.settled(stage(spark, docs, SF_DIR), name)
         assert sorted(docs.columns) == DOCUMENTS
+        left = sorted((r.doc_id, r.text) for r in docs.collect())
+        if name == "line_dedup":
+            assert left == sorted(brute_lines(rows, 5))
+        if name == "ngram_jaccard_join":
+            heads = {d for d, _, root in brute_components(rows) if d == root}
+            assert left == sorted((d, t) for d, t, _ in rows if d in heads)
+        if name == "source_mixing":
+            texts = {d: t for d, t, _ in rows}
+            assert all(t == texts[d] for d, t in left) and max(left.count(x) for x in left) <= 3
         if name == "quality_classifier":
             labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
             clean = labels.filter("quality = 1").join(docs, "doc_id", "left_anti").count()
             junk = labels.filter("quality = 0").join(docs, "doc_id", "left_semi").count()
             assert docs.count() < before and clean + junk <= 4
-        if name == "ngram_jaccard_join":
-            assert docs.count() == docs.select("doc_id").distinct().count()
     mixed = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     pieces = packed.agg(F.count_if(F.col("piece") == 0)).first()[0]
