@@ -21,6 +21,12 @@ def star(links: DataFrame, large: bool) -> DataFrame:
     return tied.filter("a > b").distinct()
 
 
+def flat(links: DataFrame) -> bool:
+    """Whether no node is tied twice, nor tied and tied to."""
+    ties = links.select("a").unionByName(links.select(F.col("b").alias("a")).distinct())
+    return ties.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """``node, component`` of every node of the links ``a, b``; a component is its smallest node.
 
@@ -33,6 +39,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
     while seen["n"]:
         now = settled(star(star(now, True), False), name)
         before, seen = seen, ends(now)
-        if tuple(before) == tuple(seen):
+        # Done when nothing changed, or, without another round to see it, when every node is tied
+        # once and to nothing that is tied itself.
+        if tuple(before) == tuple(seen) or flat(now):
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formsift.llm.common import settled
@@ -183,33 +183,47 @@ def set_table(docs: DataFrame, threshold: Threshold) -> DataFrame:
     return settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema), "sets")
 
 
-def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, n, bits, elements`` of the documents whose ``id`` is wanted.
-
-    A bitmap of wanted identifiers of a fixed size spares most other texts; the join is exact.
-    """
-    position = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = wanted.select(position.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(
+def bit_filter(wanted: DataFrame) -> np.ndarray:
+    """Bits at the places of the wanted ``id``s, in a table of a fixed size."""
+    words = wanted.select(place_of("id").alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 32, np.uint32)
     table[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def has_bit(table: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (table[p // 32] >> (p % 32).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def place_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, p, n, bits, elements`` of the documents whose ``id`` is wanted.
+
+    A bitmap of wanted identifiers of a fixed size spares most other texts; sets that it lets by
+    for nothing stay unused.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array((shared.value[p // 32] >> (p % 32).astype(np.uint32) & 1).astype(bool)))
-            for some in gathered(list(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()))):
+            batch = batch.filter(pa.array(has_bit(shared.value, batch.column("p").to_numpy())))
+            keys = zip(batch.column("id").to_pylist(), batch.column("p").to_pylist())
+            for some in gathered(list(zip(keys, batch.column("text").to_pylist()))):
                 sets = shingle_sets([t for _, t in some])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([d for d, _ in some], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([k[0] for k, _ in some], pa.int64()), pa.array([k[1] for k, _ in some], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
-                ], ["id", "n", "bits", "elements"])
+                ], ["id", "p", "n", "bits", "elements"])
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    built = texts.select("id", "text", position.alias("p")).mapInArrow(build, "id long, n long, bits binary, elements binary")
-    return settled(built.join(wanted, "id", "left_semi").filter("n > 0"), "needed-sets")
+    built = texts.select("id", "text", place_of("id").alias("p")).mapInArrow(build, "id long, p long, n long, bits binary, elements binary")
+    return settled(built.filter("n > 0"), "needed-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
@@ -232,16 +246,25 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFra
                 keep.append(overlap(a, b) >= threshold.needed(len(a), len(b)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def joined(left: DataFrame, *columns: str) -> DataFrame:
+    def joined(left: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
         for end in ("a", "b"):
             side = sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
             left = left.join(side, end)
         return left
 
-    close = joined(pairs, "n", "bits").filter(
+    close = joined(pairs, sets, "n", "bits").filter(
         F.least("n_a", "n_b") * threshold.den >= F.greatest("n_a", "n_b") * threshold.num)
     likely = settled(close.mapInArrow(by_bits, "a long, b long").distinct(), "likely")
-    return joined(likely, "elements").mapInArrow(by_elements, "a long, b long").distinct()
+    # Sets are long: only those of likely pairs are moved.
+    table = sets.sparkSession.sparkContext.broadcast(bit_filter(
+        likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id", "elements"]).filter(pa.array(has_bit(table.value, batch.column("p").to_numpy())))
+
+    picked = sets.select("id", "elements", "p").mapInArrow(pick, "id long, elements binary")
+    return joined(likely, picked, "elements").mapInArrow(by_elements, "a long, b long").distinct()
 
 
 def tiles(table: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
@@ -255,9 +278,9 @@ def tiles(table: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFra
     rows = rows.select("*", F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"))
     rows = settled(rows.filter("low < high").drop("low", "high"), "meetings")
     # A document that meets others in fewer elements than a similar one shares with it has none.
-    enough = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("met")).filter(
-        F.col("met") >= threshold.least_shared(F.col("n"))).select("doc_id")
-    rows = rows.join(enough, "doc_id").join(classes, "doc_id").select("element", "id", "n").distinct()
+    rows = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter(
+        F.col("met") >= threshold.least_shared(F.col("n")))
+    rows = rows.join(classes, "doc_id").select("element", "id", "n").distinct()
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(threshold.den / threshold.num)) + F.lit(1e-9))
     rows = rows.select("element", "id", "n", F.explode(F.array(band, band - 1)).alias("band"))
     tile = Window.partitionBy("element", "band")
