@@ -27,14 +27,14 @@ class Plan:
     a block, vectors that trees are grown on, rounds at most, share of changed neighbours that ends
     the rounds, nodes of a search's beam, and results."""
 
-    neighbours: int = 40
-    sample: int = 20
+    neighbours: int = 50
+    sample: int = 25
     trees: int = 6
     block: int = 1000
     tree_sample: int = 20_000
     rounds: int = 7
     settled_share: float = 0.01
-    beam: int = 30
+    beam: int = 45
     results: int = 20
 
 
@@ -240,19 +240,21 @@ def neighbour_graph(nodes: DataFrame, plan: Plan) -> DataFrame:
     return graph
 
 
-def scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``q, id, score``: inner products, in double precision, of the original vectors."""
+def scored(pairs: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """``q, id, score``: inner products of the original vectors, sent as ``kind`` components and
+    added up in double precision."""
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             u, v = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("u", "v"))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("q"), batch.column("id"), pa.array(np.einsum("ij,ij->i", u, v))], ["q", "id", "score"])
+            score = np.einsum("ij,ij->i", u.astype(np.float64), v.astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), pa.array(score)], ["q", "id", "score"])
 
-    ends = pairs.join(nodes.select("id", F.col("embedding").alias("v")), "id").join(
-        nodes.select(F.col("id").alias("q"), F.col("embedding").alias("u")), "q")
+    vector = F.col("embedding").cast(f"array<{kind}>")
+    ends = pairs.join(nodes.select("id", vector.alias("v")), "id").join(
+        nodes.select(F.col("id").alias("q"), vector.alias("u")), "q")
     return ends.select("q", "id", "u", "v").mapInArrow(dot, "q long, id long, score double")
 
 
@@ -266,7 +268,7 @@ def searched(starts: DataFrame, graph: DataFrame, nodes: DataFrame, plan: Plan)
     first = starts.select("q", F.col("q").alias("id"))
     state, fresh, step = None, first, 0
     while True:
-        new = scored(fresh, nodes).groupBy("q").agg(F.collect_list(F.struct("score", "id")).alias("found"))
+        new = scored(fresh, nodes, "float").groupBy("q").agg(F.collect_list(F.struct("score", "id")).alias("found"))
         order = lambda c: F.slice(F.array_sort(c, lambda x, y: F.when(x["score"] > y["score"], -1).when(
             x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1, plan.beam)
         none = F.array().cast("array<bigint>")
@@ -306,7 +308,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, plan: Plan | None = None) ->
         nodes.select("embedding", F.col("id").alias("q")), "embedding").select(F.col("vec_id").alias("query_id"), "q"), "queries")
     found = searched(asked.select("q").distinct(), graph, nodes, plan)
     # A query's own vector may stand first, so one node more than results can matter.
-    rows = found.select("q", F.inline("beam")).join(nodes.select("id", "members"), "id")
+    exact = scored(found.select("q", F.explode("beam.id").alias("id")), nodes, "double")
+    rows = exact.join(nodes.select("id", "members"), "id")
     rows = rows.select("q", "score", F.explode("members").alias("vec_id"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     rows = rows.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= plan.results + 1).drop("k")
