@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import fields, names, text
-from formsift.operators import canon, dictionary, duplicates, journal, reconcile, responses
+from formsift.operators import canon, dictionary, duplicates, journal, pages, reconcile, responses
 from formsift.session import settled
 from formsift.sources.fixtures import derived
 
@@ -40,6 +40,26 @@ def finish_records(records: DataFrame, hints: DataFrame | None = None) -> DataFr
     )
 
 
+def final_records(readings: DataFrame, page_values: DataFrame) -> DataFrame:
+    """The record a user gets: ``doc_id, field, value, status, verified`` and the audit columns.
+
+    All readings of a field are reconciled and adjudicated; the result stands for the field on
+    page 1. The values of all pages are formatted, merged and finished.
+    """
+    decided = settled(reconcile.adjudicate(reconcile.multi_view(readings)).select(
+        "doc_id", "field", "value", "status", "verified"), "reconciled")
+    audits = reconcile.verification_audit(readings).select(
+        "doc_id", "field", F.col("status").alias("audit_status"), F.col("reason").alias("audit_reason"), "attempted", "completed")
+    first_page = decided.join(audits, ["doc_id", "field"], "left").withColumns(
+        {"page_no": F.lit(1), "source": F.lit("readings")})
+    replaced = decided.select("doc_id", "field", F.lit(1).alias("page_no"))
+    others = page_values.join(replaced, ["doc_id", "field", "page_no"], "left_anti").select(first_page.columns)
+    formatted = others.unionByName(first_page).withColumn("value", fields.auto_format(F.col("field"), F.col("value")))
+    merged = settled(pages.merge_pages(formatted), "merged")
+    finished = finish_records(merged.withColumn("alternative", F.lit(""))).drop("alternative")
+    return finished.join(merged.select("doc_id", "field", *pages.AUDIT_COLUMNS), ["doc_id", "field"])
+
+
 def answer_records(answers: DataFrame) -> DataFrame:
     """Raw model answers ``doc_id, raw, thinking`` to formatted standard fields.
 

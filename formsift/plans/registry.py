@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
+#: The checks as written, without the derived tables in front.
+BODIES: dict[str, str] = {}
 
 
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
@@ -22,6 +24,7 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if check is not None:
+            BODIES[name] = check.strip()
             CHECKS[name] = check_sql(check)
         return fn
 
