@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formsift.llm.common import settled
@@ -219,43 +219,48 @@ class Block:
 def by_suffix_array(found: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
     """``doc_id, start, end`` of strings that start earlier in another context of their anchor.
 
-    Only the first of equal contexts is looked at, and only of anchors with several; the filter
-    lets a few others by, which changes nothing.
+    Only the first of equal contexts is looked at, and only of anchors with several. The filter
+    spares most of the others the join that leaves out the rest.
     """
-    many = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
-    several = distinct.select("anchor", F.col("first.spot").alias("p"), many.alias("many")).filter(
+    keys = ["anchor", "place", "mark", "doc_id", "start"]
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter(
         (F.col("many") > 1) & (F.col("many") <= MOST_CONTEXTS))
-    table = found.sparkSession.sparkContext.broadcast(bit_filter(several.select("p")))
+    chosen = settled(distinct.join(several, "anchor", "left_semi").select("anchor", "place", "mark", "first.*"), "chosen")
+    table = found.sparkSession.sparkContext.broadcast(bit_filter(chosen.select(F.col("spot").alias("p"))))
     names = ["doc_id", "start", "end"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = has_bit(table.value, batch.column("spot").to_numpy())
-            yield batch.select(["anchor", "context", "doc_id", "start"]).filter(pa.array(hit))
+            yield batch.select([*keys, "context"]).filter(pa.array(hit))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, group, current = Block(length), [], None
+        block, group, current, last = Block(length), [], None, None
 
         def handed(spans: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(3)], names)
 
         for batch in batches:
-            for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "doc_id", "start"))):
+            for anchor, mark, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "mark", "context", "doc_id", "start"))):
                 if anchor != current:
                     if len(group) > 1:
                         block.add(group)
                     if block.size >= BLOCK_BYTES:
                         yield handed(block.repeats())
-                    group, current = [], anchor
-                group.append(tuple(row))
+                    group, current, last = [], anchor, None
+                # Rows that repeat identifier and text stand next to each other.
+                if (mark, *row[1:]) != last:
+                    group.append(tuple(row))
+                last = (mark, *row[1:])
         if len(group) > 1:
             block.add(group)
         if block.contexts:
             yield handed(block.repeats())
 
-    rows = found.select("anchor", "context", "doc_id", "start", "spot").mapInArrow(
-        pick, "anchor long, context binary, doc_id long, start long")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(judge, "doc_id long, start long, end long")
+    rows = found.select(*keys, "context", "spot").mapInArrow(
+        pick, "anchor long, place int, mark binary, doc_id long, start long, context binary")
+    rows = rows.join(chosen.select(keys), keys, "left_semi").select("anchor", "mark", "context", "doc_id", "start")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start", "mark").mapInArrow(judge, "doc_id long, start long, end long")
 
 
 def without(raw: bytes, spans: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
