@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formsift.llm.common import settled
@@ -24,15 +24,14 @@ from formsift.llm.common import settled
 @dataclass(frozen=True)
 class Plan:
     """Parameters: neighbours a node keeps, edges of a kind that a round samples, trees, nodes of
-    a block, vectors that trees are grown on, rounds at most, share of changed neighbours that ends
-    the rounds, nodes of a search's beam, and results."""
+    a block, vectors that trees are grown on, share of changed neighbours that ends the rounds,
+    nodes of a search's beam, and results."""
 
     neighbours: int = 50
     sample: int = 25
     trees: int = 6
     block: int = 1000
     tree_sample: int = 20_000
-    rounds: int = 7
     settled_share: float = 0.01
     beam: int = 45
     results: int = 20
@@ -93,19 +92,78 @@ def leaves(tree: list[tuple], points: np.ndarray) -> np.ndarray:
     return out
 
 
-def unpacked(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float16).reshape(-1, width).astype(np.float32)
+def unpacked(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float32)
 
 
-def placed_nodes(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """``id, unit`` (the direction in half precision) and its ``block`` in every tree."""
+def on_sphere(x: np.ndarray, longest: float) -> np.ndarray:
+    """Unit vectors; of vectors of unequal norm (``longest`` > 0) with one component more, which
+    makes the angle between two of them follow their inner product."""
+    if not longest:
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = x / longest
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))
+    return np.concatenate([x, rest], axis=1).astype(np.float32)
+
+
+def split_by_planes(rows: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    """``rows`` (id, unit, tree, block) with blocks of twice ``plan.block`` nodes at most.
+
+    A larger block is halved at the median along the line between two of its nodes, and again
+    until it is small enough; nodes at the median itself are dealt by a hash.
+    """
+    keys = ["tree", "block"]
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, u, v = (unpacked(batch.column(c).to_pylist(), kind) for c in ("unit", "u", "v"))
+                side = np.einsum("ij,ij->i", x.astype(np.float64), (v - u).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "unit", *keys)), pa.array(side)], ["id", "unit", *keys, "side"])
+
+    done, level = None, 0
+    while True:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        large = settled(counts.filter(F.col("n") > 2 * plan.block).select(*keys), f"large-{level}")
+        small = rows.join(large, keys, "left_anti").select("id", "unit", *keys)
+        done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            return done
+        rows = settled(rows.join(large, keys, "left_semi"), f"crowded-{level}")
+        some = F.struct(F.xxhash64("id", F.lit(level)), "unit")
+        ends = rows.groupBy(*keys).agg(F.min(some).alias("low"), F.max(some).alias("high")).select(
+            *keys, F.col("low.unit").alias("u"), F.col("high.unit").alias("v"))
+        lined = settled(rows.join(ends, keys).select("id", "unit", *keys, "u", "v").mapInArrow(
+            along, "id long, unit binary, tree int, block long, side double"), f"lined-{level}")
+        middle = lined.groupBy(*keys).agg(F.percentile_approx("side", 0.5, F.lit(1000)).alias("middle"))
+        even = F.pmod(F.xxhash64("id", F.lit(level), F.lit("even")), F.lit(2)) == 0
+        high = (F.col("side") > F.col("middle")) | ((F.col("side") == F.col("middle")) & even)
+        rows = settled(lined.join(middle, keys).select(
+            "id", "unit", "tree", F.xxhash64("tree", "block", F.lit(level), high).alias("block")), f"halved-{level}")
+        level += 1
+
+
+def norm() -> Column:
+    return F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
+
+
+def longest_norm(nodes: DataFrame) -> float:
+    """The largest norm; 0 if all norms are one."""
+    least, most = nodes.agg(F.min(norm()), F.max(norm())).first()
+    return float(most) if most and most > 1.001 * least else 0.0
+
+
+def placed_nodes(nodes: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
+    """``id, unit`` (the place on the sphere) and its ``block`` in every tree; and the kind of
+    number in ``unit``: half precision for vectors of one norm, else single."""
+    longest = longest_norm(nodes)
+    kind = "float32" if longest else "float16"
     # A bounded sample, by a hash of the identifier.
     sample = nodes.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(plan.tree_sample).toPandas()
     if sample.empty:
         points = np.zeros((0, 1), np.float32)
     else:
-        points = np.stack(sample["embedding"].to_list()).astype(np.float32)
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        points = on_sphere(np.stack(sample["embedding"].to_list()), longest)
     n, rng = nodes.count(), np.random.default_rng(11)
     leaf = max(16, int(len(points) * plan.block / max(n, 1)))
     forest = nodes.sparkSession.sparkContext.broadcast([grown_tree(points, leaf, rng) for _ in range(plan.trees)])
@@ -114,20 +172,16 @@ def placed_nodes(nodes: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("embedding").to_pylist(), np.float64)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            x = on_sphere(np.array(batch.column("embedding").to_pylist(), np.float64), longest)
             found = np.stack([leaves(t, x) for t in forest.value], 1)
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()),
+                batch.column("id"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()),
                 pa.array(found.tolist(), pa.list_(pa.int64()))], ["id", "unit", "leaves"])
 
     placed = settled(nodes.select("id", "embedding").mapInArrow(place, "id long, unit binary, leaves array<long>"), "placed")
     rows = placed.select("id", "unit", F.posexplode("leaves").alias("tree", "leaf"))
-    counts = rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    # Leaves that are too large are cut by a hash.
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(2 * plan.block)))
-    block = F.xxhash64("tree", "leaf", salt)
-    return settled(rows.join(counts, ["tree", "leaf"]).select("id", "unit", "tree", block.alias("block")), "blocks")
+    rows = rows.select("id", "unit", "tree", F.xxhash64("tree", "leaf").alias("block"))
+    return settled(split_by_planes(rows, plan, kind), "blocks"), kind
 
 
 def top_of(scores: np.ndarray, k: int) -> np.ndarray:
@@ -138,12 +192,12 @@ def top_of(scores: np.ndarray, k: int) -> np.ndarray:
 EDGES = "a long, b long, score float"
 
 
-def first_graph(placed: DataFrame, plan: Plan) -> DataFrame:
+def first_graph(placed: DataFrame, plan: Plan, kind: str) -> DataFrame:
     """Best neighbours of every node within its blocks."""
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["id"].to_numpy()
-        x = unpacked(frame["unit"], len(frame["unit"].iloc[0]) // 2)
+        x = unpacked(frame["unit"], kind)
         out = []
         for at in range(0, len(ids), 1000):
             scores = x[at:at + 1000] @ x.T
@@ -167,7 +221,7 @@ def merged(graph: DataFrame | None, found: DataFrame, plan: Plan, round_: int) -
     return settled(pairs.groupBy("a").agg(near.alias("near")), f"graph-{round_}")
 
 
-def joined_neighbours(graph: DataFrame, placed: DataFrame, plan: Plan, round_: int) -> DataFrame:
+def joined_neighbours(graph: DataFrame, placed: DataFrame, plan: Plan, kind: str, round_: int) -> DataFrame:
     """Pairs of neighbours of a common node that beat the worst neighbour of the first."""
     home = placed.filter("tree = 0").select("id", "block")
     ranked = graph.select("a", F.posexplode("near").alias("at", "e")).select("a", "e.b", "e.new", "at")
@@ -190,7 +244,7 @@ def joined_neighbours(graph: DataFrame, placed: DataFrame, plan: Plan, round_: i
             return nothing
         member = member.sort_values("id")
         ids, bound = member["id"].to_numpy(), member["worst"].to_numpy()
-        x = unpacked(member["unit"], len(member["unit"].iloc[0]) // 2)
+        x = unpacked(member["unit"], kind)
         edge = edge.sort_values("a", kind="stable")
         at, new = np.searchsorted(ids, edge["b"].to_numpy()), edge["new"].to_numpy()
         cuts = np.flatnonzero(np.diff(edge["a"].to_numpy())) + 1
@@ -229,15 +283,15 @@ def seen(graph: DataFrame, plan: Plan) -> DataFrame:
 
 def neighbour_graph(nodes: DataFrame, plan: Plan) -> DataFrame:
     """``a, near``: every node's best neighbours found, best first; nodes alone have no row."""
-    placed = placed_nodes(nodes, plan)
-    graph = first_graph(placed, plan)
-    for round_ in range(1, plan.rounds + 1):
-        found = joined_neighbours(graph, placed, plan, round_)
+    placed, kind = placed_nodes(nodes, plan)
+    graph, round_ = first_graph(placed, plan, kind), 0
+    while True:
+        round_ += 1
+        found = joined_neighbours(graph, placed, plan, kind, round_)
         graph = merged(seen(graph, plan), found, plan, round_)
         fresh, all_ = graph.agg(F.sum(F.size(F.filter("near", lambda e: e["new"]))), F.sum(F.size("near"))).first()
         if not all_ or fresh / all_ < plan.settled_share:
-            break
-    return graph
+            return graph
 
 
 def scored(pairs: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
@@ -262,10 +316,14 @@ def searched(starts: DataFrame, graph: DataFrame, nodes: DataFrame, plan: Plan)
     """``q, best``: nodes of the query nodes ``q``'s beam, found greedily along the graph.
 
     Each step expands all nodes of a beam that are not expanded yet, for all queries at once; a
-    search ends when its whole beam is.
+    search ends when its whole beam is. Where norms differ, the largest inner products are mostly
+    those of long vectors, far from the query's own place: a search then starts at the longest, too.
     """
     links = graph.select("a", F.transform("near", lambda e: e["b"]).alias("near"))
     first = starts.select("q", F.col("q").alias("id"))
+    if longest_norm(nodes):
+        long_ = nodes.select("id", norm().alias("norm")).orderBy(F.desc("norm"), "id").limit(plan.beam).select("id")
+        first = first.unionByName(starts.select("q").crossJoin(long_)).distinct()
     state, fresh, step = None, first, 0
     while True:
         new = scored(fresh, nodes, "float").groupBy("q").agg(F.collect_list(F.struct("score", "id")).alias("found"))
@@ -273,7 +331,7 @@ def searched(starts: DataFrame, graph: DataFrame, nodes: DataFrame, plan: Plan)
             x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1, plan.beam)
         none = F.array().cast("array<bigint>")
         if state is None:
-            state = new.select("q", order("found").alias("beam"), F.array("q").alias("known"), none.alias("done"))
+            state = new.select("q", order("found").alias("beam"), F.transform("found", lambda e: e["id"]).alias("known"), none.alias("done"))
         else:
             met = F.transform(F.coalesce("found", F.array()), lambda e: e["id"])
             state = state.join(new, "q", "left").select(
