@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formsift.llm import fingerprint, line_dedup, mixing, neighbours, ngram_join, packing, quality, suffix_dedup, token_prefix, url_filter
+from formsift.llm import (
+    collocations, fingerprint, line_dedup, mixing, neighbours, ngram_join, packing, periodic_runs, quality, suffix_dedup, token_prefix,
+    transducer, url_filter,
+)
 from formsift.llm.common import table
 from formsift.llm.registry import query
 from formsift.session import use_utc
@@ -14,6 +17,7 @@ from formsift.session import use_utc
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 #: Words as a DuckDB pattern, and their count.
 WORD_SQL = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
 
@@ -131,3 +135,40 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trips(table(spark, sf_dir, "documents"), BYTES)
+
+
+@query("op13_collocations", check=r"""
+WITH pieces AS (SELECT row_number() OVER () AS id, * FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (
+    SELECT id, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)),
+grams AS (SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY id ORDER BY i)),
+one AS (SELECT lang, w1 AS phrase, count(*) AS f FROM grams GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL),
+counts AS (SELECT lang, phrase, f FROM one UNION ALL SELECT lang, w1 || ' ' || w2, f FROM two),
+found AS (SELECT lang, w1 || ' ' || w2 AS phrase, f AS a, 1 AS k, w1 AS head, w2 AS rest FROM two WHERE f >= 10
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, f, 1, w1, w2 || ' ' || w3 FROM three WHERE f >= 10
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, f, 2, w1 || ' ' || w2, w3 FROM three WHERE f >= 10),
+scored AS (SELECT d.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM found d JOIN counts x ON x.lang = d.lang AND x.phrase = d.head JOIN counts y ON y.lang = d.lang AND y.phrase = d.rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(f) AS around FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM three WHERE f >= 10
+  UNION ALL SELECT lang, w2 || ' ' || w3, f FROM three WHERE f >= 10) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a),
+sizes AS (SELECT lang, count(*) AS n FROM words GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
