@@ -72,11 +72,11 @@ def new_corrections(existing: DataFrame, confirmed: DataFrame) -> DataFrame:
     ).select(*confirmed.columns)
 
 
-def learned_pairs(accepted: DataFrame) -> DataFrame:
-    """Accepted changes ``field_part, field, from, to`` as correction pairs."""
+def learned_pairs(accepted: DataFrame, *more: str) -> DataFrame:
+    """Accepted changes ``field_part, field, from, to`` as correction pairs, with ``more`` columns."""
     return accepted.select(
         fields.correction_category(F.col("field_part"), F.col("field")).alias("category"),
-        F.col("from").alias("wrong"), F.col("to").alias("right"),
+        F.col("from").alias("wrong"), F.col("to").alias("right"), *more,
     )
 
 

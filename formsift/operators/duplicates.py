@@ -93,12 +93,9 @@ def _repeated(keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return by_snils, by_pair.filter("_n > 1 AND birth <> ''").drop("_n"), by_name
 
 
-def _earlier_matches(members: DataFrame, buckets: int) -> DataFrame:
-    """Earlier matches per record and reason; a pair with equal numbers counts as that only.
-
-    Every record enters the groupings it belongs to: by number, name, name+birth, and the last
-    two once more together with the number. All of them are counted in one pass.
-    """
+def level_entries(keys: DataFrame) -> DataFrame:
+    """Every record once for each grouping that it belongs to: by number, name, name and birth,
+    and the last two once more together with the number; ``blank`` without a birth date."""
     none = F.lit(None).cast("string")
     name = F.when(F.col("name") != "", F.col("name"))
     birth = F.when(F.col("birth") != "", F.col("birth"))
@@ -107,7 +104,7 @@ def _earlier_matches(members: DataFrame, buckets: int) -> DataFrame:
     def grouping(level: str, s: Column, n: Column, b: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), s.alias("ks"), n.alias("kn"), b.alias("kb"))
 
-    entries = members.select("doc_id", (F.col("birth") == "").alias("blank"), F.inline(F.array(
+    return keys.select("doc_id", (F.col("birth") == "").alias("blank"), F.inline(F.array(
         F.when(snils.isNotNull(), grouping("snils", snils, none, none)),
         F.when(name.isNotNull(), grouping("name", none, name, none)),
         F.when(name.isNotNull() & snils.isNotNull(), grouping("name_snils", snils, name, none)),
@@ -117,16 +114,38 @@ def _earlier_matches(members: DataFrame, buckets: int) -> DataFrame:
             grouping("pair_snils", snils, name, birth),
         ),
     ))).filter("level IS NOT NULL")
+
+
+def _earlier_matches(members: DataFrame, buckets: int) -> DataFrame:
+    """Earlier matches per record and reason; a pair with equal numbers counts as that only.
+
+    All groupings are counted in one pass.
+    """
+    entries = level_entries(members)
     counted = count_earlier(entries, ["level", "ks", "kn", "kb"], "doc_id", "blank", buckets)
 
+    return _level_sums(counted, "earlier", "earlier_flagged")
+
+
+def level_totals(entries: DataFrame, groups: DataFrame, grouping: list[str]) -> DataFrame:
+    """Matches per record among the records that ``groups`` counts: per grouping ``n`` in all and
+    ``undated`` ones. A hot grouping is one row of ``groups``."""
+    same = lambda df: df.withColumn("_group", F.struct(*grouping))
+    met = same(entries).join(same(groups).select("_group", "n", "undated"), "_group")
+    return _level_sums(met, "n", "undated").filter("n_snils + n_name_birth + n_name > 0")
+
+
+def _level_sums(counted: DataFrame, all_matches: str, undated: str) -> DataFrame:
+    """Matches per record and reason from those of the groupings it belongs to."""
+
     def total(level: str, plus: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("level") == level, plus)), F.lit(0))
 
     # A record without birth date matches every earlier namesake, others the undated ones.
-    namesakes = F.when(F.col("blank"), F.col("earlier")).otherwise(F.col("earlier_flagged"))
+    namesakes, every = F.when(F.col("blank"), F.col(all_matches)).otherwise(F.col(undated)), F.col(all_matches)
     return counted.groupBy("doc_id").agg(
-        total("snils", F.col("earlier")).alias("n_snils"),
-        (total("pair", F.col("earlier")) - total("pair_snils", F.col("earlier"))).alias("n_name_birth"),
+        total("snils", every).alias("n_snils"),
+        (total("pair", every) - total("pair_snils", every)).alias("n_name_birth"),
         (total("name", namesakes) - total("name_snils", namesakes)).alias("n_name"),
     )
 

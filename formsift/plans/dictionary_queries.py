@@ -28,8 +28,9 @@ def _entries(spark, sf):
 
 _DEFAULTS = ", ".join(f"({D.lit(k)}, {D.lit(v)})" for k, vs in S.DICTIONARY_DEFAULTS.items() for v in vs)
 _KNOWN = D.in_list(list(S.DICTIONARY_DEFAULTS))
-_ENTRIES = f"""
-valid_corrections AS (SELECT seq, category, trim(wrong) AS wrong, trim(right_value) AS good FROM fx_corrections WHERE category IN {_KNOWN} AND trim(right_value) <> ''),
+_VALID = f"""
+valid_corrections AS (SELECT seq, category, trim(wrong) AS wrong, trim(right_value) AS good FROM fx_corrections WHERE category IN {_KNOWN} AND trim(right_value) <> '')"""
+_ENTRIES = f"""{_VALID},
 entries AS (SELECT * FROM (VALUES {_DEFAULTS}) v(category, value) UNION SELECT category, value FROM fx_entries UNION SELECT category, good FROM valid_corrections),
 mapping AS (SELECT category, {D.squeeze(D.fold('wrong'))} AS norm, arg_max(good, seq) AS good FROM valid_corrections WHERE wrong <> '' GROUP BY ALL)"""
 
@@ -92,14 +93,15 @@ def c4_nearest_entry(spark, sf):
 
 
 # Words whose best score is 1: a custom mapping or an entry with the same folded text.
-_EXACT = f"""
-exact AS (SELECT category, {D.squeeze(D.fold('value'))} AS norm, min(value) AS value FROM entries GROUP BY ALL),
+_TOKENS = f"""
 fio_words AS (SELECT doc_id, field, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS part_no FROM (SELECT doc_id, field, {D.words('value')} AS w FROM fx_fields
    WHERE field IN ('{S.CHILD_FIO}', '{S.PARENT_FIO}')) t),
 fio_tokens AS (SELECT *, split_part('surnames|first_names|patronymics', '|', CAST(part_no + 1 AS int)) AS category, {D.fold('word')} AS norm FROM fio_words WHERE part_no < 3),
 text_words AS (SELECT doc_id, field, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS part_no FROM (SELECT doc_id, field, {D.words('value')} AS w FROM fx_fields
    WHERE field IN ('{S.ADDRESS}', '{S.PASSPORT}')) t),
 text_tokens AS (SELECT *, CASE WHEN field = '{S.ADDRESS}' THEN 'cities' ELSE 'organizations' END AS category, {D.fold("trim(word, '.,')")} AS norm FROM text_words)"""
+_EXACT = f"""
+exact AS (SELECT category, {D.squeeze(D.fold('value'))} AS norm, min(value) AS value FROM entries GROUP BY ALL), {_TOKENS}"""
 
 
 def _exact_changes(tokens: str) -> str:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from formsift import schema as S
 from formsift.operators import dictionary, duplicates
 from formsift.plans import duck as D
 from formsift.plans.activity_queries import EXACT_LOCKOUT
-from formsift.plans.dictionary_queries import _ENTRIES
+from formsift.plans.dictionary_queries import _DEFAULTS, _ENTRIES, _TOKENS, _VALID
 from formsift.plans.record_queries import _PAIRS
 from formsift.plans.registry import query
-from formsift.session import use_utc
+from formsift.session import shared_folder, use_utc
 from formsift.sources.fixtures import derived
-from formsift.streaming import streams
+from formsift.streaming import corrections, streams
 
 c = F.col
 
@@ -95,10 +96,56 @@ def i5_stream_sessions(spark, sf):
 @query("i6_stream_corrections", f"""WITH {_ENTRIES} SELECT category, norm, good AS "right" FROM mapping""")
 def i6_stream_corrections(spark, sf):
     pairs = _stream(spark, sf, "fx_corrections", "customer").withColumnRenamed("right_value", "right")
-    log = streams.collect_corrections(pairs.select("category", "wrong", "right", "seq"))
+    log = corrections.collect_corrections(pairs.select("category", "wrong", "right", "seq"))
     return dictionary.current_corrections(log)
 
 
+def _in_rounds(spark, events, purpose: str):
+    """A stream of ``events`` whose ``turn`` 0, 1, ... are micro-batches, written in that order."""
+    folder, columns = shared_folder(spark, purpose), [col for col in events.columns if col != "turn"]
+    for turn in range(ROUNDS):
+        events.filter(c("turn") == turn).select(*columns).coalesce(1).write.parquet(f"{folder}/turn={turn}")
+    schema = events.select(*columns).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/turn=*")
+
+
+#: Micro-batches of the query below; documents and accepted changes are dealt to them by their number.
+ROUNDS = 4
+_TURNED = f"""
+turned AS (SELECT category, wrong, good, seq % {ROUNDS} AS turn, seq % {ROUNDS} * 1000000000 + seq AS seq FROM valid_corrections WHERE wrong <> ''),
+pairs AS (SELECT category, {D.squeeze(D.fold('wrong'))} AS norm, good, seq, turn FROM turned),
+turns AS (SELECT unnest(range({ROUNDS})) AS turn),
+in_force AS (SELECT t.turn, category, norm, arg_max(good, seq) AS good FROM turns t JOIN pairs p ON p.turn < t.turn GROUP BY ALL),
+own AS (SELECT * FROM (VALUES {{defaults}}) v(category, value) UNION SELECT category, value FROM fx_entries),
+learned AS (SELECT t.turn, category, value FROM turns t, own UNION SELECT t.turn, category, good FROM turns t JOIN turned p ON p.turn < t.turn),
+exact AS (SELECT turn, category, {D.squeeze(D.fold('value'))} AS norm, min(value) AS value FROM learned GROUP BY ALL)"""
+
+
+@query("i6_corrected_documents", f"""
+WITH {_VALID}, {_TURNED.format(defaults=_DEFAULTS)}, {_TOKENS},
+tokens AS (SELECT * FROM fio_tokens UNION ALL SELECT * FROM text_tokens),
+changed AS (SELECT t.doc_id, t.field, t.part_no, coalesce(m.good, e.value) AS "to"
+  FROM tokens t LEFT JOIN in_force m ON m.turn = t.doc_id % {ROUNDS} AND m.category = t.category AND m.norm = t.norm
+  LEFT JOIN exact e ON e.turn = t.doc_id % {ROUNDS} AND e.category = t.category AND e.norm = t.norm
+  WHERE m.good IS NOT NULL OR e.value <> t.word),
+words AS (SELECT * FROM fio_words UNION ALL SELECT * FROM text_words),
+patched AS (SELECT w.doc_id, w.field, string_agg(coalesce(c."to", w.word), ' ' ORDER BY w.part_no) AS corrected, count(c."to") AS n_changed
+  FROM words w LEFT JOIN changed c USING (doc_id, field, part_no) GROUP BY ALL)
+SELECT f.doc_id, f.field, CASE WHEN n_changed > 0 THEN p.corrected ELSE f.value END AS corrected, coalesce(n_changed, 0) AS n_changed, CAST(f.doc_id % {ROUNDS} AS int) AS batch
+FROM fx_fields f LEFT JOIN patched p USING (doc_id, field)""")
+def i6_corrected_documents(spark, sf):
+    """Documents in four micro-batches, each with the changes accepted while it was shown."""
+    documents = derived(spark, sf, "fx_fields").select("doc_id", "field", "value", (c("doc_id") % ROUNDS).alias("turn"))
+    part = F.when(c("category").isin("cities", "organizations"), "").otherwise(c("category"))
+    field = F.when(c("category") == "cities", S.ADDRESS).when(c("category") == "organizations", S.PASSPORT).otherwise(S.CHILD_FIO)
+    accepted = derived(spark, sf, "fx_corrections").select(
+        (c("seq") % ROUNDS * 1_000_000_000 + c("seq")).alias("seq"), part.alias("field_part"), field.alias("field"), c("wrong").alias("from"), c("right_value").alias("to"), (c("seq") % ROUNDS).alias("turn"))
+    events = corrections.document_events(documents, "turn").unionByName(corrections.accepted_events(accepted, "turn"))
+    entries = dictionary.default_entries(spark).unionByName(derived(spark, sf, "fx_entries"))
+    done, _ = corrections.correct_as_confirmed(_in_rounds(spark, events, "confirmed-events"), entries, fuzzy=False)
+    return done.select("doc_id", "field", "corrected", "n_changed", "batch")
+
+
 @query("i7_stream_progress", """
 SELECT job_id, count(*) AS total, count(*) FILTER (WHERE status IN ('done', 'error')) AS completed FROM fx_items GROUP BY job_id""")
 def i7_stream_progress(spark, sf):

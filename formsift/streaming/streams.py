@@ -16,8 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formsift import schema as S
 from formsift.functions import fields, text
-from formsift.operators import dictionary, duplicates
-from formsift.session import shared_folder
+from formsift.operators import duplicates
+from formsift.session import settled, shared_folder
+from formsift.streaming.keyed import KeyedState
 
 # A session of 24 hours that a use exactly at its end no longer extends, in whole seconds.
 SESSION_GAP = f"{S.SESSION_TTL_HOURS * 3600 - 1} seconds"
@@ -67,13 +68,6 @@ def run_batches(
     return base
 
 
-def _earlier_batches(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
-    """Rows of the batches before ``number``; empty before the first one."""
-    if number == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/batch={i}" for i in range(number)])
-
-
 def normalise(stream: DataFrame) -> DataFrame:
     """Format every value of a stream of long records."""
     return stream.select(
@@ -82,23 +76,32 @@ def normalise(stream: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(keys: DataFrame) -> DataFrame:
-    """Duplicate counts of a stream of record keys, against earlier batches and within the batch."""
+    """Duplicate counts of a stream of record keys, against earlier batches and within the batch.
+
+    Kept is one row per key and reason with its count, not the records. A batch is counted per
+    key before it meets them, and no earlier batch is read again.
+    """
     spark = keys.sparkSession
-    schema = keys.schema
+    columns = ["doc_id", "n_snils", "n_name_birth", "n_name"]
+    grouping = ["level", "ks", "kn", "kb"]
 
     def step(batch: DataFrame, number: int, base: str) -> None:
-        store = f"{base}/keys"
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        now = spark.read.schema(schema).parquet(f"{store}/batch={number}")
-        before = _earlier_batches(spark, store, number, schema)
-        columns = ["doc_id", "n_snils", "n_name_birth", "n_name"]
+        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        now = spark.read.schema(keys.schema).parquet(f"{base}/batch={number}")
+        state = KeyedState(spark, f"{base}/counts", "level string, ks string, kn string, kb string, n long, undated long", grouping)
+        entries = duplicates.level_entries(now)
+        counted = settled(entries.groupBy(*grouping).agg(
+            F.count("*").alias("n"), F.count_if("blank").alias("undated")), "batch-counts")
+        before = settled(state.in_force(number, counted), "earlier-counts")
         inside = duplicates.batch_duplicates(now).select(*columns)
-        outside = duplicates.journal_duplicates(now, before, undated_rows=True).select(*columns)
+        outside = duplicates.level_totals(entries, before, grouping)
         found = inside.unionByName(outside).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in columns[1:]])
         found.write.mode("overwrite").parquet(f"{base}/found/batch={number}")
+        summed = counted.unionByName(before).groupBy(*grouping).agg(F.sum("n").alias("n"), F.sum("undated").alias("undated"))
+        state.put(number, summed)
 
     base = run_batches(keys, "stream-duplicates", step)
-    return spark.read.parquet(f"{base}/found").drop("batch")
+    return spark.read.parquet(f"{base}/found").select(*columns)
 
 
 def first_seen(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
@@ -177,33 +180,18 @@ def lockout(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def collect_corrections(pairs: DataFrame) -> DataFrame:
-    """Append a stream of confirmed pairs ``category, wrong, right, seq``; return the log kept."""
-    spark = pairs.sparkSession
-    schema = pairs.schema
-
-    def step(batch: DataFrame, number: int, base: str) -> None:
-        log = f"{base}/log"
-        before = _earlier_batches(spark, log, number, schema)
-        fresh = dictionary.new_corrections(before, batch).select(*schema.fieldNames())
-        fresh.write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    base = run_batches(pairs, "stream-corrections", step)
-    return spark.read.schema(schema).parquet(f"{base}/log")
-
-
 def job_progress(items: DataFrame) -> DataFrame:
     """Latest progress per job; each batch writes the jobs it changed."""
     done, failed = F.col("status") == "done", F.col("status") == "error"
     counts = items.groupBy("job_id").agg(
         F.count("*").alias("total"), F.count_if(done | failed).alias("completed")
     )
+    spark, batches = items.sparkSession, []
+    progress = lambda base: KeyedState(spark, f"{base}/progress", counts.schema, ["job_id"])
 
     def step(batch: DataFrame, number: int, base: str) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/progress/batch={number}")
+        progress(base).put(number, batch)
+        batches.append(number)
 
     base = run_batches(counts, "stream-progress", step, mode="update")
-    spark = items.sparkSession
-    updates = spark.read.parquet(f"{base}/progress")
-    newest = updates.groupBy("job_id").agg(F.max_by(F.struct("total", "completed"), "batch").alias("p"))
-    return newest.select("job_id", "p.total", "p.completed")
+    return progress(base).in_force(max(batches, default=-1) + 1)
