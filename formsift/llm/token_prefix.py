@@ -106,9 +106,9 @@ class PrefixCounter:
                             break
                 else:
                     start = -1
-                if start < 0:  # a character of no piece stands alone
-                    token = unit[end - 1]
-                    counts.append(counts[-1] + (len(token.encode("utf-8", "surrogatepass")) if self.byte_fallback else 1))
+                if start < 0:  # a character of no piece stands alone, and what follows begins anew
+                    counts.append(counts[-1] + (len(unit[end - 1].encode("utf-8", "surrogatepass")) if self.byte_fallback else 1))
+                    token = ""
                 else:
                     counts.append(counts[start] + 1)
                 last.append(token)
@@ -135,8 +135,9 @@ class PrefixCounter:
         known = self.words
         if len(known) > MOST_WORDS:
             known.clear()
-        # With runs of spaces a text is cut as a whole; else each word has one mark before it.
-        cut = [[t] if t[:1] == " " or t[-1:] == " " or "  " in t else t.split(" ") for t in texts]
+        # With runs of spaces or marks of its own a text is cut as a whole; else each word has one mark before it.
+        whole = lambda t: t[:1] == " " or t[-1:] == " " or "  " in t or SPACE_MARK in t
+        cut = [[t] if whole(t) else t.split(" ") for t in texts]
         new = list(set().union(*cut) - known.keys() - {""})
         if new:
             self.learn(new)
