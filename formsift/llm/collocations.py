@@ -317,7 +317,11 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shard_words:
     as often as they are there; rows without words and empty tables give nothing. Columns other than
     ``lang`` and ``text`` are not looked at.
     """
-    counts = phrase_counts(docs, least, shard_words)
+    return ranked(phrase_counts(docs, least, shard_words), top)
+
+
+def ranked(counts: DataFrame, top: int) -> DataFrame:
+    """The collocations from the table of ``phrase_counts``."""
     words = lambda k: F.substring_index("phrase", " ", k)
     cut = lambda k, first, rest: F.struct(F.lit(k).alias("k"), first.alias("first"), rest.alias("rest"))
     found = counts.filter("size >= 2").withColumnRenamed("f", "a")
