@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formsift.functions import fields, metrics, text
-from formsift.functions.align import align_pairs
+from formsift.functions.align import aligned_pairs
 from formsift.operators.stages import computed
 from formsift.schema import GAP, MATRIX_SYMBOLS
 
@@ -82,8 +82,8 @@ def aligned_digits(eval_fields: DataFrame) -> DataFrame:
     """Aligned digits ``field, reference, predicted, position, n``.
 
     When two strings of one length have as many differing positions as their edit distance,
-    the alignment is position by position and stays in the JVM. Only the rest, distinct pairs
-    with an inserted or lost digit, reach the Python aligner.
+    the alignment is position by position. The rest, distinct pairs with an inserted or lost
+    digit, get the whole table. Both stay in the JVM.
     """
     pairs = numeric_pairs(eval_fields)
     straight = F.when(
@@ -100,8 +100,12 @@ def aligned_digits(eval_fields: DataFrame) -> DataFrame:
         ),
     )
     plain = marked.filter("straight AND ref <> ''").select("field", "n", F.inline(by_position))
-    shifted = marked.filter("NOT straight").select("field", "n", F.inline(align_pairs("ref", "pred")))
-    return plain.unionByName(shifted)
+    return plain.unionByName(alignments(marked.filter("NOT straight")))
+
+
+def alignments(pairs: DataFrame) -> DataFrame:
+    """Aligned digits of ``field, ref, pred, n``, all by the whole table."""
+    return aligned_pairs(pairs, "ref", "pred", "_way").select("field", "n", F.inline("_way"))
 
 
 def confusion_counts(aligned: DataFrame) -> DataFrame:

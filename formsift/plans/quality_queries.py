@@ -103,14 +103,8 @@ def d9_position_errors(spark, sf):
 @query("j3_align_udtf", f"""
 WITH RECURSIVE {_ALIGNED} SELECT field, reference, predicted, CAST(position AS int) AS position, CAST(sum(n) AS bigint) AS n FROM aligned GROUP BY ALL""")
 def j3_align_udtf(spark, sf):
-    from formsift.functions.align import AlignDigits
-
-    spark.udtf.register("align_digits", AlignDigits)
-    return spark.sql(
-        "SELECT p.field, a.reference, a.predicted, a.position, sum(p.n) AS n "
-        "FROM {pairs} p, LATERAL align_digits(p.ref, p.pred) a GROUP BY ALL",
-        pairs=quality.numeric_pairs(derived(spark, sf, "fx_eval")),
-    )
+    aligned = quality.alignments(quality.numeric_pairs(derived(spark, sf, "fx_eval")))
+    return aligned.groupBy("field", "reference", "predicted", "position").agg(F.sum("n").alias("n"))
 
 
 @query("d10_skip_reasons", """

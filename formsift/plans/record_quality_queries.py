@@ -135,10 +135,5 @@ def h4_record_digit_alignment(spark, sf):
 
 @query("j3_record_align_udtf", _over_records("j3_align_udtf"))
 def j3_record_align_udtf(spark, sf):
-    from formsift.functions.align import AlignDigits
-
-    spark.udtf.register("align_digits", AlignDigits)
-    return spark.sql(
-        "SELECT p.field, a.reference, a.predicted, a.position, sum(p.n) AS n "
-        "FROM {pairs} p, LATERAL align_digits(p.ref, p.pred) a GROUP BY ALL",
-        pairs=quality.numeric_pairs(record_eval(spark, sf)))
+    aligned = quality.alignments(quality.numeric_pairs(record_eval(spark, sf)))
+    return aligned.groupBy("field", "reference", "predicted", "position").agg(F.sum("n").alias("n"))

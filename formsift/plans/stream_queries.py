@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from formsift import schema as S
 from formsift.operators import dictionary, duplicates
 from formsift.plans import duck as D
-from formsift.plans.activity_queries import EXACT_LOCKOUT
+from formsift.plans.activity_queries import BOTH_COUNTERS, EXACT_LOCKOUT
 from formsift.plans.dictionary_queries import _DEFAULTS, _ENTRIES, _TOKENS, _VALID
 from formsift.plans.record_queries import _PAIRS
 from formsift.plans.registry import query
 from formsift.session import shared_folder, use_utc
 from formsift.sources.fixtures import derived
-from formsift.streaming import corrections, streams
+from formsift.streaming import corrections, sign_in, streams
 
 c = F.col
 
@@ -30,6 +30,19 @@ def _timed(df):
     return df.withColumn("ts", c("ts").cast("timestamp"))
 
 
+#: Micro-batches of the queries below that deal their events to several.
+ROUNDS = 4
+
+
+def _in_rounds(spark, events, purpose: str):
+    """A stream of ``events`` whose ``turn`` 0, 1, ... are micro-batches, written in that order."""
+    folder, columns = shared_folder(spark, purpose), [col for col in events.columns if col != "turn"]
+    for turn in range(ROUNDS):
+        events.filter(c("turn") == turn).select(*columns).coalesce(1).write.parquet(f"{folder}/turn={turn}")
+    schema = events.select(*columns).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/turn=*")
+
+
 @query("i1_stream_normalise", f"SELECT doc_id, field, {D.auto_format('field', 'value')} AS formatted FROM fx_fields")
 def i1_stream_normalise(spark, sf):
     return streams.run_to_table(streams.normalise(_stream(spark, sf, "fx_fields", "customer")), "stream-normalise")
@@ -61,6 +74,17 @@ def i4_stream_lockout(spark, sf):
     return streams.run_to_table(streams.lockout(_stream(spark, sf, "fx_logins", "events")), "stream-lockout")
 
 
+@query("i4_sign_in_stream", BOTH_COUNTERS)
+def i4_sign_in_stream(spark, sf):
+    """Users' and addresses' counters over four micro-batches; attempts come up to 20 minutes late."""
+    logins = derived(spark, sf, "fx_logins")
+    first, last = logins.agg(F.min("at_s"), F.max("at_s")).first()
+    arrival = (c("at_s") + c("id") % 3 * 600 - first) / (last + 1201 - first)
+    events = logins.withColumn("turn", F.floor(arrival * ROUNDS))
+    done, _ = sign_in.lockout(_in_rounds(spark, events, "sign-in-events"), delay_s=1200)
+    return done.select("id", "user_key", "ip_key", "blocked")
+
+
 @query("i4_sliding_failures", """
 WITH fails AS (SELECT lower(username) AS user_key, at_s // 60 AS m FROM fx_logins WHERE NOT success),
 slots AS (SELECT user_key, unnest(range(m - 14, m + 1)) AS start FROM fails)
@@ -100,17 +124,6 @@ def i6_stream_corrections(spark, sf):
     return dictionary.current_corrections(log)
 
 
-def _in_rounds(spark, events, purpose: str):
-    """A stream of ``events`` whose ``turn`` 0, 1, ... are micro-batches, written in that order."""
-    folder, columns = shared_folder(spark, purpose), [col for col in events.columns if col != "turn"]
-    for turn in range(ROUNDS):
-        events.filter(c("turn") == turn).select(*columns).coalesce(1).write.parquet(f"{folder}/turn={turn}")
-    schema = events.select(*columns).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/turn=*")
-
-
-#: Micro-batches of the query below; documents and accepted changes are dealt to them by their number.
-ROUNDS = 4
 _TURNED = f"""
 turned AS (SELECT category, wrong, good, seq % {ROUNDS} AS turn, seq % {ROUNDS} * 1000000000 + seq AS seq FROM valid_corrections WHERE wrong <> ''),
 pairs AS (SELECT category, {D.squeeze(D.fold('wrong'))} AS norm, good, seq, turn FROM turned),

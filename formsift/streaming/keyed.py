@@ -19,15 +19,17 @@ class KeyedState:
     replaces its own. A read touches one snapshot and fewer than ``every`` changes, however long
     the stream has run; rows lie in buckets of their keys, and a look-up reads those it needs.
 
+    ``keep`` names the rows that a snapshot takes over; the others are as if they never were.
     Null is a key like any other. ``values`` are all columns that are not keys.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType | str, keys: list[str], every: int = 8, buckets: int = 16):
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType | str, keys: list[str],
+                 every: int = 8, buckets: int = 16, keep: Column | None = None):
         empty = spark.createDataFrame([], schema)
         self.spark, self.folder, self.keys, self.every, self.buckets = spark, folder, keys, every, buckets
         self.columns, self.values = empty.columns, [c for c in empty.columns if c not in keys]
         self.stored = StructType([*empty.schema.fields]).add("bucket", IntegerType())
-        self.schema = empty.schema
+        self.schema, self.keep = empty.schema, keep
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
@@ -67,7 +69,8 @@ class KeyedState:
         """Replace the rows of these keys; one row per key."""
         self._write(rows, f"change={number}")
         if (number + 1) % self.every == 0:
-            self._write(self._newest(self.base(number), number + 1), f"snapshot={number + 1}")
+            rows = self._newest(self.base(number), number + 1)
+            self._write(rows if self.keep is None else rows.filter(self.keep), f"snapshot={number + 1}")
             self._forget(number + 1 - self.every)
 
     def _forget(self, before: int) -> None:

@@ -1,13 +1,14 @@
 """Votes, merges and adjudication of readings; pages; model answers."""
 
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
-from formsift.functions.align import align
+from formsift.functions.align import aligned_pairs
 from formsift.operators import pages, reconcile, responses
 from formsift.operators.reader import read_fields
-from formsift.schema import BIRTH_DATE, CHILD_FIO, PASSPORT, PHONE, SNILS
+from formsift.schema import BIRTH_DATE, CHILD_FIO, GAP, PASSPORT, PHONE, SNILS
 
 SCHEMA = "doc_id long, field string, kind string, view_no int, value string, status string, error string"
 
@@ -100,6 +101,43 @@ def test_audit(spark):
     assert (row.status, row.reason, row.attempted, row.completed) == ("partial", "recognition_error", 2, 1)
 
 
+def align(reference: str, predicted: str) -> list[tuple[str, str, int]]:
+    """Edit alignment of two short texts; ties prefer a match, then a missing character.
+
+    An extra character takes the position after the one it follows.
+    """
+    table = [list(range(len(predicted) + 1))]
+    for i, letter in enumerate(reference, 1):
+        above, row = table[-1], [i]
+        for j, other in enumerate(predicted, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (letter != other)))
+        table.append(row)
+    pairs, i, j = [], len(reference), len(predicted)
+    while i > 0 or j > 0:
+        here = table[i][j]
+        diagonal = i > 0 and j > 0 and here == table[i - 1][j - 1] + (reference[i - 1] != predicted[j - 1])
+        missing = not diagonal and i > 0 and here == table[i - 1][j] + 1
+        extra = not diagonal and not missing
+        pairs.append((
+            GAP if extra else reference[i - 1],
+            GAP if missing else predicted[j - 1],
+            i + 1 if extra else i,
+        ))
+        i, j = i - (not extra), j - (not missing)
+    return pairs[::-1]
+
+
+def test_alignment_stays_in_the_jvm(spark):
+    rng = random.Random(6)
+    digits = lambda: "".join(rng.choice("123") for _ in range(rng.randrange(17)))
+    rows = [(i, digits(), digits()) for i in range(120)] + [(500, None, "1"), (501, "", ""), (502, "12", None)]
+    rows += [(600 + i, a, a[:k] + a[k + 1:] if i % 2 else a[:k] + "9" + a[k:]) for i, (a, k) in enumerate(((digits() + "12", 1), ("9001234567", 4), ("112233", 6)) * 4)]
+    got = aligned_pairs(spark.createDataFrame(rows, "id long, a string, b string"), "a", "b", "way")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {i: align(a or "", b or "") for i, a, b in rows}
+    assert {r.id: [tuple(x) for x in r.way] for r in got.collect()} == want
+
+
 def test_alignment():
     changes = [p for p in align("123456", "12456") if p[0] != p[1]]
     assert changes == [("3", "∅", 3)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.operators import activity, dictionary, duplicates
-from formsift.streaming import corrections, keyed, streams
+from formsift.streaming import corrections, keyed, sign_in, streams
 from tests.test_records import KEYS, LOGINS, random_keys, random_logins, replay
 
 
@@ -42,6 +42,26 @@ def test_lockout_over_batches(spark, tmp_path):
     assert got == {r.id: r.blocked for r in batch.collect()}
 
 
+@pytest.mark.parametrize("delay", [0, 40])
+def test_both_counters_over_batches(spark, tmp_path, delay):
+    """Attempts come in disorder up to the delay; those further behind are told apart."""
+    rng = random.Random(delay)
+    rows, at = [], 0
+    for i in range(240):
+        at += rng.choice([0, 1, 20, 60, 400])
+        rows.append((i, rng.choice(["A", "a ", "b", "c", "d", " ", None]), rng.choice(["1", "1", "2", "", None]), rng.random() < 0.1, at))
+    arrived = sorted(rows, key=lambda r: (r[4] + rng.uniform(0, delay), r[0]))
+    stray = (999, "a", "1", False, rows[10][4])
+    stream = files(spark, tmp_path, "logins", [*arrived, stray], LOGINS, 4)
+    judged, late = sign_in.lockout(stream, delay_s=delay)
+    rule, want = activity.SignInRule(), {}
+    for i, user, ip, ok, t in sorted(rows, key=lambda r: (r[4], r[0])):
+        user, ip = (user or "").strip().lower() or None, (ip or "").strip() or None
+        want[i] = rule.attempt(user, ip, t, ok)
+    assert {r.id: r.blocked for r in judged.collect()} == want and True in want.values()
+    assert [r.id for r in late.collect()] == [999]
+
+
 def test_corrections_over_batches(spark, tmp_path):
     schema = "category string, wrong string, right string, seq long"
     rows = [("cities", "а", "А", 1), ("cities", "а", "А", 2), ("cities", "а", "Б", 3), ("cities", "а", "А", 4), ("cities", "б", "Б", 5), ("cities", "а", "А", 6)]
