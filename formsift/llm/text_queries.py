@@ -108,7 +108,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_prefix.prefix_table(table(spark, sf_dir, "documents"), PIECES, 4096, keep_steps=False)
+    return token_prefix.prefix_table(table(spark, sf_dir, "documents"), PIECES, 4096).drop("steps")
 
 
 @query("op10_fingerprints")
