@@ -208,9 +208,12 @@ def originals(keys: DataFrame, key: str) -> DataFrame:
     return keys.join(firsts, key, "inner").select("doc_id", key, "original")
 
 
-def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bool = False) -> DataFrame:
+def journal_duplicates(
+    incoming: DataFrame, journal: DataFrame, undated_rows: bool = False, details: tuple[str, ...] = ()) -> DataFrame:
     """Incoming records with a match in the journal: counts per reason and the first row.
 
+    ``details`` are columns of the journal that the first row brings along, as ``row_<name>``.
+
     The journal is reduced to one row per key before any join, so a key that fills a third of
     either side costs one match per incoming record. A match by name alone needs an incoming
     record without birth date; ``undated_rows`` also lets journal rows without one match, the
@@ -218,7 +221,7 @@ def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bo
     """
     # One pass over the journal; all levels are rolled up from its distinct keys.
     finest = settled(journal.filter("name <> '' OR snils IS NOT NULL").groupBy("name", "birth", "snils").agg(
-        F.count("*").alias("_n"), F.min("doc_id").alias("_first")
+        F.count("*").alias("_n"), F.min(F.struct("doc_id", *details)).alias("_first")
     ), "journal-keys")
     undated = F.when(F.col("birth") == "", F.col("_n"))
     undated_first = F.when(F.col("birth") == "", F.col("_first"))
@@ -246,7 +249,7 @@ def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bo
         return F.coalesce(F.col(c), F.lit(0))
 
     by_undated = n("undated_name") - n("undated_name_s") if undated_rows else F.lit(0)
-    first_undated = F.col("undated_first_name") if undated_rows else F.lit(None).cast("long")
+    first_undated = F.col("undated_first_name") if undated_rows else F.when(F.lit(False), F.col("undated_first_name"))
     counts = computed(joined, {
         "n_snils": n("n_s"),
         "n_name_birth": F.when(~blank, n("n_pair") - n("n_pair_s")).otherwise(0),
@@ -262,7 +265,7 @@ def journal_duplicates(incoming: DataFrame, journal: DataFrame, undated_rows: bo
     )
     return counts.filter("n_snils + n_name_birth + n_name > 0").select(
         "doc_id", "n_snils", "n_name_birth", "n_name",
-        first.alias("first_row"), reason.alias("first_reason"),
+        first.doc_id.alias("first_row"), reason.alias("first_reason"), *[first[name].alias(f"row_{name}") for name in details],
     )
 
 

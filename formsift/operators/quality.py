@@ -47,7 +47,11 @@ def case_quality(scored: DataFrame) -> DataFrame:
 
 def corpus_quality(scored: DataFrame) -> DataFrame:
     """Totals and the mean of the per-case means."""
-    return case_quality(scored).agg(
+    return corpus_totals(case_quality(scored))
+
+
+def corpus_totals(cases: DataFrame) -> DataFrame:
+    return cases.agg(
         F.sum("exact_fields").alias("exact_fields"), F.sum("field_count").alias("field_count"),
         F.avg("mean_cer").alias("mean_cer"), F.avg("mean_wer").alias("mean_wer"),
         F.count("*").alias("cases"),
@@ -61,6 +65,10 @@ def field_quality(scored: DataFrame) -> DataFrame:
         F.count_if("false_confirmed").alias("false_verified"),
         F.count_if(~F.col("confirmed")).alias("needs_review"),
     )
+    return field_rates(counts)
+
+
+def field_rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "false_rate": F.try_divide("false_verified", "verified"),
         "review_rate": F.col("needs_review") / F.col("total"),

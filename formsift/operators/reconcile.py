@@ -252,6 +252,31 @@ def verification_audit(readings: DataFrame) -> DataFrame:
     )
 
 
+def whole_audit(routing: DataFrame, readings: DataFrame, broken: DataFrame) -> DataFrame:
+    """The audit of every field that was routed or read.
+
+    ``routing`` has ``doc_id, field, reason`` (blank: to be read), ``readings`` the reads made, and
+    ``broken`` one row ``doc_id, broken_field`` per document whose verification stopped with an
+    error (at a field, or null). A field whose reads ended keeps its count; in a broken document
+    the field that it stopped at and the selected fields not read yet are errors. Else a field is skipped
+    for its reason. Reads without a routing row are audited all the same.
+    """
+    reason = F.coalesce("route.reason", F.lit(""))
+    both = routing.alias("route").join(
+        verification_audit(readings).alias("made"), ["doc_id", "field"], "full").select(
+        "doc_id", "field", reason.alias("_skip"), "made.status", F.col("made.reason").alias("_partial"),
+        *[F.coalesce(f"made.{n}", F.lit(0)).alias(n) for n in ("attempted", "completed")])
+    joined = both.join(broken.withColumn("_broken", F.lit(True)), "doc_id", "left")
+    selected = F.col("_skip").isin("", *S.REASONS_OF_SELECTED)
+    stopped = F.col("_broken") & selected & (F.col("status").isNull() | F.coalesce(F.col("field") == F.col("broken_field"), F.lit(False)))
+    status = (
+        F.when(stopped, "error").when(F.col("status").isNotNull(), F.col("status"))
+        .when(F.col("_skip") != "", "skipped").otherwise("completed"))
+    why = (
+        F.when(stopped, S.REASON_VERIFICATION_ERROR).when(F.col("status").isNotNull(), F.col("_partial")).otherwise(F.col("_skip")))
+    return joined.select("doc_id", "field", status.alias("status"), why.alias("reason"), "attempted", "completed")
+
+
 def single_crop(readings: DataFrame) -> DataFrame:
     """Merge the page reading with one crop reading (view 1)."""
     field = F.col("field")

@@ -218,6 +218,44 @@ def a2_intake_gate(spark, sf):
     return intake.intake_gate(df).select("page_id", "kind", "reject_reason")
 
 
+# Real headers of the formats in front of each page's text; every part is a column, so the bytes grow with the table.
+_HEX = lambda number, digits: F.lpad(F.hex(number.cast("long")), digits, "0")
+_SWAPPED = lambda number: F.concat(*[F.substr(_HEX(number, 8), F.lit(i), F.lit(2)) for i in (7, 5, 3, 1)])
+
+
+def _scanned(df):
+    """Contents of scans: PNG, PDF, JPEG, TIFF, WebP and BMP files by page number, some damaged."""
+    page, width, height = c("page_id"), c("width"), c("height")
+    page_objects = F.repeat(F.lit("<< /Type /Page /Parent 2 0 R >> << /Type /Pages >> "), c("pages").cast("int"))
+    by_kind = F.element_at(F.array(
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _HEX(width, 8), _HEX(height, 8)),
+        F.concat(F.hex(F.lit("%PDF-1.4 ")), F.hex(page_objects)),
+        F.concat(F.lit("FFD8FFE00010"), F.repeat(F.lit("00"), 14), F.lit("FFFE00040000FFFFC0001108"), _HEX(height, 4), _HEX(width, 4)),
+        F.lit("49492A00"),
+        F.concat(F.lit("524946460000000057454250565038580A000000" + "00000000"), F.substr(_SWAPPED(width - 1), F.lit(1), F.lit(6)), F.substr(_SWAPPED(height - 1), F.lit(1), F.lit(6))),
+        F.concat(F.lit("424D000000000000000036000000" + "28000000"), _SWAPPED(width), _SWAPPED(height)),
+    ), (page % 6 + 1).cast("int"))
+    header = F.when(page % 29 == 8, F.lit("00FF")).otherwise(by_kind)
+    return df.withColumn("content", F.concat(F.unhex(header), F.encode("html", "UTF-8")))
+
+
+@query("a2_intake_bytes", """
+SELECT page_id, CASE WHEN kind = 3 THEN NULL WHEN kind = 1 THEN 'pdf' ELSE 'image' END AS kind,
+  CASE WHEN kind IN (1, 3) OR damaged THEN NULL ELSE width END AS width, CASE WHEN kind IN (1, 3) OR damaged THEN NULL ELSE height END AS height,
+  CASE WHEN kind = 1 AND NOT damaged THEN pages END AS pages,
+  CASE WHEN kind = 3 THEN 'unsupported_format' WHEN damaged THEN 'unreadable' WHEN kind <> 1 AND width <= 0 THEN 'bad_size'
+    WHEN kind <> 1 AND width * height > 25000000 THEN 'too_many_pixels' WHEN kind = 1 AND pages = 0 THEN 'no_pages' WHEN kind = 1 AND pages > 20 THEN 'too_many_pages' ELSE '' END AS reject_reason
+FROM (SELECT page_id, page_id % 6 AS kind, page_id % 29 = 8 AS damaged, CASE WHEN page_id % 11 = 4 AND page_id % 6 <> 4 THEN 0 ELSE 1000 + page_id * 37 % 9000 END AS width,
+  2000 + page_id * 53 % 4000 AS height, page_id % 25 AS pages FROM pages) t""")
+def a2_intake_bytes(spark, sf):
+    """The gate on bytes: sizes, page counts and kinds are read from contents, not from columns."""
+    df = table(spark, sf, "pages").selectExpr(
+        "page_id", "html", "'scan.' || split_part('png|PDF|jpeg|tiff|webp|bmp', '|', CAST(page_id % 6 + 1 AS int)) AS path",
+        "CASE WHEN page_id % 11 = 4 AND page_id % 6 <> 4 THEN 0 ELSE 1000 + page_id * 37 % 9000 END AS width", "2000 + page_id * 53 % 4000 AS height", "page_id % 25 AS pages")
+    files = _scanned(df).select("page_id", "path", "content")
+    return intake.intake_gate(intake.opened(files)).select("page_id", "kind", "width", "height", "pages", "reject_reason")
+
+
 def _stub_model(contents):
     """Stands in for a model: answers with the text's length, refuses some documents."""
     if contents.str.len().mod(7).eq(3).any():

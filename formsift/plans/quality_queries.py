@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formsift import schema as S
-from formsift.operators import quality, regions
+from formsift.operators import quality, regions, report
 from formsift.plans import duck as D
 from formsift.plans.field_queries import DUCK_RATES
-from formsift.plans.registry import query
+from formsift.plans.registry import BODIES, query
 from formsift.sources.fixtures import derived
 
 c = F.col
@@ -151,3 +154,36 @@ FROM label l JOIN boxes b ON b.page_id = l.page_id AND b.x1 >= l.x2 - 8
 GROUP BY l.page_id, l.field, l.x2, l.y1""")
 def c3_field_regions(spark, sf):
     return regions.locate_fields(derived(spark, sf, "fx_detections"))
+
+
+#: Keys and measures of the report's tables, and the queries that give them one by one.
+REPORT = {
+    "cases": ("d5_case_quality", ["case_id"], ["mean_cer", "mean_wer", "exact_fields", "field_count"]),
+    "corpus": ("d6_corpus_quality", [], ["exact_fields", "field_count", "mean_cer", "mean_wer", "cases"]),
+    "fields": ("d7_field_quality", ["field"], ["exact", "total", "verified", "false_verified", "needs_review", "false_rate", "review_rate"]),
+    "audits": ("d11_verification_totals", [], ["attempted", "completed"]),
+    "skips": ("d10_skip_reasons", ["audit_status", "audit_reason"], ["n"]),
+    "matrix": ("d8_confusion_matrix", ["reference"], [f"pred_{'gap' if s == S.GAP else s}" for s in S.MATRIX_SYMBOLS]),
+    "positions": ("d9_position_errors", ["field", "position", "reference", "predicted"], ["n"]),
+}
+
+
+def _measures_sql(name: str, keys: list[str], measures: list[str], body: str) -> str:
+    key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    pairs = ", ".join(f"{{'measure': '{m}', 'value': round(CAST({m} AS double), 6)}}" for m in measures)
+    return f"SELECT '{name}' AS table_name, {key} AS key, unnest([{pairs}], recursive := true) FROM ({body}) t_{name}"
+
+
+@query("a11_report", " UNION ALL ".join(_measures_sql(n, k, m, BODIES[b]) for n, (b, k, m) in REPORT.items()))
+def a11_report(spark, sf):
+    """All tables of the report, written as one run and read back."""
+    scored = _scored(spark, sf)
+    aligned = quality.aligned_digits(derived(spark, sf, "fx_eval"))
+    folder = report.write_report(spark, report.report_tables(scored, aligned), {"tables": sf.rsplit("/", 1)[-1]})
+    parts = []
+    for name, rows in report.read_report(spark, folder).items():
+        _, keys, measures = REPORT[name]
+        pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(c(m).cast("double"), 6).alias("value")) for m in measures])
+        key = F.concat_ws("|", *[c(k).cast("string") for k in keys]) if keys else F.lit("")
+        parts.append(rows.select(F.lit(name).alias("table_name"), key.alias("key"), F.inline(pairs)))
+    return reduce(DataFrame.unionByName, parts)

@@ -8,7 +8,8 @@ from formsift import schema as S
 from formsift.functions import text
 from formsift.operators import pages, reconcile, responses
 from formsift.plans import duck as D
-from formsift.plans.registry import query
+from formsift.plans import field_queries  # noqa: F401  registers a body used below
+from formsift.plans.registry import BODIES, QUERIES, query
 from formsift.sources.fixtures import derived
 
 c = F.col
@@ -187,6 +188,24 @@ def h8_verification_audit(spark, sf):
     return reconcile.verification_audit(derived(spark, sf, "fx_readings"))
 
 
+@query("h8_whole_audit", f"""
+WITH routing AS ({BODIES["b7_verification_routing"]}),
+made AS (SELECT r.doc_id, r.field, count(*) AS attempted, count(*) FILTER (WHERE error IS NULL) AS completed
+  FROM fx_readings r JOIN routing t ON t.doc_id = r.doc_id AND t.field = r.field AND t.reason = '' WHERE kind <> 'page' GROUP BY ALL),
+both_sides AS (SELECT doc_id, field, coalesce(reason, '') AS skip, attempted, completed, doc_id % 12 = 5 AS broken FROM routing FULL JOIN made USING (doc_id, field)),
+marked AS (SELECT *, broken AND skip IN ('', 'region_not_found', 'locator_error') AND (attempted IS NULL OR field = '{S.PHONE}') AS stopped FROM both_sides)
+SELECT doc_id, field, CASE WHEN stopped THEN 'error' WHEN attempted = completed THEN 'completed' WHEN attempted > completed THEN 'partial' WHEN skip <> '' THEN 'skipped' ELSE 'completed' END AS status,
+  CASE WHEN stopped THEN 'verification_error' WHEN attempted = completed THEN '' WHEN attempted > completed THEN 'recognition_error' ELSE skip END AS reason,
+  coalesce(attempted, 0) AS attempted, coalesce(completed, 0) AS completed FROM marked""")
+def h8_whole_audit(spark, sf):
+    """All outcomes: completed, partial, skipped for each reason, and errors of stopped documents."""
+    routing = QUERIES["b7_verification_routing"](spark, sf)
+    readings = derived(spark, sf, "fx_readings")
+    routed = readings.join(routing.filter("reason = ''"), ["doc_id", "field"], "left_semi")
+    broken = derived(spark, sf, "fx_person").filter("doc_id % 12 = 5").select("doc_id", F.lit(S.PHONE).alias("broken_field"))
+    return reconcile.whole_audit(routing, routed, broken)
+
+
 # --- pages --------------------------------------------------------------------------------
 
 _MERGED = """

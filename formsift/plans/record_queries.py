@@ -64,6 +64,36 @@ def c2_journal_duplicates(spark, sf):
     return duplicates.journal_duplicates(incoming, keys)
 
 
+@query("c2_matched_rows", f"""
+WITH {_KEYS}, {_INCOMING},
+hits AS (SELECT * FROM (SELECT a.doc_id, b.doc_id AS row_id, CASE WHEN a.snils = b.snils THEN '{S.REASON_SNILS}'
+    WHEN a.birth <> '' AND a.birth = b.birth THEN '{S.REASON_NAME_BIRTH}' WHEN a.birth = '' THEN '{S.REASON_NAME}' END AS reason
+  FROM incoming a JOIN keys b ON a.snils = b.snils OR (a.name = b.name AND a.name <> '')) t WHERE reason IS NOT NULL),
+firsts AS (SELECT doc_id, min(row_id) AS first_row, arg_min(reason, row_id) AS first_reason FROM hits GROUP BY doc_id)
+SELECT f.doc_id, first_row, first_reason, j.filename AS row_filename, j.child_fio AS row_child_fio, j.birth_date AS row_birth_date, j.snils AS row_snils_text
+FROM firsts f JOIN fx_applications j ON j.doc_id = f.first_row""")
+def c2_matched_rows(spark, sf):
+    """The journal's first matching row: its number, name, birth date, number of insurance, file."""
+    applications = derived(spark, sf, "fx_applications")
+    keys = duplicates.application_keys(applications)
+    journal = duplicates.application_keys(applications).join(
+        applications.select("doc_id", "child_fio", "birth_date", c("snils").alias("snils_text")), "doc_id")
+    incoming = keys.select(
+        "doc_id", F.when(c("doc_id") % 3 != 0, c("snils")).alias("snils"), "name",
+        F.when(c("doc_id") % 4 == 0, "").otherwise(c("birth")).alias("birth"))
+    found = duplicates.journal_duplicates(incoming, journal, details=("filename", "child_fio", "birth_date", "snils_text"))
+    return found.drop("n_snils", "n_name_birth", "n_name")
+
+
+@query("c1_matches", f"""
+WITH {_PAIRS} SELECT p.doc_id, prev AS "index", filename AS duplicate_of, reason FROM pairs p WHERE p.doc_id IN (SELECT doc_id FROM labels)""")
+def c1_matches(spark, sf):
+    """Every earlier match of the records that have labels."""
+    keys = duplicates.application_keys(derived(spark, sf, "fx_applications"))
+    chosen = keys.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return duplicates.matches_of(chosen, keys)
+
+
 @query("c12_duplicate_annotation", f"""
 WITH keys AS (SELECT doc_id, filename, CASE WHEN length({D.digits('snils')}) = 11 THEN {D.digits('snils')} END AS snils,
   {D.header('child_fio')} AS name, {D.digits(D.format_date('birth_date'))} AS birth FROM fx_applications WHERE NOT contains(phone, '[')),

@@ -177,3 +177,7 @@ ACTIVITY = T.StructType([
     T.StructField("backend", T.StringType()),
     T.StructField("detail", T.StringType()),
 ])
+
+# Fixed values of the verification audit.
+REASONS_OF_SELECTED = ["region_not_found", "locator_error"]
+REASON_VERIFICATION_ERROR = "verification_error"

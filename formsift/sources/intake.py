@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formsift import schema as S
-from formsift.functions import text
+from formsift.functions import headers, text
 from formsift.operators.regions import LABEL_ALIASES
+from formsift.operators.stages import computed
 
 # --- Fixed values: the standard form -----------------------------------------------------
 STANDARD_TEMPLATE = "Заявление о приеме (1/10 класс)"
@@ -35,19 +36,37 @@ def extension(path: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Files under a folder: ``path, length, content, ext``."""
+    """Files under a folder: ``path, length, content, ext``. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", "length", "content", extension(F.col("path")).alias("ext"))
 
 
+def opened(files: DataFrame) -> DataFrame:
+    """Add to ``path, content`` what the bytes say: ``payload_chars`` (in base 64), ``width, height``
+    of an image, ``pages`` of a PDF file (null where they cannot be seen), ``unreadable``."""
+    ext = extension(F.col("path"))
+    size = headers.image_size(F.col("content"))
+    sized = computed(files, {"_size": F.when(ext.isin(*S.IMAGE_EXTENSIONS), size), "_pdf": (ext == "pdf") & headers.is_pdf(F.col("content"))})
+    return sized.withColumns({
+        "payload_chars": 4 * F.ceil(F.length("content") / 3), "width": F.col("_size.width"), "height": F.col("_size.height"),
+        "pages": F.when(F.col("_pdf"), headers.pdf_pages(F.col("content"))),
+        "unreadable": F.when(ext == "pdf", ~F.col("_pdf")).otherwise(F.col("_size").isNull()),
+    }).drop("_size", "_pdf")
+
+
 def intake_gate(df: DataFrame) -> DataFrame:
-    """Add ``reject_reason`` (blank when accepted) to ``path, payload_chars, width, height, pages``."""
+    """Add ``reject_reason`` (blank when accepted) to ``path, payload_chars, width, height, pages``.
+
+    With ``unreadable``, files of a known kind that do not begin like one are rejected. A PDF file
+    whose ``pages`` are null is not rejected for their number.
+    """
     ext = extension(F.col("path"))
     image = ext.isin(*S.IMAGE_EXTENSIONS)
     pixels = F.col("width").cast("long") * F.col("height")
     reason = (
         F.when(F.col("payload_chars") > S.MAX_PAYLOAD_CHARS, "payload_too_long")
         .when(~image & (ext != "pdf"), "unsupported_format")
+        .when(F.col("unreadable") if "unreadable" in df.columns else F.lit(False), "unreadable")
         .when(image & ((F.col("width") <= 0) | (F.col("height") <= 0)), "bad_size")
         .when(image & (pixels > S.MAX_IMAGE_PIXELS), "too_many_pixels")
         .when((ext == "pdf") & (F.col("pages") <= 0), "no_pages")
