@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import text
+from formsift.operators.ranking import number_rows
 from formsift.session import settled
 
 # Sign-in attempts of one key are windowed per chunk of this many seconds.
@@ -91,6 +92,33 @@ def owned_items(items: DataFrame, owner_id: int) -> DataFrame:
     )
 
 
+PREVIEW_OK, PREVIEW_RUNNING, PREVIEW_NO_FILE, PREVIEW_NONE = "ok", "still running", "no such file", "no preview"
+
+
+def previews(items: DataFrame, owner_id: int, requests: DataFrame) -> DataFrame:
+    """Answers to ``request_id, job_id, index``: ``answer`` and, if ok, ``preview``.
+
+    Only jobs of the owner are seen; others give no row. The index counts the job's items from 0 in
+    their order; items carry a ``preview``, null where there is none.
+    """
+    mine = items.filter(F.col("owner_id") == owner_id)
+    jobs = job_outcomes(mine).select("job_id", "job_status", "total")
+    numbered = number_rows(mine.select("job_id", "idx", "preview"), [F.col("idx")], F.floor(F.col("idx") / 4096), "no", ["job_id"])
+    asked = requests.join(jobs, "job_id")
+    found = asked.join(numbered.select("job_id", (F.col("no") - 1).alias("index"), "preview"), ["job_id", "index"], "left")
+    answer = (
+        F.when(~F.col("job_status").isin("done", "error", "cancelled"), PREVIEW_RUNNING)
+        .when((F.col("index") < 0) | (F.col("index") >= F.col("total")), PREVIEW_NO_FILE)
+        .when(F.col("preview").isNull(), PREVIEW_NONE).otherwise(PREVIEW_OK))
+    return found.select("request_id", "job_id", "index", answer.alias("answer"), F.when(answer == PREVIEW_OK, F.col("preview")).alias("preview"))
+
+
+def job_duplicates(items: DataFrame, found: DataFrame) -> DataFrame:
+    """``job_id, duplicates``: items of each job whose record (``idx`` is its ``doc_id``) repeats an earlier one."""
+    repeated = found.filter("n_snils + n_name_birth + n_name > 0").select(F.col("doc_id").alias("idx"), F.lit(1).alias("hit"))
+    return items.select("job_id", "idx").join(repeated, "idx", "left").groupBy("job_id").agg(F.count("hit").alias("duplicates"))
+
+
 def retry_items(items: DataFrame) -> DataFrame:
     return items.filter(F.col("status").isin("error", "pending")).orderBy("job_id", "idx")
 

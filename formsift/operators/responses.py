@@ -101,3 +101,11 @@ def payload_kind(content: Column) -> Column:
         .when(F.startswith(head, F.lit("89504E47")), "png")
         .otherwise("other")
     )
+
+
+def field_statuses(records: DataFrame, column: str) -> DataFrame:
+    """``doc_id, field, status, verified`` of the ``_fields`` metadata in a record's JSON; a record that
+    is not JSON, or has no metadata, gives no rows."""
+    schema = "_fields map<string, struct<status: string, verified: boolean>>"
+    fields_ = F.from_json(F.col(column), schema)["_fields"]
+    return records.select("doc_id", F.explode(fields_).alias("field", "meta")).select("doc_id", "field", "meta.status", "meta.verified")

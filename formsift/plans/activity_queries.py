@@ -74,6 +74,21 @@ def b10_owned_items(spark, sf):
     return activity.owned_items(derived(spark, sf, "fx_items"), 3)
 
 
+@query("b10_previews", f"""
+WITH {_JOBS}, numbered AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS index, CASE WHEN idx % 4 <> 1 THEN filename END AS preview FROM fx_items WHERE owner_id = 3),
+asked AS (SELECT event_id AS request_id, user_id AS job_id, event_id % 14 - 2 AS index FROM events)
+SELECT request_id, a.job_id, a.index, answer, CASE WHEN answer = '{activity.PREVIEW_OK}' THEN preview END AS preview FROM (
+  SELECT a.*, n.preview, CASE WHEN j.job_status = 'running' THEN '{activity.PREVIEW_RUNNING}' WHEN a.index < 0 OR a.index >= j.total THEN '{activity.PREVIEW_NO_FILE}'
+    WHEN n.preview IS NULL THEN '{activity.PREVIEW_NONE}' ELSE '{activity.PREVIEW_OK}' END AS answer
+  FROM asked a JOIN jobs j ON j.job_id = a.job_id AND j.owner_id = 3 LEFT JOIN numbered n ON n.job_id = a.job_id AND n.index = a.index) a""")
+def b10_previews(spark, sf):
+    """One request for a preview per event, some of them out of the job's range."""
+    items = derived(spark, sf, "fx_items").withColumn("preview", F.when(c("idx") % 4 != 1, c("filename")))
+    requests = table(spark, sf, "events").select(
+        c("event_id").alias("request_id"), c("user_id").alias("job_id"), (c("event_id") % 14 - 2).alias("index"))
+    return activity.previews(items, 3, requests)
+
+
 @query("b11_retry_items", "SELECT job_id, idx, status FROM fx_items WHERE status IN ('error', 'pending')")
 def b11_retry_items(spark, sf):
     return activity.retry_items(derived(spark, sf, "fx_items")).select("job_id", "idx", "status")

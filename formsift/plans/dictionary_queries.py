@@ -84,14 +84,6 @@ def a10_new_corrections(spark, sf):
     return dictionary.new_corrections(_corrections(spark, sf), confirmed).select("doc_id", "category", "wrong", "right")
 
 
-@query("c4_nearest_entry")
-def c4_nearest_entry(spark, sf):
-    tokens = dictionary.fio_tokens(derived(spark, sf, "fx_fields"))
-    keys = tokens.select("category", "norm").distinct()
-    best = dictionary.nearest_entries(keys, _entries(spark, sf))
-    return best.withColumn("score", F.round("score", 6))
-
-
 # Words whose best score is 1: a custom mapping or an entry with the same folded text.
 _TOKENS = f"""
 fio_words AS (SELECT doc_id, field, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS part_no FROM (SELECT doc_id, field, {D.words('value')} AS w FROM fx_fields
@@ -104,6 +96,40 @@ _EXACT = f"""
 exact AS (SELECT category, {D.squeeze(D.fold('value'))} AS norm, min(value) AS value FROM entries GROUP BY ALL), {_TOKENS}"""
 
 
+# The similarity ratio in SQL: twice the characters of matching blocks over all. The longest common
+# block comes first (ties: the first in the word, then in the entry), then those left and right of it.
+_RATIO = """
+thresholds AS (SELECT * FROM (VALUES {thresholds}) v(category, least_score)),
+known AS (SELECT category, value AS "to", {norm} AS b FROM {entries}),
+candidates AS (SELECT k.category, k.norm AS a, e."to", e.b, least_score FROM {keys} k JOIN known e ON e.category = k.category AND e.b <> '' JOIN thresholds t ON t.category = k.category
+  WHERE k.norm <> '' AND 2.0 * least(length(k.norm), length(e.b)) / (length(k.norm) + length(e.b)) >= least_score),
+blocks AS (SELECT a, b, [{{'a1': 1, 'a2': length(a) + 1, 'b1': 1, 'b2': length(b) + 1}}] AS open_parts, CAST(0 AS bigint) AS matched FROM (SELECT DISTINCT a, b FROM candidates) t
+  UNION ALL SELECT a, b, CASE WHEN found IS NULL THEN open_parts[2:] ELSE list_concat(open_parts[2:], [
+      {{'a1': part.a1, 'a2': found.i, 'b1': part.b1, 'b2': found.j}}, {{'a1': found.i + found.k, 'a2': part.a2, 'b1': found.j + found.k, 'b2': part.b2}}]) END,
+    matched + coalesce(found.k, 0)
+  FROM (SELECT *, list_sort(flatten(list_transform(range(1, least(part.a2 - part.a1, part.b2 - part.b1) + 1), lambda k: flatten(list_transform(range(part.a1, part.a2 - k + 1),
+      lambda i: list_transform(list_filter(range(part.b1, part.b2 - k + 1), lambda j: substr(a, i, k) = substr(b, j, k)), lambda j: {{'longest': -k, 'i': i, 'j': j, 'k': k}}))))))[1] AS found
+    FROM (SELECT *, open_parts[1] AS part FROM blocks WHERE length(open_parts) > 0) x) y),
+ratios AS (SELECT a, b, 2.0 * max(matched) / (length(a) + length(b)) AS score FROM blocks GROUP BY a, b),
+nearest AS (SELECT category, a AS norm, arg_min("to", struct_pack(cost := -score, t := "to")) AS "to", max(score) AS score
+  FROM candidates JOIN ratios USING (a, b) WHERE score >= least_score GROUP BY category, a)"""
+
+
+def _ratio(keys: str, entries: str = "entries") -> str:
+    thresholds = ", ".join(f"({D.lit(k)}, CAST({t} AS double))" for k, t in S.MATCH_THRESHOLDS.items())
+    return _RATIO.format(thresholds=thresholds, keys=keys, entries=entries, norm=D.squeeze(D.fold("value")))
+
+
+@query("c4_nearest_entry", f"""
+WITH RECURSIVE {_ENTRIES}, {_TOKENS}, wanted AS (SELECT DISTINCT category, norm FROM fio_tokens), {_ratio("wanted")}
+SELECT category, norm, "to", round(score, 6) AS score FROM nearest""")
+def c4_nearest_entry(spark, sf):
+    tokens = dictionary.fio_tokens(derived(spark, sf, "fx_fields"))
+    keys = tokens.select("category", "norm").distinct()
+    best = dictionary.nearest_entries(keys, _entries(spark, sf))
+    return best.withColumn("score", F.round("score", 6))
+
+
 def _exact_changes(tokens: str) -> str:
     return f"""WITH {_ENTRIES}, {_EXACT}
 SELECT t.doc_id, t.field, CAST(t.part_no AS int) AS part_no, t.category, t.word AS "from", coalesce(m.good, e.value) AS "to", CAST(1 AS double) AS score,
@@ -118,7 +144,20 @@ def l1_exact_name_changes(spark, sf):
     return dictionary.changes(dictionary.propose(tokens, _entries(spark, sf), _corrections(spark, sf), fuzzy=False))
 
 
-@query("l1_suggest_fio")
+def _corrected(tokens: str, words: str) -> str:
+    """Texts with all changes: the mapping, an entry of the same folded text, else the nearest one."""
+    return f"""WITH RECURSIVE {_ENTRIES}, {_EXACT},
+open_words AS (SELECT DISTINCT t.category, t.norm FROM {tokens} t LEFT JOIN mapping m USING (category, norm) LEFT JOIN exact e USING (category, norm) WHERE m.good IS NULL AND e.value IS NULL),
+{_ratio("open_words")},
+changed AS (SELECT t.doc_id, t.field, t.part_no, coalesce(m.good, e.value, n."to") AS "to" FROM {tokens} t
+  LEFT JOIN mapping m ON m.category = t.category AND m.norm = t.norm LEFT JOIN exact e ON e.category = t.category AND e.norm = t.norm
+  LEFT JOIN nearest n ON n.category = t.category AND n.norm = t.norm
+  WHERE m.good IS NOT NULL OR coalesce(e.value, n."to") <> t.word),
+patched AS (SELECT w.doc_id, w.field, string_agg(coalesce(c."to", w.word), ' ' ORDER BY w.part_no) AS corrected, count(c."to") AS n FROM {words} w LEFT JOIN changed c USING (doc_id, field, part_no) GROUP BY ALL)
+SELECT doc_id, field, corrected FROM patched WHERE n > 0"""
+
+
+@query("l1_suggest_fio", _corrected("fio_tokens", "fio_words"))
 def l1_suggest_fio(spark, sf):
     records = derived(spark, sf, "fx_fields")
     proposed = dictionary.propose(dictionary.fio_tokens(records), _entries(spark, sf), _corrections(spark, sf))
@@ -131,7 +170,7 @@ def l2_exact_text_changes(spark, sf):
     return dictionary.changes(dictionary.propose(tokens, _entries(spark, sf), _corrections(spark, sf), fuzzy=False))
 
 
-@query("l2_correct_texts")
+@query("l2_correct_texts", _corrected("text_tokens", "text_words"))
 def l2_correct_texts(spark, sf):
     records = derived(spark, sf, "fx_fields")
     proposed = dictionary.propose(dictionary.text_tokens(records), _entries(spark, sf), _corrections(spark, sf))
@@ -158,6 +197,59 @@ def l4_learned_pairs(spark, sf):
     return derived(spark, sf, "fx_fields").select("doc_id", "field", correction_category(part, c("field")).alias("category"))
 
 
+@query("l4_appended_corrections", f"""WITH {_ENTRIES}, {_EXACT},
+tokens AS (SELECT * FROM fio_tokens UNION ALL SELECT * FROM text_tokens),
+accepted AS (SELECT t.*, coalesce(m.good, e.value) AS "to", m.good AS in_force FROM tokens t LEFT JOIN mapping m ON m.category = t.category AND m.norm = t.norm
+  LEFT JOIN exact e ON e.category = t.category AND e.norm = t.norm WHERE (m.good IS NOT NULL OR e.value <> t.word) AND t.doc_id % 2 = 0),
+pairs AS (SELECT doc_id, category, trim(word) AS wrong, trim("to") AS "right" FROM accepted)
+SELECT p.* FROM pairs p LEFT JOIN mapping m ON m.category = p.category AND m.norm = {D.squeeze(D.fold("p.wrong"))} WHERE p.wrong <> '' AND p."right" <> '' AND (m.good IS NULL OR m.good <> p."right")""")
+def l4_appended_corrections(spark, sf):
+    """Changes that reviewers accept become pairs of all categories; what the mapping says already is left out."""
+    records, mapping = derived(spark, sf, "fx_fields"), _corrections(spark, sf)
+    tokens = dictionary.fio_tokens(records).unionByName(dictionary.text_tokens(records))
+    offered = dictionary.changes(dictionary.propose(tokens, _entries(spark, sf), mapping, fuzzy=False))
+    named = F.when(c("category").isin(*dictionary.FIO_CATEGORIES), c("category")).otherwise("")
+    accepted = offered.filter("doc_id % 2 = 0").withColumn("field_part", named)
+    pairs = dictionary.learned_pairs(accepted, "doc_id")
+    return dictionary.new_corrections(mapping, pairs).select("doc_id", "category", "wrong", "right")
+
+
+@query("c6_lookup_all", f"""
+WITH {_ENTRIES}, {_TOKENS}, tokens AS (SELECT * FROM fio_tokens UNION ALL SELECT * FROM text_tokens)
+SELECT t.doc_id, t.field, CAST(t.part_no AS int) AS part_no, t.category, t.word, m.good AS "right" FROM tokens t LEFT JOIN mapping m ON m.category = t.category AND m.norm = t.norm""")
+def c6_lookup_all(spark, sf):
+    """The mapping in force for every word of the names, addresses and passport texts."""
+    records = derived(spark, sf, "fx_fields")
+    tokens = dictionary.fio_tokens(records).unionByName(dictionary.text_tokens(records))
+    mapping = dictionary.current_corrections(_corrections(spark, sf))
+    return tokens.join(mapping, ["category", "norm"], "left").select("doc_id", "field", "part_no", "category", "word", "right")
+
+
+@query("a4_all_categories", f"WITH {_ENTRIES} SELECT category, value FROM entries")
+def a4_all_categories(spark, sf):
+    """All categories as files of one value per line, with comments and blank lines, read back."""
+    values, folder = _entries(spark, sf), shared_folder(spark, "dictionary")
+    for category in S.DICTIONARY_DEFAULTS:
+        lines = F.array(F.concat(F.lit("  "), c("value")), F.concat(F.lit("# "), c("value")), F.lit(""))
+        values.filter(c("category") == category).select(F.explode(lines).alias("value")).write.text(f"{folder}/{category}.txt")
+    return intake.read_dictionary(spark, folder).distinct()
+
+
+@query("a6_signature_bands", f"""
+SELECT 'form ' || CAST(s_suppkey AS varchar) AS template, CASE WHEN s_suppkey % 3 = 0 THEN 0.7 WHEN s_suppkey % 3 = 1 THEN NULL ELSE 0.6 END AS y1,
+  CASE WHEN s_suppkey % 3 = 0 THEN 0.8 WHEN s_suppkey % 3 = 1 THEN NULL ELSE CAST(s_suppkey % 50 / 100 AS double) END AS y2 FROM supplier
+UNION ALL SELECT {D.lit(intake.STANDARD_TEMPLATE)}, {intake.SIGNATURE_DATE_Y[0]}, {intake.SIGNATURE_DATE_Y[1]}""")
+def a6_signature_bands(spark, sf):
+    """Where each form has the signature's date; bad pairs are dropped, the standard form has its own."""
+    k = c("s_suppkey")
+    pair = F.when(k % 3 == 0, F.array(F.lit(0.7), F.lit(0.8))).when(k % 3 == 1, F.array(F.lit(0.5))).otherwise(F.array(F.lit(0.6), k % 50 / 100))
+    forms = table(spark, sf, "supplier").select(F.create_map(F.concat(F.lit("form "), k.cast("string")), F.struct(
+        F.array(F.lit("Поле")).alias("fields"), pair.alias("signature_date_y"))).alias("t"))
+    path = shared_folder(spark, "templates")
+    forms.select(F.to_json("t")).write.text(path)
+    return intake.signature_bands(spark, path, per_line=True)
+
+
 _FIELD_Y = "CASE WHEN s_suppkey % 3 = 0 THEN [0.1, 0.2] WHEN s_suppkey % 3 = 1 THEN [0.5] ELSE [0.25, s_suppkey % 50 / 100] END"
 
 

@@ -26,7 +26,8 @@ def finish_records(records: DataFrame, hints: DataFrame | None = None) -> DataFr
     """After reconciliation: compare surnames, then format every value.
 
     ``records``: ``doc_id, field, value, status, verified, alternative``. Pass ``hints`` when
-    they can be read from an earlier table, so that the records are not computed twice.
+    they can be read from an earlier table, so that the records are not computed twice. A ``note``
+    column is passed on; a hint puts its own there.
     """
     hints = surname_hints(records) if hints is None else hints
     out = records.join(hints, ["doc_id", "field"], "left")
@@ -37,6 +38,7 @@ def finish_records(records: DataFrame, hints: DataFrame | None = None) -> DataFr
         F.when(hinted, "needs_review").otherwise(F.col("status")).alias("status"),
         (F.col("verified") & ~hinted).alias("verified"),
         F.when(hinted & blank, F.col("hint")).otherwise(F.col("alternative")).alias("alternative"),
+        *[F.when(hinted, S.NOTE_SURNAMES_DIFFER).otherwise(F.col("note")).alias("note")] * ("note" in records.columns),
     )
 
 

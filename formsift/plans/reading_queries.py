@@ -9,6 +9,7 @@ from formsift.functions import text
 from formsift.operators import pages, reconcile, responses
 from formsift.plans import duck as D
 from formsift.plans import field_queries  # noqa: F401  registers a body used below
+from formsift.plans.flows import finish_records
 from formsift.plans.registry import BODIES, QUERIES, query
 from formsift.sources.fixtures import derived
 
@@ -360,6 +361,35 @@ def h9_finish_record(spark, sf):
     return _finish(spark, sf)
 
 
+_SURNAME_HINT = f"""
+hint AS (SELECT doc_id, sa || substr(p, length(sb) + 1) AS suggestion FROM (SELECT *, string_split(child, ' ')[1] AS sa, string_split(p, ' ')[1] AS sb
+    FROM (SELECT doc_id, {D.squeeze('child_fio')} AS child, {D.squeeze('parent_fio')} AS p FROM fx_applications) s0) s
+  WHERE length(sa) = length(sb) AND lower(sa) <> lower(sb)
+    AND list_sum(list_transform(range(1, length(sa) + 1), lambda i: CASE WHEN lower(sa)[i] <> lower(sb)[i] THEN 1 ELSE 0 END)) = 1)"""
+
+
+@query("h9_surname_notes", f"""
+WITH {_SURNAME_HINT}
+SELECT f.doc_id, f.field, {D.auto_format('f.field', 'f.value')} AS value, CASE WHEN h.doc_id IS NOT NULL THEN 'needs_review' ELSE status END AS status,
+  coalesce(suggestion, '') AS alternative, CASE WHEN h.doc_id IS NOT NULL THEN '{S.NOTE_SURNAMES_DIFFER}' ELSE 'n' || CAST(f.doc_id AS varchar) END AS note
+FROM fx_fields f LEFT JOIN hint h ON h.doc_id = f.doc_id AND f.field = '{S.PARENT_FIO}' WHERE f.field IN ('{S.CHILD_FIO}', '{S.PARENT_FIO}')""")
+def h9_surname_notes(spark, sf):
+    """The note that a reviewer reads beside a parent's name that differs in one letter."""
+    names = derived(spark, sf, "fx_fields").filter(c("field").isin(S.CHILD_FIO, S.PARENT_FIO)).select(
+        "doc_id", "field", "value", "status", (c("status") == "read").alias("verified"), F.lit("").alias("alternative"),
+        F.concat(F.lit("n"), c("doc_id").cast("string")).alias("note"))
+    return finish_records(names).drop("verified")
+
+
+@query("h10_record_status", "SELECT doc_id, field, status, status = 'read' AS verified FROM fx_fields")
+def h10_record_status(spark, sf):
+    """Status and confirmation of every field, from the metadata that a record carries as JSON."""
+    entry = F.struct("field", F.struct("status", (c("status") == "read").alias("verified")).alias("meta"))
+    records = derived(spark, sf, "fx_fields").groupBy("doc_id").agg(F.to_json(F.struct(
+        F.map_from_entries(F.collect_list(entry)).alias("_fields"))).alias("record"))
+    return responses.field_statuses(records, "record")
+
+
 @query("l3_attach_suggestions", f"""
 SELECT f.doc_id, f.field, f.value, CASE WHEN differs THEN 'needs_review' ELSE status END AS status,
   status = 'read' AND NOT differs AS verified, CASE WHEN differs THEN hint ELSE '' END AS alternative

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from formsift import schema as S
 from formsift.functions import fields
-from formsift.operators import canon, duplicates, journal, ranking
+from formsift.operators import activity, canon, duplicates, journal, ranking
 from formsift.plans import duck as D
 from formsift.plans.flows import (
     answer_records, batch_journal, checked_records, reviewed_applications, status_summary,
@@ -106,6 +106,14 @@ def c12_duplicate_annotation(spark, sf):
     return duplicates.annotate(items.select("doc_id"), found).select("doc_id", "n_duplicates")
 
 
+@query("d16_job_duplicates", f"""
+WITH {_PAIRS} SELECT i.job_id, count(f.doc_id) AS duplicates FROM fx_items i LEFT JOIN found f ON f.doc_id = i.idx GROUP BY i.job_id""")
+def d16_job_duplicates(spark, sf):
+    """How many of a job's records repeat an earlier one."""
+    found = duplicates.batch_duplicates(duplicates.application_keys(derived(spark, sf, "fx_applications")))
+    return activity.job_duplicates(derived(spark, sf, "fx_items"), found)
+
+
 @query("b5_review_status", f"""
 WITH {_PAIRS} SELECT a.doc_id, CASE WHEN reviewer_confirmed AND f.doc_id IS NOT NULL THEN '{S.STATUS_VERIFIED_DUP}' WHEN reviewer_confirmed THEN '{S.STATUS_VERIFIED}'
   WHEN f.doc_id IS NOT NULL THEN '{S.STATUS_DUP}' ELSE '{S.STATUS_REVIEW}' END AS review_status

@@ -132,6 +132,21 @@ def standard_template(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def signature_bands(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """``template, y1, y2``: the band of the signature's date per form, null without a pair of two
+    numbers; the standard form has its own unless a file gives it another."""
+    raw = spark.read.option("wholetext", not per_line).text(path)
+    entries = raw.select(F.explode(F.from_json("value", TEMPLATE_FILE)).alias("template", "t")).filter("t IS NOT NULL")
+    pair = F.col("t.signature_date_y")
+    good = (F.size(pair) == 2) & F.forall(pair, lambda v: v.isNotNull())
+    given = entries.select("template", F.when(good, pair[0]).alias("y1"), F.when(good, pair[1]).alias("y2"))
+    own = spark.range(1).select(F.lit(STANDARD_TEMPLATE).alias("template"), *[
+        F.lit(y).cast("double").alias(n) for n, y in zip(("y1", "y2"), SIGNATURE_DATE_Y)])
+    replaced = given.filter((F.col("template") == STANDARD_TEMPLATE) & F.col("y1").isNotNull())
+    others = given.filter(F.col("template") != STANDARD_TEMPLATE)
+    return others.unionByName(replaced).unionByName(own.join(replaced.select("template"), "template", "left_anti"))
+
+
 def read_templates(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Templates of JSON files as long rows, the standard form overlaid on the built-in one.
 
