@@ -29,7 +29,9 @@ GATHER = 2_000_000
 #: Words of these characters alone are cut at the borders of letters, digits and marks as the
 #: tokenizer cuts them; no apostrophe, for the contractions, and no special token among them.
 PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9 \n]+")
+#: Texts of such words alone are cut into runs at once.
+PLAIN_TEXT = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ \n]*")
 
 
 class WordEncoder:
@@ -74,21 +76,39 @@ class WordEncoder:
                 cut[w] = RUNS.findall(w.lower())
             else:
                 whole.append(w)
+        runs = set().union(*cut.values())
+        new = self.learn_runs(runs)
         known = self.runs
-        if len(known) > MOST_WORDS:
-            known.clear()
-        new = list(set().union(*cut.values()) - known.keys())
-        if new:
-            known.update(zip(new, self.encode_runs(new)))
         if whole:
             self.words.update(zip(whole, self.encode(whole)))
         self.words.update((w, known[r[0]] if len(r) == 1 else b"".join([known[x] for x in r])) for w, r in cut.items())
-        for r in new:
+        self.forget(new)
+
+    def learn_runs(self, runs: set[str]) -> list[str]:
+        """Take in the ids of runs; of those known before, a full memo keeps the ones asked for."""
+        known = self.runs
+        new = list(runs - known.keys())
+        if len(known) + len(new) > MOST_WORDS:
+            known = self.runs = {r: known[r] for r in runs & known.keys()}
+        if new:
+            known.update(zip(new, self.encode_runs(new)))
+        return new
+
+    def forget(self, runs: list[str]) -> None:
+        """Long runs are not remembered."""
+        for r in runs:
             if len(r) > LONGEST_WORD:
-                del known[r]
+                del self.runs[r]
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, 4 bytes each, little-endian."""
+    def many_plain(self, texts: list[str]) -> list[bytes]:
+        cut = [RUNS.findall(t.lower()) for t in texts]
+        new = self.learn_runs(set().union(*cut))
+        known = self.runs
+        out = [b"".join(map(known.__getitem__, runs)) for runs in cut]
+        self.forget(new)
+        return out
+
+    def many_by_words(self, texts: list[str]) -> list[bytes]:
         known = self.words
         if len(known) > MOST_WORDS:
             known.clear()
@@ -102,6 +122,13 @@ class WordEncoder:
                 del known[w]
         return out
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, 4 bytes each, little-endian."""
+        plain = [bool(PLAIN_TEXT.fullmatch(t)) for t in texts]
+        done = {True: iter(self.many_plain([t for t, p in zip(texts, plain) if p])),
+                False: iter(self.many_by_words([t for t, p in zip(texts, plain) if not p]))}
+        return [next(done[p]) for p in plain]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
