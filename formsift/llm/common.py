@@ -33,20 +33,18 @@ def running_totals(
     """Add ``out``: the sum of ``value`` over the rows that come earlier in their group.
 
     Rows are ordered by ``place`` and then ``order``. ``place`` is a double in [0, 1) over which
-    a group's rows spread evenly, such as a hash; it cuts a group of any size into buckets of
-    about ``rows`` rows, and those into blocks of about ``rows`` buckets. The windows run inside
-    a bucket, over a block's buckets and over a group's blocks, so that no task gets a group.
+    a group's rows spread evenly, such as a hash. It is cut, for all groups alike, into so many
+    buckets that ``rows`` rows of the whole table come to one, and those into blocks of ``rows`` buckets;
+    a group of any share of the table has that share of ``rows`` in a bucket. The windows run
+    inside a group's bucket, over a block's buckets and over a group's blocks, and rows are
+    only ever dealt by group and bucket, so that no task gets a group.
     ``df`` is read twice: settle it first if it is dear.
     """
     null_safe = [F.struct(F.col(g)).alias(f"_g{i}") for i, g in enumerate(groups)]
     g = [f"_g{i}" for i in range(len(groups))]
-    keyed = df.select("*", *null_safe)
-    counts = keyed.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(rows * rows)).cast("long")
-    if g:
-        keyed = keyed.join(counts.select(*g, blocks.alias("_blocks")), g)
-    else:
-        keyed = keyed.withColumn("_blocks", counts.select(blocks).scalar())
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.select("*", *null_safe).withColumn(
+        "_blocks", total.select(F.ceil(F.col("_n") / F.lit(rows * rows)).cast("long")).scalar())
     keyed = keyed.withColumns({
         "_block": F.floor(F.col(place) * F.col("_blocks")).cast("long"),
         "_bucket": F.floor(F.col(place) * F.col("_blocks") * F.lit(rows)).cast("long"),
