@@ -241,24 +241,27 @@ class SignInRule:
 def sign_in_groups(keyed: DataFrame) -> DataFrame:
     """``keyed`` with ``spell``: attempts that cannot influence each other have different ones.
 
-    A user's or an address' attempts influence later ones for less than a window, so a key's
-    attempts with an empty window before them begin a new run. Runs of users and of addresses
-    that share an attempt are connected; a spell is a connected group of runs. The runs come from
-    (key, slot) counts, and spells from the links between runs, both smaller than the attempts.
+    Only failures leave something behind, and for less than a window. So a key's failures with
+    an empty window before them begin a new run, and other attempts belong to the run that covers
+    their window or the one before; without one they are a spell of their own. Runs of users and of
+    addresses that share an attempt are connected; a spell is a connected group of runs. The runs
+    come from (key, slot) counts, and spells from the links between runs, both smaller than the attempts.
     """
     slot = F.floor(F.col("at_s") / S.LOCK_WINDOW_SECONDS)
     rows = keyed.withColumn("slot", slot)
     for key, run in (("user_key", "user_run"), ("ip_key", "ip_run")):
-        slots = rows.filter(F.col(key).isNotNull()).select(key, "slot").distinct()
+        slots = rows.filter(F.col(key).isNotNull() & ~F.coalesce("success", F.lit(False))).select(key, "slot").distinct()
         by_slot = Window.partitionBy(key).orderBy("slot")
         starts = F.when(F.coalesce(F.col("slot") - F.lag("slot").over(by_slot) > 1, F.lit(True)), F.col("slot"))
         runs = slots.withColumn("start", F.last(starts, ignorenulls=True).over(by_slot))
         name = F.concat_ws("|", F.lit(key[0]), "start", key)
-        rows = rows.join(runs.select(key, "slot", name.alias(run)), [key, "slot"], "left")
+        covered = runs.select(key, name.alias(run), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot")).distinct()
+        rows = rows.join(covered, [key, "slot"], "left")
     links = settled(rows.filter("user_run is not null and ip_run is not null").select("user_run", "ip_run").distinct(), "run-links")
     spells = connected(links.select(F.col("user_run").alias("a"), F.col("ip_run").alias("b")))
     named = rows.join(spells.withColumnRenamed("node", "user_run"), "user_run", "left")
-    return named.withColumn("spell", F.coalesce("component", "user_run", "ip_run")).drop("slot", "user_run", "ip_run", "component")
+    alone = F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.lit("-")))
+    return named.withColumn("spell", F.coalesce("component", "user_run", "ip_run", alone)).drop("slot", "user_run", "ip_run", "component")
 
 
 def connected(links: DataFrame) -> DataFrame:

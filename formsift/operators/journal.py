@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formsift import schema as S
 from formsift.functions import text
 from formsift.operators.ranking import BUCKETS, number_by_id
+from formsift.session import settled
 
 NO_DATA = "Нет данных"
 
@@ -26,7 +27,8 @@ def export_records(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     wide = records.groupBy("doc_id").agg(*[
         text.safe_cell(F.max(F.when(F.col("field") == n, F.col("value")))).alias(n) for n in names
     ])
-    numbered = number_by_id(wide, "doc_id", S.ROW_NUMBER, buckets)
+    # Numbering reads the rows three times: for the quantiles, the totals and the rows themselves.
+    numbered = number_by_id(settled(wide, "journal-rows"), "doc_id", S.ROW_NUMBER, buckets)
     return numbered.select("doc_id", *[F.col(f"`{n}`") for n in S.JOURNAL_COLUMNS])
 
 
