@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -284,30 +285,123 @@ def connected(links: DataFrame) -> DataFrame:
         labels = following
 
 
+ATTEMPT = "id long, user_key string, ip_key string, at_s long, success boolean"
+REPLAYED = "unit string, " + ATTEMPT + ", blocked boolean, kind string, key string, times array<long>"
+
+
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply the rule to rows sorted by (spell, at_s, id)."""
-    current, rule = None, SignInRule()
-    for rows in batches:
-        rows = rows.astype(object).where(rows.notna(), None)
-        blocked = []
-        for spell, user, ip, at_s, success in zip(rows.spell, rows.user_key, rows.ip_key, rows.at_s, rows.success):
-            if spell != current:
-                current, rule = spell, SignInRule()
-            blocked.append(rule.attempt(user, ip, at_s, bool(success)))
-        yield rows[["id", "user_key", "ip_key", "at_s", "success"]].assign(blocked=blocked)
+    """Apply the rule to rows sorted by unit; a unit's open counters come before its attempts.
+
+    Gives the attempts with their verdict, and after each unit the counters it leaves.
+    """
+    columns = [c.split()[0] for c in REPLAYED.split(", ")]
+    unit, rule, touched = None, SignInRule(), {}
 
+    def left() -> list[tuple]:
+        stores = {"user": rule.users, "address": rule.addresses}
+        return [(unit, None, None, None, at_s, None, None, kind, key, list(stores[kind].get(key, ()))) for (kind, key), at_s in touched.items()]
 
-def exact_lockout(attempts: DataFrame) -> DataFrame:
+    for rows in batches:
+        rows = rows.astype(object).where(rows.notna(), None)
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.unit != unit:
+                out += left()
+                unit, rule, touched = r.unit, SignInRule(), {}
+            if r.kind is not None:
+                (rule.users if r.kind == "user" else rule.addresses)[r.key] = [int(t) for t in r.times]
+                continue
+            blocked = rule.attempt(r.user_key, r.ip_key, r.at_s, bool(r.success))
+            out.append((unit, r.id, r.user_key, r.ip_key, r.at_s, r.success, blocked, None, None, None))
+            for kind, key in (("user", r.user_key), ("address", r.ip_key)):
+                if key is not None:
+                    touched[kind, key] = r.at_s
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(left(), columns=columns)
+
+
+def replayed(units: DataFrame, counters: DataFrame) -> DataFrame:
+    """Replay each ``unit`` of attempts on its own, from its open counters ``unit, kind, key, times``."""
+    none = F.lit(None)
+    rows = units.select("unit", "id", "user_key", "ip_key", "at_s", "success", none.cast("string").alias("kind"),
+                        none.cast("string").alias("key"), none.cast("array<long>").alias("times"))
+    seeds = counters.select(
+        "unit", none.cast("long").alias("id"), none.cast("string").alias("user_key"), none.cast("string").alias("ip_key"),
+        none.cast("long").alias("at_s"), none.cast("boolean").alias("success"), "kind", "key", "times")
+    ordered = rows.unionByName(seeds).repartition("unit").sortWithinPartitions("unit", F.asc_nulls_first("at_s"), "id")
+    return ordered.mapInPandas(_replay, REPLAYED)
+
+
+def counter_keys(attempts: DataFrame, *more: str) -> DataFrame:
+    """The counters that attempts look at."""
+    pair = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key"))
+    keys = attempts.select(*more, F.inline(F.array(pair("user", "user_key"), pair("address", "ip_key"))))
+    return keys.filter("key is not null").distinct()
+
+
+#: A spell of more attempts is cut into stretches of this many seconds, longer than the window.
+SPELL_ROWS, STRETCH_SECONDS = 50_000, 4 * S.LOCK_WINDOW_SECONDS
+
+
+def in_stretches(spells: DataFrame, seconds: int = STRETCH_SECONDS) -> DataFrame:
+    """Replay long spells stretch by stretch, all stretches at once.
+
+    Each stretch first assumes that no counter is open when it begins. Then those whose predecessor
+    left something else than they assumed are replayed from that, until all agree; what agrees
+    along the whole spell is the replay of the whole spell, since counters live for less than a
+    stretch. A wrong assumption is forgotten with the first success or quiet window, so few
+    stretches need a second round; in the worst case there is a round for each stretch.
+    """
+    units = settled(spells.withColumn("stretch", F.floor(F.col("at_s") / seconds)).withColumn(
+        "unit", F.concat_ws("|", F.col("stretch").cast("string"), "spell")), "stretches")
+    asked = settled(counter_keys(units, "unit", "spell", "stretch"), "stretch-keys")
+    nothing = units.sparkSession.createDataFrame([], "unit string, kind string, key string, times array<long>")
+    sign = lambda counters: counters.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("kind", "key", "times").cast("decimal(38,0)")).alias("h"))
+    rows, used, assumed, ends, rounds = units, nothing, nothing, None, []
+    while True:
+        out = settled(replayed(rows, used), "stretches-replayed")
+        left = out.filter("kind is not null").select("unit", "kind", "key", "times")
+        redone = rows.select("unit").distinct()
+        ends = settled(left if ends is None else ends.join(redone, "unit", "left_anti").unionByName(left), "stretch-ends")
+        assumed = settled(assumed.join(redone, "unit", "left_anti").unionByName(used), "stretch-assumed")
+        rounds.append((out, redone))
+        # What a stretch leaves is what the next one finds, as far as it is in the window there.
+        names = asked.select("unit", "spell", "stretch").distinct()
+        handed = ends.join(names, "unit").withColumn("stretch", F.col("stretch") + 1).drop("unit")
+        begins = F.col("stretch") * seconds - S.LOCK_WINDOW_SECONDS
+        handed = handed.withColumn("times", F.filter("times", lambda t: t > begins)).filter("size(times) > 0")
+        found = settled(handed.join(asked, ["spell", "stretch", "kind", "key"]).select("unit", "kind", "key", "times"), "stretch-found")
+        both = sign(found).withColumnRenamed("n", "m").withColumnRenamed("h", "g").join(sign(assumed), "unit", "full")
+        wrong = settled(both.filter(~(F.col("n").eqNullSafe(F.col("m")) & F.col("h").eqNullSafe(F.col("g")))).select("unit"), "stretches-wrong")
+        if wrong.isEmpty():
+            break
+        rows, used = units.join(wrong, "unit", "left_semi"), settled(found.join(wrong, "unit", "left_semi"), "stretch-used")
+    verdicts, later = [], None
+    for out, redone in reversed(rounds):
+        kept = out.filter("kind is null")
+        verdicts.append(kept if later is None else kept.join(later, "unit", "left_anti"))
+        later = redone if later is None else later.unionByName(redone).distinct()
+    return reduce(DataFrame.unionByName, verdicts)
+
+
+def exact_lockout(attempts: DataFrame, spell_rows: int = SPELL_ROWS, seconds: int = STRETCH_SECONDS) -> DataFrame:
     """Which attempts are locked out, with the counters of users and of addresses.
 
     ``attempts`` has ``id, username, ip, success, at_s``; attempts of one second go by ``id``. The
     work is split by spells that cannot influence each other; a task reads a spell in order
-    and keeps only the times of open counters.
+    and keeps only the times of open counters. Spells of more than ``spell_rows`` attempts, such
+    as those of an address that is never idle, are replayed in stretches.
     """
-    spells = sign_in_groups(sign_in_keys(attempts))
-    ordered = spells.repartition("spell").sortWithinPartitions("spell", "at_s", "id")
-    return ordered.mapInPandas(
-        _replay, "id long, user_key string, ip_key string, at_s long, success boolean, blocked boolean")
+    spells = settled(sign_in_groups(sign_in_keys(attempts)), "sign-in-spells")
+    long = settled(spells.groupBy("spell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > spell_rows).select("spell"), "long-spells")
+    nothing = spells.sparkSession.createDataFrame([], "unit string, kind string, key string, times array<long>")
+    columns = [*[c.split()[0] for c in ATTEMPT.split(", ")], "blocked"]
+    short = replayed(spells.join(long, "spell", "left_anti").withColumnRenamed("spell", "unit"), nothing)
+    verdicts = short.filter("kind is null").select(*columns)
+    if long.isEmpty():
+        return verdicts
+    return verdicts.unionByName(in_stretches(spells.join(long, "spell", "left_semi"), seconds).select(*columns))
 
 
 def exact_user_lockout(attempts: DataFrame) -> DataFrame:

@@ -75,14 +75,6 @@ def canonical_fields(df: DataFrame) -> DataFrame:
     return wide.select("doc_id", F.inline(pairs))
 
 
-def canonical_record(df: DataFrame) -> DataFrame:
-    """Canonical fields plus every other key of the record, in long form."""
-    others = strip_internal(df).filter(
-        ~F.col("key").isin(*S.BUSINESS_FIELDS, *S.ENGLISH_KEYS)
-    ).select("doc_id", F.col("key").alias("field"), "value")
-    return canonical_fields(df).filter(F.col("value").isNotNull()).unionByName(others)
-
-
 def warning_count(df: DataFrame) -> DataFrame:
     """Flagged fields per record."""
     flagged = fields.needs_review(F.col("field"), F.col("value"), F.col("status"))

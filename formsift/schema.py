@@ -150,13 +150,6 @@ MATRIX_SYMBOLS = [*"0123456789", GAP]
 
 # --- Table schemas ----------------------------------------------------------------------
 
-BOX = T.StructType([T.StructField(n, T.IntegerType()) for n in ("x1", "y1", "x2", "y2")])
-AUDIT = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("attempted", T.IntegerType()),
-    T.StructField("completed", T.IntegerType()),
-])
 LABEL_FILE = T.StructType([
     T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
     T.StructField("_corrupt_record", T.StringType()),
@@ -166,17 +159,6 @@ CORRECTIONS = T.StructType([
     T.StructField("wrong", T.StringType()),
     T.StructField("right", T.StringType()),
 ])
-ACTIVITY = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("username", T.StringType()),
-    T.StructField("action", T.StringType()),
-    T.StructField("ok", T.BooleanType()),
-    T.StructField("elapsed_ms", T.IntegerType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("backend", T.StringType()),
-    T.StructField("detail", T.StringType()),
-])
 
 # Fixed values of the verification audit.
 REASONS_OF_SELECTED = ["region_not_found", "locator_error"]

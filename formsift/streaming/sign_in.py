@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,61 +11,15 @@ from formsift.session import settled
 from formsift.streaming.keyed import KeyedState
 from formsift.streaming.streams import run_batches
 
-ATTEMPT = "id long, user_key string, ip_key string, at_s long, success boolean"
-REPLAYED = ATTEMPT + ", blocked boolean, kind string, key string, times array<long>"
+ATTEMPT = activity.ATTEMPT
 HORIZON = "seen long, ready long"
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply the rule to rows sorted by spell; a spell's open counters come before its attempts.
-
-    Gives the attempts with their verdict, and after each spell the counters it leaves.
-    """
-    columns = [c.split()[0] for c in REPLAYED.split(", ")]
-    spell, rule, touched = None, activity.SignInRule(), {}
-
-    def left() -> list[tuple]:
-        stores = {"user": rule.users, "address": rule.addresses}
-        return [(None, None, None, at_s, None, None, kind, key, list(stores[kind].get(key, ()))) for (kind, key), at_s in touched.items()]
-
-    for rows in batches:
-        rows = rows.astype(object).where(rows.notna(), None)
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.spell != spell:
-                out += left()
-                spell, rule, touched = r.spell, activity.SignInRule(), {}
-            if r.kind is not None:
-                (rule.users if r.kind == "user" else rule.addresses)[r.key] = [int(t) for t in r.times]
-                continue
-            blocked = rule.attempt(r.user_key, r.ip_key, r.at_s, bool(r.success))
-            out.append((r.id, r.user_key, r.ip_key, r.at_s, r.success, blocked, None, None, None))
-            for kind, key in (("user", r.user_key), ("address", r.ip_key)):
-                if key is not None:
-                    touched[kind, key] = r.at_s
-        yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame(left(), columns=columns)
-
-
-def _keys_of(attempts: DataFrame, *more: str) -> DataFrame:
-    """The counters that attempts look at."""
-    pair = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key"))
-    keys = attempts.select(*more, F.inline(F.array(pair("user", "user_key"), pair("address", "ip_key"))))
-    return keys.filter("key is not null").distinct()
-
-
 def judged(due: DataFrame, counters: DataFrame) -> DataFrame:
     """Replay attempts from given open counters ``kind, key, times``."""
-    spells = settled(activity.sign_in_groups(due), "spells-due")
-    seeds = _keys_of(spells, "spell").join(counters.filter("size(times) > 0"), ["kind", "key"])
-    none = F.lit(None)
-    seed_rows = seeds.select(
-        "spell", none.cast("long").alias("id"), none.cast("string").alias("user_key"), none.cast("string").alias("ip_key"),
-        none.cast("long").alias("at_s"), none.cast("boolean").alias("success"), "kind", "key", "times")
-    rows = spells.select("spell", "id", "user_key", "ip_key", "at_s", "success", none.cast("string").alias("kind"),
-                         none.cast("string").alias("key"), none.cast("array<long>").alias("times"))
-    ordered = rows.unionByName(seed_rows).repartition("spell").sortWithinPartitions("spell", F.asc_nulls_first("at_s"), "id")
-    return ordered.mapInPandas(_replay, REPLAYED)
+    units = settled(activity.sign_in_groups(due).withColumnRenamed("spell", "unit"), "spells-due")
+    seeds = activity.counter_keys(units, "unit").join(counters.filter("size(times) > 0"), ["kind", "key"])
+    return activity.replayed(units, seeds)
 
 
 def lockout(attempts: DataFrame, delay_s: int = 3600, finish: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +56,7 @@ def lockout(attempts: DataFrame, delay_s: int = 3600, finish: bool = True) -> tu
         alive = F.lit(True) if ready is None else F.element_at("times", -1) > ready - S.LOCK_WINDOW_SECONDS
         state = KeyedState(spark, f"{base}/counters", "kind string, key string, times array<long>", ["kind", "key"],
                            keep=(F.size("times") > 0) & alive)
-        replayed = settled(judged(due_rows, state.in_force(number, _keys_of(due_rows))), "replayed")
+        replayed = settled(judged(due_rows, state.in_force(number, activity.counter_keys(due_rows))), "replayed")
         verdicts = replayed.filter("kind is null").select("id", "user_key", "ip_key", "at_s", "success", "blocked")
         verdicts.write.mode("overwrite").parquet(f"{base}/judged/batch={number}")
         # A key of two spells of a batch: the later one leaves its counter.

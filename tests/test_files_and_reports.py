@@ -65,6 +65,17 @@ def test_gate_opens_real_files(spark, tmp_path):
     assert {r.payload_chars for r in files.filter("path like '%a.png'").collect()} == {4 * -(-len(FILES["a.png"][0]) // 3)}
 
 
+def test_form_by_name_or_the_standard_one(spark, tmp_path):
+    (tmp_path / "forms.json").write_text(json.dumps({
+        "own": {"fields": ["A"], "signature_date_y": [0.1, 0.2]}, "bad": {"fields": [], "signature_date_y": [0.1]},
+        intake.STANDARD_TEMPLATE: {"signature_date_y": [0.5, "x"]}}, ensure_ascii=False))
+    forms = intake.read_templates(spark, str(tmp_path))
+    fields_of = lambda name: {(r.template, r.field) for r in intake.template_or_standard(forms, name).collect()}
+    assert fields_of("own") == {("own", "A")} and len(fields_of("none")) == 10 and {t for t, _ in fields_of("none")} == {intake.STANDARD_TEMPLATE}
+    bands = {r.template: (r.y1, r.y2) for r in intake.signature_bands(spark, str(tmp_path)).collect()}
+    assert bands == {"own": (0.1, 0.2), "bad": (None, None), intake.STANDARD_TEMPLATE: intake.SIGNATURE_DATE_Y}
+
+
 def test_audit_gives_every_outcome(spark):
     routing = spark.createDataFrame([
         (1, "a", ""), (1, "b", ""), (1, "c", "field_not_selected"), (2, "a", ""), (2, "b", "region_not_found"), (2, "c", "field_not_selected"),

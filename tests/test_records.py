@@ -231,3 +231,22 @@ def test_lockout_of_users_and_addresses(spark):
     got = {r.id: r.blocked for r in activity.exact_lockout(spark.createDataFrame(rows, LOGINS)).collect()}
     assert got == want and 50 < sum(want.values()) < 650
     assert activity.sign_in_groups(activity.sign_in_keys(spark.createDataFrame(rows, LOGINS))).select("spell").distinct().count() > 3
+
+
+def test_one_address_that_is_never_idle_makes_many_tasks(spark):
+    """Attempts of a month of two addresses that share users, cut into stretches; the rule one by one."""
+    rng = random.Random(12)
+    rows, at = [], 0
+    for i in range(6000):
+        at += rng.choice([1, 5, 30, 60, 120, 240])
+        rows.append((i, f"u{rng.randrange(12)}", "1" if rng.random() < 0.9 else "2", rng.random() < 0.04, at))
+    rule = activity.SignInRule()
+    want = {i: rule.attempt(user, ip, t, ok) for i, user, ip, ok, t in rows}
+    logins = spark.createDataFrame(rows, LOGINS)
+    spells = activity.sign_in_groups(activity.sign_in_keys(logins))
+    largest = spells.groupBy("spell").count().agg({"count": "max"}).first()[0]
+    assert largest > 4000 and at // activity.STRETCH_SECONDS > 100
+    got = activity.exact_lockout(logins, spell_rows=1000).collect()
+    assert len(got) == len(rows) and {r.id: r.blocked for r in got} == want and 100 < sum(want.values())
+    got = activity.exact_lockout(logins, spell_rows=0, seconds=1000).collect()
+    assert {r.id: r.blocked for r in got} == want
