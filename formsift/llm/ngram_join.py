@@ -180,7 +180,9 @@ def set_table(docs: DataFrame, threshold: Threshold) -> DataFrame:
                 ], ["doc_id", "n_shingles", "key", "firsts"])
 
     schema = "doc_id long, n_shingles long, key binary, firsts array<long>"
-    return settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema), "sets")
+    built = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema), "sets")
+    shared.destroy()
+    return built
 
 
 def bit_filter(wanted: DataFrame) -> np.ndarray:
@@ -223,7 +225,9 @@ def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     built = texts.select("id", "text", place_of("id").alias("p")).mapInArrow(build, "id long, p long, n long, bits binary, elements binary")
-    return settled(built.filter("n > 0"), "needed-sets")
+    built = settled(built.filter("n > 0"), "needed-sets")
+    shared.destroy()
+    return built
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
@@ -264,7 +268,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFra
             yield batch.select(["id", "elements"]).filter(pa.array(has_bit(table.value, batch.column("p").to_numpy())))
 
     picked = sets.select("id", "elements", "p").mapInArrow(pick, "id long, elements binary")
-    return joined(likely, picked, "elements").mapInArrow(by_elements, "a long, b long").distinct()
+    links = settled(joined(likely, picked, "elements").mapInArrow(by_elements, "a long, b long").distinct(), "links")
+    table.destroy()
+    return links
 
 
 def tiles(table: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
@@ -408,7 +414,7 @@ def similar_components(docs: DataFrame, threshold: Threshold | None = None) -> D
     sets = needed_sets(docs, members.select("id").distinct())
     low = members.groupBy("element", "band").agg(F.min("id").alias("a"))
     first = members.join(low, ["element", "band"]).filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    links = settled(verified(first, sets, threshold), "links")
+    links = verified(first, sets, threshold)
     # A document's rows, should it have several, are one node.
     same = classes.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     step = 0
@@ -425,14 +431,14 @@ def similar_components(docs: DataFrame, threshold: Threshold | None = None) -> D
         else:
             step = max(step, 1)
             pairs = block_pairs(block_rows(members, sets), threshold, best=step < 2)
-        more = settled(verified(pairs, sets, threshold), "links")
+        more = verified(pairs, sets, threshold)
         found = not more.isEmpty()
         if step == 2:
             if found:
                 labels = components(links.unionByName(more).unionByName(same), "labels")
             break
         step += not found
-        links = links.unionByName(more)
+        links = settled(links.unionByName(more), "links")
     named = labels.select(F.col("node").alias("doc_id"), "component")
     out = table.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

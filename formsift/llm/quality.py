@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formsift.llm.common import WORD, settled
+from formsift.operators.stages import computed
 
 #: Stop words of the corpus' languages, as a sign of running prose.
 STOP_WORDS = ("a", "and", "are", "as", "avec", "de", "der", "des", "die", "el", "en", "est", "et", "for", "in", "ist", "la", "le", "les", "los", "mit", "of", "que", "the", "to", "und", "von", "with", "y", "zu")
@@ -167,6 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bo
     """
     model = fit_rules(sample_labels(docs, labels, bound))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "stats")]
-    scored = with_statistics(docs.select(*kept)).withColumn("score", model.score())
+    # Staged, so that what reads the score does not carry all rules along.
+    scored = computed(with_statistics(docs.select(*kept)), {"score": model.score()})
     return scored.select(*kept, held_out(F.col("doc_id")).alias("held_out"), "score",
                          F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
