@@ -340,6 +340,6 @@ def ranked(counts: DataFrame, top: int) -> DataFrame:
     kept = lowest.join(longer, ["lang", "phrase"], "left").filter("around is null or 100 * around < 50 * a")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn(
-        "rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+        "rank", F.row_number().over(order)).filter(F.col("rank") <= top)  # each task hands on so many of a language
     sizes = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
-    return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
