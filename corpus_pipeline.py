@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formsift.llm import line_dedup, mixing, ngram_join, packing, quality
@@ -14,16 +14,28 @@ from formsift.llm.common import settled, table, word_count
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns, and the rest of the row aside (all of it but the text, if that is among them), so
+    that no column of a stage can take another's place."""
+    return docs.select(*columns, F.struct(*[c for c in docs.columns if c != "text" or c not in columns]).alias("_row"))
+
+
+def _row_again(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``_row``, but for the ``new`` ones."""
+    return [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept; learned from ``labels`` and the stage's texts."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return quality.score_quality(docs, labels).filter("predicted = 1").select(*docs.columns)
+    return quality.score_quality(_with_row(docs, "doc_id", "text"), labels).filter("predicted = 1").select(
+        *_row_again(docs, text=F.col("text")))
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that spread over many sources."""
-    cleaned = line_dedup.drop_boilerplate(docs).select(*docs.columns)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    cleaned = line_dedup.drop_boilerplate(_with_row(docs, "doc_id", "text", "source"))
+    return cleaned.select(*_row_again(docs, text=F.col("text"), n_chars=F.length("text").cast("long")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +47,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each time; one that is in service when the
-    budget ends is taken if at least half of its words are."""
+    budget ends is taken if at least half of its words are. Rows that the mix cannot tell apart, with
+    one identifier, source and size, share in turn what it takes of them."""
     mix = mixing.in_order(mixing.mixture(docs))
-    keys = ["doc_id", "source", "size"]
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    taken = mix.groupBy(*keys).agg(F.count_if(F.col("taken") * 2 >= F.col("size")).alias("times"))
-    # Rows that agree in all keys share what is taken of them.
-    alike = rows.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    same = lambda d: d.withColumn("_key", F.struct(*keys))
-    times = same(taken).drop(*keys).join(same(alike).drop(*keys), "_key").select(
-        "_key", F.ceil(F.col("times") / F.col("rows")).cast("int").alias("times"))
-    repeated = same(rows).join(times.filter("times > 0"), "_key").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*docs.columns)
+    key = lambda size: F.struct("doc_id", "source", size.alias("size")).alias("_key")
+    taken = mix.groupBy(key(F.col("size"))).agg(F.count_if(F.col("taken") * 2 >= F.col("size")).alias("_times")).filter("_times > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key(word_count(F.col("text"))))
+    alike = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    met = rows.join(taken, "_key").join(alike, "_key", "left")
+    among = F.coalesce("_rows", F.lit(1))
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_row.text"))
+    times = met.withColumn("_turns", (F.floor(F.col("_times") / among) + F.when(turn <= F.col("_times") % among, 1).otherwise(0)).cast("int"))
+    repeated = times.filter("_turns > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_turns"))).alias("_turn"))
+    return repeated.select("_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
