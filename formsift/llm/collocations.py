@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from formsift.llm.common import LOWER, UPPER, settled
 
 #: A shard is closed at the first end of a piece after this many words.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Bytes of text that are split into words at once, and rows of a result batch.
 SPLIT_BYTES, BATCH_ROWS = 1 << 20, 1 << 16
 #: Fixed values of the operator's contract: separators of pieces and of words.
@@ -227,6 +227,12 @@ def build_indexes(docs: DataFrame, shard_words: int) -> DataFrame:
     return texts.mapInArrow(build, INDEX)
 
 
+def single_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: each holds a whole shard, and a batch all of a task's."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def index_of(row: dict) -> tuple[PhraseIndex, pa.Array]:
     """A shard's index, and its words by identifier (the separator has none)."""
     words = pa.array([None, *row["vocabulary"].split(b"\n")] if row["words"] else [None], pa.binary())
@@ -249,7 +255,7 @@ def short_phrases(indexes: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in single_rows(batch):
                 index, words = index_of(row)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["lang"] + "\n"]), pa.array([row["shard"]], pa.int64()), pa.array([row["words"]], pa.int64())], names)
@@ -271,7 +277,7 @@ def long_phrases(indexes: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in single_rows(batch):
                 index, words = index_of(row)
                 number = {w: i for i, w in enumerate(words.to_pylist())}
                 symbols = np.int64(len(words))
