@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/formsift/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here free their shuffle files at once, not when the driver collects
+    garbage. A query that needs them again, such as after a lost executor, repeats its stages."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several branches read to the shared folder, and read it back.
 
@@ -61,5 +76,6 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     work above them.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
