@@ -111,15 +111,17 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
     return settled(runs.filter("n > 1").select("anchor"), "anchors")
 
 
-OCCURRENCE = "anchor long, place int, mark binary, size int, doc_id long, start long, spot int, context binary"
+OCCURRENCE = "anchor long, mark binary, size int, doc_id long, start long"
 
 
-def occurrences(texts: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """The contexts of runs whose anchor occurs again: all bytes of the run's strings.
+def mark_of(context: bytes) -> bytes:
+    """What equal contexts of an anchor are found by, so that their bytes need not move."""
+    return hashlib.blake2b(context, digest_size=12).digest()
 
-    ``mark`` is the context's hash, by which equal ones are found without moving their bytes;
-    ``spot`` is the place of (document, start) in a filter of a fixed size.
-    """
+
+def occurrences(texts: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+    """The contexts of runs whose anchor occurs again: hash, size and place of all bytes of the
+    run's strings. The bytes themselves stay in the texts."""
     bits = anchors.select(F.col("anchor").bitwiseAND(FILTER_BITS - 1).alias("p"))
     table = texts.sparkSession.sparkContext.broadcast(bit_filter(bits))
     names = [c.split()[0] for c in OCCURRENCE.split(", ")]
@@ -129,41 +131,59 @@ def occurrences(texts: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
             for parts in segments(list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())), length):
                 found = anchored_runs(parts, length)
                 hit = has_bit(table.value, (found[0] & np.uint64(FILTER_BITS - 1)).astype(np.int64))
-                anchor, part, first, stop, place = (x[hit] for x in found)
+                anchor, part, first, stop, _ = (x[hit] for x in found)
                 data = b"".join(x[2] for x in parts)
                 base = np.cumsum([0] + [len(x[2]) for x in parts])
-                docs = np.array([x[0] for x in parts], np.int64)[part]
                 start = first - base[part] + np.array([x[1] for x in parts], np.int64)[part]
-                contexts = [data[a:b + length - 1] for a, b in zip(first.tolist(), stop.tolist())]
-                spot = mix(docs.view(np.uint64) * Tables.upto(2)[0][1] + start.view(np.uint64)) & np.uint64(FILTER_BITS - 1)
+                marks = [mark_of(data[a:b + length - 1]) for a, b in zip(first.tolist(), stop.tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64)), pa.array((place - first).astype(np.int32)),
-                    pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in contexts], pa.binary()),
-                    pa.array((stop - first + length - 1).astype(np.int32)), pa.array(docs), pa.array(start),
-                    pa.array(spot.astype(np.int32)), pa.array(contexts, pa.binary()),
+                    pa.array(anchor.view(np.int64)), pa.array(marks, pa.binary()), pa.array((stop - first + length - 1).astype(np.int32)),
+                    pa.array(np.array([x[0] for x in parts], np.int64)[part]), pa.array(start),
                 ], names)
 
-    return texts.mapInArrow(emit, OCCURRENCE)
+    found = settled(texts.mapInArrow(emit, OCCURRENCE), "occurrences")
+    table.destroy()
+    return found
 
 
 def first_of_equals(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct contexts with their first place, and ``doc_id, start, end`` of all the others."""
-    keys = ["anchor", "place", "mark"]
+    keys = ["anchor", "mark"]
     distinct = settled(found.groupBy(*keys).agg(
-        F.min(F.struct("doc_id", "start", "spot")).alias("first"), F.count(F.lit(1)).alias("n")), "contexts")
+        F.min(F.struct("doc_id", "start")).alias("first"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")), "contexts")
     again = distinct.filter("n > 1").select(*keys, "first")
-    rows = found.select(*keys, "size", "doc_id", "start")
-    here = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
-    others = rows.join(again, keys).filter(F.struct("doc_id", "start") != here)
+    others = found.join(again, keys).filter(F.struct("doc_id", "start") != F.col("first"))
     return distinct, others.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
+def with_bytes(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """``chosen`` (anchor, mark, size, doc_id, start) with ``context``, cut from the texts.
+
+    Where several rows share an identifier, those whose bytes have the mark give the context.
+    """
+    places = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "mark", "size", "start")).alias("places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, here in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                rows = [(x, raw[x["start"]:x["start"] + x["size"]]) for x in here]
+                rows = [(x, context) for x, context in rows if mark_of(context) == x["mark"]]
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.array([x[c] for x, _ in rows], t) for c, t in (("anchor", pa.int64()), ("mark", pa.binary()), ("size", pa.int32()))),
+                    pa.array([doc_id] * len(rows), pa.int64()), pa.array([x["start"] for x, _ in rows], pa.int64()),
+                    pa.array([context for _, context in rows], pa.binary()),
+                ], ["anchor", "mark", "size", "doc_id", "start", "context"])
+
+    return texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, OCCURRENCE + ", context binary")
+
+
 def single_strings(found: DataFrame, length: int) -> DataFrame:
     """Contexts cut into one occurrence for each of their strings."""
     cut = found.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - length)).alias("at"))
     string = F.substring("context", F.col("at") + 1, F.lit(length))
-    return cut.select("anchor", (F.col("place") - F.col("at")).alias("place"), F.unhex(F.md5(string)).alias("mark"),
-                      F.lit(length).alias("size"), "doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(0).alias("spot"))
+    return cut.select("anchor", F.unhex(F.md5(string)).alias("mark"), F.lit(length).alias("size"), "doc_id",
+                      (F.col("start") + F.col("at")).alias("start"))
 
 
 class Block:
@@ -216,24 +236,10 @@ class Block:
         return [tuple(s) for s in spans]
 
 
-def by_suffix_array(found: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
-    """``doc_id, start, end`` of strings that start earlier in another context of their anchor.
-
-    Only the first of equal contexts is looked at, and only of anchors with several. The filter
-    spares most of the others the join that leaves out the rest.
-    """
-    keys = ["anchor", "place", "mark", "doc_id", "start"]
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter(
-        (F.col("many") > 1) & (F.col("many") <= MOST_CONTEXTS))
-    chosen = settled(distinct.join(several, "anchor", "left_semi").select("anchor", "place", "mark", "first.*"), "chosen")
-    table = found.sparkSession.sparkContext.broadcast(bit_filter(chosen.select(F.col("spot").alias("p"))))
+def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
+    """``doc_id, start, end`` of strings that start earlier in another of some contexts of their anchor."""
     names = ["doc_id", "start", "end"]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = has_bit(table.value, batch.column("spot").to_numpy())
-            yield batch.select([*keys, "context"]).filter(pa.array(hit))
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, group, current, last = Block(length), [], None, None
 
@@ -257,9 +263,7 @@ def by_suffix_array(found: DataFrame, distinct: DataFrame, length: int) -> DataF
         if block.contexts:
             yield handed(block.repeats())
 
-    rows = found.select(*keys, "context", "spot").mapInArrow(
-        pick, "anchor long, place int, mark binary, doc_id long, start long, context binary")
-    rows = rows.join(chosen.select(keys), keys, "left_semi").select("anchor", "mark", "context", "doc_id", "start")
+    rows = contexts.select("anchor", "mark", "context", "doc_id", "start")
     return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start", "mark").mapInArrow(judge, "doc_id long, start long, end long")
 
 
@@ -283,14 +287,16 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(
         F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     anchors = repeated_anchors(texts, length)
-    found = settled(occurrences(texts, anchors, length), "occurrences")
-    distinct, others = first_of_equals(found)
-    partly = by_suffix_array(found, distinct, length)
-    crowded = distinct.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor")
-    ours = distinct.join(crowded, "anchor", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
-    strings = single_strings(found.join(crowded, "anchor", "left_semi").join(ours, ["doc_id", "start"], "left_semi"), length)
-    _, alone = first_of_equals(strings)
-    spans = others.unionByName(partly).unionByName(alone)
+    found = occurrences(texts, anchors, length)
+    distinct, spans = first_of_equals(found)
+    # Only the first of equal contexts is looked at, and only of anchors with several.
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    chosen = settled(distinct.join(several, "anchor").select("anchor", "mark", "size", "first.*", "many"), "chosen")
+    crowded = F.col("many") > MOST_CONTEXTS
+    spans = spans.unionByName(by_suffix_array(with_bytes(chosen.filter(~crowded), texts), length))
+    if not chosen.filter(crowded).isEmpty():
+        _, alone = first_of_equals(single_strings(with_bytes(chosen.filter(crowded), texts), length))
+        spans = spans.unionByName(alone)
     return settled(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
