@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from formsift.llm.common import settled
 from formsift.llm.components import components
 from formsift.llm.shingles import gathered, shingle_sets
+from formsift.session import shuffles_freed
 
 #: Shingles whose frequency is known, at most; bounds what is broadcast.
 MOST_FREQUENT = 100_000
@@ -405,7 +406,12 @@ def similar_components(docs: DataFrame, threshold: Threshold | None = None) -> D
     empty one. No link is lost: groups, tiles and bitmaps only spare comparisons that cannot
     succeed or would join what is joined already.
     """
-    threshold = threshold or Threshold()
+    with shuffles_freed(docs.sparkSession):
+        return linked(docs, threshold or Threshold())
+
+
+def linked(docs: DataFrame, threshold: Threshold) -> DataFrame:
+    """The rows of ``similar_components``, whose rounds run while this is built."""
     table = set_table(docs, threshold)
     sized = table.filter("doc_id is not null and n_shingles > 0")
     by_key = sized.groupBy("key").agg(F.min("doc_id").alias("id"))
