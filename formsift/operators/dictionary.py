@@ -161,10 +161,11 @@ def nearest_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
 
     Candidates come from an equi-join on rare letters and length; the letter overlap is checked
     in the JVM, and only distinct surviving pairs reach the similarity function. Equal scores go
-    to the smallest entry.
+    to the smallest entry. Distinct words and entries are written first: the letters are counted
+    and joined from them, and no condition on a word's keys is moved below their distinct to the rows.
     """
-    words = keys.filter("norm <> ''")
-    known = entries.select("category", F.col("value").alias("to"), text.dict_norm(F.col("value")).alias("norm")).filter("norm <> ''")
+    words = settled(keys.filter("norm <> ''"), "dictionary-words")
+    known = settled(entries, "dictionary-known").select("category", F.col("value").alias("to"), text.dict_norm(F.col("value")).alias("norm")).filter("norm <> ''")
     pairs = candidate_pairs(words, known)
     shared = F.size(F.array_intersect("letters", "known_letters"))
     bound = 2 * shared / (F.size("letters") + F.size("known_letters"))

@@ -106,6 +106,16 @@ def test_nearest_entries_lose_no_match(spark):
         assert got == expected and expected
 
 
+def test_the_letter_keys_never_meet_the_rows(spark, tmp_path):
+    """The search starts from the distinct words, so that its conditions cannot run once a row."""
+    rows = spark.createDataFrame([("surnames", "бодров")] * 3, "category string, norm string")
+    rows.write.parquet(f"{tmp_path}/rows")
+    entries = spark.createDataFrame([("surnames", "Бобров")], "category string, value string")
+    found = dictionary.nearest_entries(spark.read.parquet(f"{tmp_path}/rows").distinct(), entries)
+    assert [(r.norm, r.to) for r in found.collect()] == [("бодров", "Бобров")]
+    assert found.inputFiles() and not any(str(tmp_path / "rows") in name for name in found.inputFiles())
+
+
 @pytest.mark.parametrize("category, most", [("surnames", 0.12), ("cities", 0.05)])
 def test_few_pairs_become_candidates(spark, category, most):
     """Distinct words of real texts: the share of all pairs that the letter keys let through."""
