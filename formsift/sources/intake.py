@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formsift import schema as S
 from formsift.functions import headers, text
@@ -76,16 +77,24 @@ def intake_gate(df: DataFrame) -> DataFrame:
     return df.withColumns({"kind": F.when(image, "image").when(ext == "pdf", "pdf"), "reject_reason": reason})
 
 
-def read_labels(spark: SparkSession, folder: str, case_pattern: str = r"([^/]+)\.json$") -> DataFrame:
-    """``case_id, field, reference, error`` from one JSON object per file.
+def read_labels(
+    spark: SparkSession, folder: str, case_pattern: str = r"([^/]+)\.json$", per_line: bool = False
+) -> DataFrame:
+    """``case_id, field, reference, error`` from one JSON object per file or, with ``per_line``, per line.
 
-    A file whose ``fields`` is not an object gives one error row and stops no other case.
+    A file is named after its case; an object on a line has its ``case_id`` beside ``fields``, so that
+    many cases share a file. A case whose ``fields`` is not an object gives one error row and stops no
+    other case; a line that is no JSON object at all gives one without a case.
     """
-    files = (
-        spark.read.schema(S.LABEL_FILE).option("multiLine", True).option("recursiveFileLookup", True)
-        .json(folder)
-        .select(F.regexp_extract(F.input_file_name(), case_pattern, 1).alias("case_id"), "fields", "_corrupt_record")
-    )
+    if per_line:
+        lines = spark.read.schema(T.StructType([T.StructField("case_id", T.StringType()), *S.LABEL_FILE])).json(folder)
+        files = lines.select("case_id", "fields", "_corrupt_record")
+    else:
+        files = (
+            spark.read.schema(S.LABEL_FILE).option("multiLine", True).option("recursiveFileLookup", True)
+            .json(folder)
+            .select(F.regexp_extract(F.input_file_name(), case_pattern, 1).alias("case_id"), "fields", "_corrupt_record")
+        )
     broken = F.col("_corrupt_record").isNotNull()
     rows = files.select("case_id", "fields", broken.alias("broken"), F.explode_outer("fields").alias("field", "reference"))
     return rows.select(

@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from formsift.operators import quality, reconcile, report
+from formsift.plans import catalog
 from formsift.sources import intake
+from tests.conftest import SF_DIR
 
 
 def jpeg(width, height, *segments):
@@ -126,3 +128,27 @@ def test_report_of_an_empty_table(spark):
     empty = spark.createDataFrame([], EVAL)
     tables = report.report_tables(quality.score_fields(empty), quality.aligned_digits(empty))
     assert tables["cases"].count() == tables["skips"].count() == 0 and tables["matrix"].agg(F.sum("pred_1")).first()[0] == 0
+
+
+def test_labels_of_a_file_per_case_and_of_many_cases_a_file(spark, tmp_path):
+    """Both layouts give the same rows; a damaged case stops no other."""
+    cases = {"1": {"quality": "0", "toxic": "1"}, "2": "none", "3": {"quality": "1"}}
+    (tmp_path / "files").mkdir()
+    for case, given in cases.items():
+        (tmp_path / "files" / f"{case}.json").write_text(json.dumps({"fields": given}, indent=1))
+    lines = [json.dumps({"case_id": case, "fields": given}) for case, given in cases.items()]
+    (tmp_path / "lines.json").write_text("\n".join(lines) + "\n")
+    expected = [("1", "quality", "0", None), ("1", "toxic", "1", None),
+                ("2", None, None, "fields is not an object"), ("3", "quality", "1", None)]
+    by_file = intake.read_labels(spark, str(tmp_path / "files"))
+    by_line = intake.read_labels(spark, str(tmp_path / "lines.json"), per_line=True)
+    for rows in (by_file, by_line):
+        assert sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1] or "")) == expected
+    (tmp_path / "lines.json").write_text("{no json\n" + lines[0])
+    found = intake.read_labels(spark, str(tmp_path / "lines.json"), per_line=True).collect()
+    assert sorted(map(tuple, found), key=lambda r: r[0] or "") == [(None, None, None, "fields is not an object"), *expected[:2]]
+
+
+def test_label_scan_writes_no_file_per_case(spark):
+    scanned = catalog.QUERIES["a1_label_scan"](spark, SF_DIR)
+    assert 0 < len(scanned.inputFiles()) < 10 < spark.read.parquet(f"{SF_DIR}/labels.parquet").count()
