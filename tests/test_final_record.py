@@ -1,11 +1,13 @@
 """The quality queries over the final record use every reading and every page."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from formsift.operators import quality
 from formsift.plans import catalog
 from formsift.plans.flows import final_records
 from formsift.schema import CHILD_FIO, PHONE
+from formsift.sources.fixtures import derived
 from tests.conftest import SF_DIR
 from tests.test_readings import readings
 from tools.check import compare, duck
@@ -36,3 +38,12 @@ def test_other_views_adjudication_and_pages_count(spark):
 def test_query_equals_its_check(spark, name):
     message, _, same = compare(spark, duck(SF_DIR), SF_DIR, name, catalog)
     assert same, message
+
+
+def test_a_small_file_of_many_applicants_makes_even_tasks(spark, tmp_path):
+    """What a task makes of the applicants does not grow with their number, nor with the file's size in bytes."""
+    spark.range(1, 20001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name, rows in (("fx_readings", 300000), ("fx_page_values", 80000)):
+        made = derived(spark, str(tmp_path), name).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert abs(sum(r["count"] for r in made) - rows) < 10, name
+        assert max(r["count"] for r in made) < rows / 3, name
