@@ -55,6 +55,12 @@ def comparison_value(field: Column, value: Column) -> Column:
     )
 
 
+def snils_text_valid(value: Column) -> Column:
+    """``structurally_valid`` of an insurance number's field."""
+    v = strip(value)
+    return (v != "") & ~text.is_unclear(v) & ids.snils_valid(v)
+
+
 def structurally_valid(field: Column, value: Column) -> Column:
     v = strip(value)
     d = text.digits_only(v)

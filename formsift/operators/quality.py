@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formsift.functions import fields, metrics, text
@@ -13,7 +13,23 @@ from formsift.schema import GAP, MATRIX_SYMBOLS
 
 def label_predictions(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     """Every labelled field with its prediction; a missing one is blank and unverified."""
-    joined = labels.join(predictions, ["case_id", "field"], "left")
+    return _filled(labels.join(predictions, ["case_id", "field"], "left"))
+
+
+def label_records(labels: DataFrame, records: DataFrame) -> DataFrame:
+    """``label_predictions`` for records, which have one row per (case_id, field).
+
+    Labels and records are put one below the other and meet within a field. Where both are dealt by
+    case alike, nothing is shuffled or broadcast.
+    """
+    names = [name for name in records.columns if name not in ("case_id", "field")]
+    answers = records.select("case_id", "field", F.struct(*names).alias("_answer"))
+    both = labels.withColumn("_label", F.lit(True)).unionByName(answers, allowMissingColumns=True)
+    met = both.withColumn("_answer", F.max("_answer").over(Window.partitionBy("case_id", "field"))).filter("_label")
+    return _filled(met.select(*labels.columns, "_answer.*"))
+
+
+def _filled(joined: DataFrame) -> DataFrame:
     return joined.withColumns({
         "predicted": text.blank_to_empty(F.col("predicted")),
         "status": text.blank_to_empty(F.col("status")),
@@ -107,7 +123,9 @@ def aligned_digits(eval_fields: DataFrame) -> DataFrame:
             (i + 1).alias("position"),
         ),
     )
-    plain = marked.filter("straight AND ref <> ''").select("field", "n", F.inline(by_position))
+    # Both branches filter above the stage only, so that they share the exchange of the pairs.
+    shown = F.when(F.col("ref") != "", by_position)
+    plain = marked.filter("straight").select("field", "n", F.inline(shown))
     return plain.unionByName(alignments(marked.filter("NOT straight")))
 
 

@@ -25,18 +25,19 @@ def ballots(readings: DataFrame) -> DataFrame:
     usable = fields.candidate_value(F.col("value"), F.col("status"), F.col("error"))
     shown = F.when(F.col("kind") == "page", text.strip(F.col("value"))).otherwise(usable)
     failed = text.blank_to_empty(F.col("error")) != ""
+    # Staged, so that each step is a method small enough for the JVM to compile.
+    staged = computed(readings.select("doc_id", "field", "kind", "view_no", "value", "status", "error"), {
+        "text": shown, "failed": failed}).drop("value", "status", "error")
+    staged = computed(staged, {"cmp": fields.comparison_value(field, F.col("text"))})
+    staged = computed(staged, {"votable": (F.col("text") == "") | fields.votable_shape(field, F.col("text"))})
     return (
-        readings.select("doc_id", "field", "kind", "view_no", shown.alias("text"), failed.alias("failed"))
-        .withColumn("cmp", fields.comparison_value(field, F.col("text")))
-        .groupBy("doc_id", "field", "kind", "cmp")
+        staged.groupBy("doc_id", "field", "kind", "cmp")
         .agg(
             F.count("*").alias("attempted"),
             F.count_if(~F.col("failed")).alias("completed"),
             F.count_if(F.col("text") != "").alias("n"),
             F.min(F.when(F.col("text") != "", F.struct("view_no", "text"))).alias("first"),
-            F.bool_and(
-                (F.col("text") == "") | fields.votable_shape(field, F.col("text"))
-            ).alias("votable"),
+            F.bool_and("votable").alias("votable"),
         )
     )
 
@@ -46,9 +47,10 @@ def tally(readings: DataFrame) -> DataFrame:
 
     ``page`` page text; ``options`` distinct usable views in first-seen order with their vote
     counts; ``usable`` number of usable views; ``votable`` all of them can vote by digit;
-    ``second`` the adjudication text; ``attempted``/``completed`` reads of views.
+    ``second`` the adjudication text; ``attempted``/``completed`` reads of views, ``checks``/``checks_done``
+    those of views and adjudications (null without any).
     """
-    view = F.col("kind") == "view"
+    view, check = F.col("kind") == "view", F.col("kind") != "page"
     option = F.struct(
         F.col("first.view_no").alias("view_no"), F.col("cmp"), F.col("n"), F.col("first.text").alias("text")
     )
@@ -60,6 +62,8 @@ def tally(readings: DataFrame) -> DataFrame:
         F.coalesce(F.bool_and(F.when(view, F.col("votable"))), F.lit(False)).alias("votable"),
         F.coalesce(F.sum(F.when(view, F.col("attempted"))), F.lit(0)).alias("attempted"),
         F.coalesce(F.sum(F.when(view, F.col("completed"))), F.lit(0)).alias("completed"),
+        F.sum(F.when(check, F.col("attempted"))).alias("checks"),
+        F.sum(F.when(check, F.col("completed"))).alias("checks_done"),
     )
     page = text.blank_to_empty(F.col("page"))
     return computed(grouped, {
@@ -113,14 +117,16 @@ def with_digit_vote(tallied: DataFrame) -> DataFrame:
             F.when(F.size(unresolved) == 0, shown(joined)).alias("digits"),
         )
 
-    # Views that all agree, the usual case, need no count per position.
+    # An answer of more than half of the views, the usual case, leads at every position: no count is needed.
     agreed = F.struct(
-        F.array().cast("array<int>").alias("unresolved"), shown(options[0]["cmp"]).alias("digits")
+        F.array().cast("array<int>").alias("unresolved"), shown(F.col("lead.cmp")).alias("digits")
     )
-    raw = F.when(eligible & (F.size(options) == 1), agreed).when(
-        eligible, let(_positions(options), outcome)
-    )
-    voted = computed(tallied, {"raw_vote": raw})
+    raw = F.when(F.col("eligible"), F.when(
+        (F.col("lead.n") >= 2) & (2 * F.col("lead.n") > F.col("usable")), agreed
+    ).otherwise(let(_positions(options), outcome)))
+    lead = F.array_max(F.transform(options, lambda o: F.struct(o["n"].alias("n"), o["cmp"].alias("cmp"))))
+    staged = computed(tallied, {"eligible": eligible, "lead": lead})
+    voted = computed(staged, {"raw_vote": raw}).drop("eligible", "lead")
     return computed(voted, {
         "unresolved": F.col("raw_vote.unresolved"),
         "consensus": text.blank_to_empty(fields.auto_format(field, F.col("raw_vote.digits"))),
@@ -138,13 +144,13 @@ def majority(options: Column, usable: Column) -> Column:
 
 def checksum_winner(page: Column, page_valid: Column, page_cmp: Column, options: Column, field: Column) -> Column:
     """The only distinct value, page included, whose checksum holds; else null."""
-    good = F.filter(options, lambda o: fields.structurally_valid(field, o["text"]))
+    good = F.filter(options, lambda o: fields.snils_text_valid(o["text"]))
     others = F.filter(good, lambda o: o["cmp"] != page_cmp)
     n = F.size(others) + F.when(page_valid, 1).otherwise(F.when(F.size(good) > F.size(others), 1).otherwise(0))
     # For one key the view's text wins over the page's.
     return F.when(
-        F.contains(F.lower(field), F.lit("снилс")) & (n == 1),
-        F.coalesce(F.try_element_at(good, F.lit(1))["text"], page),
+        F.contains(F.lower(field), F.lit("снилс")),
+        F.when(n == 1, F.coalesce(F.try_element_at(good, F.lit(1))["text"], page)),
     )
 
 
@@ -161,7 +167,7 @@ def multi_view(readings: DataFrame) -> DataFrame:
     voted = computed(voted, {
         "winner_cmp": fields.comparison_value(field, F.col("winner")),
         "winner_valid": fields.structurally_valid(field, F.col("winner")),
-        "consensus_cmp": fields.comparison_value(field, F.col("consensus")),
+        "consensus_cmp": F.when(F.col("consensus") != "", fields.comparison_value(field, F.col("consensus"))),
         "others": F.filter(options, lambda o: o["cmp"] != F.col("page_cmp")),
     })
     has_winner, valid = F.col("winner") != "", F.col("winner_valid")
@@ -245,10 +251,17 @@ def verification_audit(readings: DataFrame) -> DataFrame:
     counted = readings.filter("kind <> 'page'").groupBy("doc_id", "field").agg(
         F.count("*").alias("attempted"), F.count_if(~failed).alias("completed")
     )
-    full = F.col("attempted") == F.col("completed")
+    status, reason = audit_outcome(F.col("attempted"), F.col("completed"))
     return counted.select(
-        "doc_id", "field", F.when(full, "completed").otherwise("partial").alias("status"),
-        F.when(full, "").otherwise("recognition_error").alias("reason"), "attempted", "completed",
+        "doc_id", "field", status.alias("status"), reason.alias("reason"), "attempted", "completed")
+
+
+def audit_outcome(attempted: Column, completed: Column) -> tuple[Column, Column]:
+    """Status and reason of a field's verification reads; null without any."""
+    full = attempted == completed
+    return (
+        F.when(full, "completed").when(~full, "partial"),
+        F.when(full, "").when(~full, "recognition_error"),
     )
 
 

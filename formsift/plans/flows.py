@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formsift import schema as S
@@ -22,15 +22,25 @@ def surname_hints(records: DataFrame) -> DataFrame:
     return pair.select("doc_id", F.lit(S.PARENT_FIO).alias("field"), hint.alias("hint")).filter("hint IS NOT NULL")
 
 
+def _with_hints(records: DataFrame) -> DataFrame:
+    """Records with ``hint`` of ``surname_hints``, null where there is none."""
+    def name_in(field: str) -> Column:
+        return F.max(F.when(F.col("field") == field, F.col("value"))).over(Window.partitionBy("doc_id"))
+
+    named = records.withColumns({"_child": name_in(S.CHILD_FIO), "_parent": name_in(S.PARENT_FIO)})
+    hint = F.when(
+        (F.col("field") == S.PARENT_FIO) & F.col("doc_id").isNotNull(), names.surname_suggestion(F.col("_child"), F.col("_parent")))
+    return named.withColumn("hint", hint).drop("_child", "_parent")
+
+
 def finish_records(records: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """After reconciliation: compare surnames, then format every value.
 
-    ``records``: ``doc_id, field, value, status, verified, alternative``. Pass ``hints`` when
-    they can be read from an earlier table, so that the records are not computed twice. A ``note``
-    column is passed on; a hint puts its own there.
+    ``records``: ``doc_id, field, value, status, verified, alternative``. Without ``hints`` the names
+    are compared within each document, so that the records are computed once; pass ``hints`` of an earlier table to
+    use those. A ``note`` column is passed on; a hint puts its own there. So are columns of an audit.
     """
-    hints = surname_hints(records) if hints is None else hints
-    out = records.join(hints, ["doc_id", "field"], "left")
+    out = _with_hints(records) if hints is None else records.join(hints, ["doc_id", "field"], "left")
     hinted = F.col("hint").isNotNull()
     blank = text.blank_to_empty(F.col("alternative")) == ""
     return out.select(
@@ -39,6 +49,7 @@ def finish_records(records: DataFrame, hints: DataFrame | None = None) -> DataFr
         (F.col("verified") & ~hinted).alias("verified"),
         F.when(hinted & blank, F.col("hint")).otherwise(F.col("alternative")).alias("alternative"),
         *[F.when(hinted, S.NOTE_SURNAMES_DIFFER).otherwise(F.col("note")).alias("note")] * ("note" in records.columns),
+        *[name for name in pages.AUDIT_COLUMNS if name in records.columns],
     )
 
 
@@ -48,18 +59,19 @@ def final_records(readings: DataFrame, page_values: DataFrame) -> DataFrame:
     All readings of a field are reconciled and adjudicated; the result stands for the field on
     page 1. The values of all pages are formatted, merged and finished.
     """
-    decided = settled(reconcile.adjudicate(reconcile.multi_view(readings)).select(
-        "doc_id", "field", "value", "status", "verified"), "reconciled")
-    audits = reconcile.verification_audit(readings).select(
-        "doc_id", "field", F.col("status").alias("audit_status"), F.col("reason").alias("audit_reason"), "attempted", "completed")
-    first_page = decided.join(audits, ["doc_id", "field"], "left").withColumns(
-        {"page_no": F.lit(1), "source": F.lit("readings")})
-    replaced = decided.select("doc_id", "field", F.lit(1).alias("page_no"))
-    others = page_values.join(replaced, ["doc_id", "field", "page_no"], "left_anti").select(first_page.columns)
-    formatted = others.unionByName(first_page).withColumn("value", fields.auto_format(F.col("field"), F.col("value")))
-    merged = settled(pages.merge_pages(formatted), "merged")
-    finished = finish_records(merged.withColumn("alternative", F.lit(""))).drop("alternative")
-    return finished.join(merged.select("doc_id", "field", *pages.AUDIT_COLUMNS), ["doc_id", "field"])
+    decided = reconcile.adjudicate(reconcile.multi_view(readings))
+    status, reason = reconcile.audit_outcome(F.col("checks"), F.col("checks_done"))
+    audit = dict(zip(pages.AUDIT_COLUMNS, (status, reason, F.col("checks"), F.col("checks_done"))))
+    columns = ["doc_id", "field", "page_no", "value", "status", "source", "verified", *pages.AUDIT_COLUMNS]
+    first_page = decided.withColumns({**audit, "page_no": F.lit(1), "source": F.lit("readings")}).select(
+        *columns, F.lit(True).alias("_read"))
+    both = page_values.select(*columns, F.lit(False).alias("_read")).unionByName(first_page)
+    # What was read for a field stands in its place on page 1.
+    was_read = F.max("_read").over(Window.partitionBy("doc_id", "field"))
+    current = both.withColumn("_replaced", was_read).filter("_read OR NOT page_no <=> 1 OR NOT _replaced")
+    formatted = current.withColumn("value", fields.auto_format(F.col("field"), F.col("value"))).select(columns)
+    merged = pages.merge_pages(formatted).withColumn("alternative", F.lit(""))
+    return finish_records(merged.select("doc_id", "field", "value", "status", "verified", "alternative", *pages.AUDIT_COLUMNS)).drop("alternative")
 
 
 def answer_records(answers: DataFrame) -> DataFrame:

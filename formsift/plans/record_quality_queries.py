@@ -55,7 +55,7 @@ def record_eval(spark, sf):
     names = derived(spark, sf, "fx_person").select(
         c("doc_id").alias("case_id"), F.lit(S.CHILD_FIO).alias("field"),
         F.concat_ws(" ", "surname", "first_name", "patronymic").alias("reference"))
-    return quality.label_predictions(known.unionByName(names), _records(spark, sf).withColumnRenamed("value", "predicted"))
+    return quality.label_records(known.unionByName(names), _records(spark, sf).withColumnRenamed("value", "predicted"))
 
 
 def _scored(spark, sf):
@@ -71,7 +71,7 @@ SELECT l.doc_id AS case_id, l.field, l.value AS reference, coalesce(r.value, '')
 FROM fx_fields l LEFT JOIN record r USING (doc_id, field)"""))
 def c8_record_predictions(spark, sf):
     labels = derived(spark, sf, "fx_fields").select(c("doc_id").alias("case_id"), "field", c("value").alias("reference"))
-    return quality.label_predictions(labels, _records(spark, sf).select(
+    return quality.label_records(labels, _records(spark, sf).select(
         "case_id", "field", c("value").alias("predicted"), "status", "verified"))
 
 

@@ -7,6 +7,7 @@ from formsift.operators import quality
 from formsift.plans import catalog
 from formsift.plans.flows import final_records
 from formsift.schema import CHILD_FIO, PHONE
+from formsift.sources import fixtures
 from formsift.sources.fixtures import derived
 from tests.conftest import SF_DIR
 from tests.test_readings import readings
@@ -47,3 +48,35 @@ def test_a_small_file_of_many_applicants_makes_even_tasks(spark, tmp_path):
         made = derived(spark, str(tmp_path), name).groupBy(F.spark_partition_id().alias("task")).count().collect()
         assert abs(sum(r["count"] for r in made) - rows) < 10, name
         assert max(r["count"] for r in made) < rows / 3, name
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_and_labels_meet_within_their_tasks(spark, monkeypatch):
+    """Nothing but the deal of the applicants is shuffled, and no side is broadcast, however few bytes Spark expects."""
+    monkeypatch.setattr(fixtures, "APPLICANTS_PER_TASK", 40)
+    for name in ("c8_record_predictions", "g26_record_cer_wer"):
+        plan = _plan(catalog.QUERIES[name](spark, SF_DIR))
+        assert "Join" not in plan and "BroadcastExchange" not in plan, name
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffles and all("hashpartitioning(c_custkey" in line for line in shuffles), name
+
+
+def test_readings_are_decided_once_for_both_alignments(spark):
+    found = catalog.QUERIES["d9_record_position_errors"](spark, SF_DIR)
+    found.collect()
+    assert "ReusedExchange" in _plan(found)
+
+
+def test_label_records_equals_label_predictions(spark):
+    labels = spark.createDataFrame(
+        [(1, "a", "x"), (1, "b", None), (2, "a", "y"), (1, "a", "z")], "case_id long, field string, reference string")
+    records = spark.createDataFrame(
+        [(1, "a", "x", "read", True), (1, "b", None, None, None), (3, "a", "q", "read", True)],
+        "case_id long, field string, predicted string, status string, verified boolean")
+    expected = quality.label_predictions(labels, records)
+    found = quality.label_records(labels, records)
+    assert found.columns == expected.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
