@@ -21,10 +21,13 @@ def star(links: DataFrame, large: bool) -> DataFrame:
     return tied.filter("a > b").distinct()
 
 
-def flat(links: DataFrame) -> bool:
-    """Whether no node is tied twice, nor tied and tied to."""
-    ties = links.select("a").unionByName(links.select(F.col("b").alias("a")).distinct())
-    return ties.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+def state(links: DataFrame) -> tuple[int, int, int]:
+    """How many links there are, a hash of them all, and how many nodes are tied twice, or tied and tied to."""
+    ties = links.select("a", F.xxhash64("a", "b").cast("decimal(38,0)").alias("h"), F.lit(1).alias("link")).unionByName(
+        links.select(F.col("b").alias("a")).distinct().select("a", F.lit(0).cast("decimal(38,0)").alias("h"), F.lit(0).alias("link")))
+    nodes = ties.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"), F.sum("link").alias("links"))
+    found = nodes.agg(F.sum("links"), F.sum("h"), F.count_if(F.col("n") > 1)).first()
+    return found[0] or 0, found[1] or 0, found[2]
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -33,14 +36,10 @@ def components(links: DataFrame, name: str) -> DataFrame:
     The links after each round are written to the shared folder, which cuts the lineage. A round
     shortens all paths, so that the number of rounds grows with the logarithm of the longest.
     """
-    ends = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     now = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name)
-    seen = ends(now)
-    while seen["n"]:
+    before, seen = None, state(now)
+    # Done when every node is tied once and to nothing that is tied itself, or nothing changed.
+    while seen[2] and seen != before:
         now = settled(star(star(now, True), False), name)
-        before, seen = seen, ends(now)
-        # Done when nothing changed, or, without another round to see it, when every node is tied
-        # once and to nothing that is tied itself.
-        if tuple(before) == tuple(seen) or flat(now):
-            break
+        before, seen = seen, state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

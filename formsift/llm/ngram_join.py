@@ -22,14 +22,19 @@ from pyspark.sql import functions as F
 from formsift.llm.common import settled
 from formsift.llm.components import components
 from formsift.llm.shingles import gathered, shingle_sets
-from formsift.session import shuffles_freed
+from formsift.session import set_for, shuffles_freed
 
 #: Shingles whose frequency is known, at most; bounds what is broadcast.
 MOST_FREQUENT = 100_000
 #: Bits of the filter that picks the documents whose sets are needed; bounds what is broadcast.
 FILTER_BITS = 1 << 25
-#: Members of a tile that are compared at once.
-BLOCK = 256
+#: Members of a tile that are compared at once; with more than a quarter of that outside a tile's
+#: main component, pivots come first.
+BLOCK = 512
+#: Rows of one Arrow batch: texts and sets are long, and a batch stands in the worker and in the JVM.
+BATCH_ROWS = 1_000
+#: Shingles that a task counts at once.
+COUNTED = 2_000_000
 #: Bits of a shingle's hash that group documents; chance meetings are found out later.
 GROUP_BITS = np.uint64(24)
 
@@ -115,7 +120,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for s in shingle_sets([t for _, t in some]):
                     held.append(s)
                     size += len(s)
-                if size > 4_000_000:
+                if size > COUNTED:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -275,40 +280,50 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFra
 
 
 def tiles(table: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
-    """``element, band, id, n`` of every class in every tile of two members or more.
+    """``element, band, id, n, first`` of every class in every tile of two members or more; ``first`` is
+    the tile's smallest member. Of tiles with the same members there is one.
 
     A member stands in the tile of its size band and in the one below, so that sizes that can be
     similar meet in one of them.
+
+    Two similar documents meet in ``least_shared`` elements at least. In one order of all elements, that many
+    less one of the most common ones can be left out of each document: the rarest one that both have
+    comes before all others that both have, and so stays with both.
     """
     rows = table.select(F.explode("firsts").alias("element"), "doc_id", F.col("n_shingles").alias("n"))
     group = Window.partitionBy("element")
-    rows = rows.select("*", F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"))
+    rows = rows.select("*", F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"),
+                       F.count(F.lit(1)).over(group).alias("among"))
     rows = settled(rows.filter("low < high").drop("low", "high"), "meetings")
-    # A document that meets others in fewer elements than a similar one shares with it has none.
-    rows = rows.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter(
-        F.col("met") >= threshold.least_shared(F.col("n")))
-    rows = rows.join(classes, "doc_id").select("element", "id", "n").distinct()
+    # A document that meets others in fewer elements than that has no similar one, and no place here.
+    own = Window.partitionBy("doc_id").orderBy(F.desc("among"), "element")
+    rows = rows.withColumn("place", F.row_number().over(own)).filter(F.col("place") >= threshold.least_shared(F.col("n")))
+    # Dealt by element once: neither the distinct rows nor the tiles of an element move again.
+    rows = rows.join(classes, "doc_id").select("element", "id", "n").repartition("element").distinct()
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(threshold.den / threshold.num)) + F.lit(1e-9))
     rows = rows.select("element", "id", "n", F.explode(F.array(band, band - 1)).alias("band"))
     tile = Window.partitionBy("element", "band")
-    rows = rows.withColumns({"low": F.min("id").over(tile), "high": F.max("id").over(tile)})
-    return settled(rows.filter("low < high").select("element", "band", "id", "n"), "tiles")
+    rows = rows.withColumns({
+        "first": F.min("id").over(tile), "high": F.max("id").over(tile), "size": F.count(F.lit(1)).over(tile),
+        "sum": F.sum("n").over(tile), "mark": F.bit_xor(F.xxhash64("id")).over(tile)}).filter("first < high")
+    kinds = rows.filter("id = first").groupBy("first", "high", "size", "sum", "mark").agg(F.min(F.struct("element", "band")).alias("t"))
+    unique = kinds.groupBy(F.col("t.element").alias("element")).agg(F.collect_set("t.band").alias("bands"))
+    kept = rows.join(unique, "element").filter(F.array_contains("bands", F.col("band")))
+    return settled(kept.select("element", "band", "id", "n", "first"), "tiles")
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``members`` of the tiles that hold several components, with ``label`` and the tile's ``main``.
 
-    ``main`` is the component of the smallest member. Tiles with the same members are one.
+    ``main`` is the component of the smallest member.
     """
     plain = members.select("element", "band", "id", "n")
     named = plain.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "label", F.coalesce("component", "id")).drop("component")
     kinds = named.groupBy("element", "band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("id", "label"))["label"].alias("main"),
-        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("size"))
-    unique = kinds.filter("low < high").groupBy("sum", "size", "main").agg(F.min(F.struct("element", "band")).alias("t"))
-    unique = unique.select("t.element", "t.band", "main", "size")
-    return settled(named.join(unique, ["element", "band"]), "open-tiles")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "id").alias("main"), F.count(F.lit(1)).alias("size"))
+    several = kinds.filter("low < high").select("element", "band", "main", "size")
+    return settled(named.join(several, ["element", "band"]), "open-tiles")
 
 
 def pivot_pairs(members: DataFrame) -> DataFrame:
@@ -379,10 +394,10 @@ def block_pairs(rows: DataFrame, threshold: Threshold, best: bool) -> DataFrame:
                     if tile is not None:
                         out.update(likely_partners(*sides, threshold, best))
                     tile, sides = key, ([], [])
+                    if len(out) > 100_000:
+                        yield pairs_batch(out)
+                        out = set()
                 sides[side].append(row)
-            if len(out) > 100_000:
-                yield pairs_batch(out)
-                out = set()
         if tile is not None:
             out.update(likely_partners(*sides, threshold, best))
         yield pairs_batch(out)
@@ -406,7 +421,8 @@ def similar_components(docs: DataFrame, threshold: Threshold | None = None) -> D
     empty one. No link is lost: groups, tiles and bitmaps only spare comparisons that cannot
     succeed or would join what is joined already.
     """
-    with shuffles_freed(docs.sparkSession):
+    rows = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    with shuffles_freed(docs.sparkSession), set_for(docs.sparkSession, rows):
         return linked(docs, threshold or Threshold())
 
 
@@ -418,8 +434,7 @@ def linked(docs: DataFrame, threshold: Threshold) -> DataFrame:
     classes = settled(sized.select("doc_id", "key").join(by_key, "key").select("doc_id", "id"), "classes")
     members = tiles(sized, classes, threshold)
     sets = needed_sets(docs, members.select("id").distinct())
-    low = members.groupBy("element", "band").agg(F.min("id").alias("a"))
-    first = members.join(low, ["element", "band"]).filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    first = members.filter("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(first, sets, threshold)
     # A document's rows, should it have several, are one node.
     same = classes.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
@@ -430,9 +445,9 @@ def linked(docs: DataFrame, threshold: Threshold) -> DataFrame:
         outside = members.filter("label <> main").groupBy("element", "band").count().agg(F.max("count")).first()[0]
         if not outside:
             break
-        # While a tile has more than a block outside its main component, one of them meets all;
-        # then each meets its likeliest partner in other components; at last, all likely ones.
-        if outside > BLOCK and step == 0:
+        # While a tile has many members outside its main component, one of them meets all; then, once,
+        # each meets its likeliest partner in other components; at last, all likely ones.
+        if outside > BLOCK // 4 and step == 0:
             pairs = pivot_pairs(members)
         else:
             step = max(step, 1)
@@ -443,7 +458,7 @@ def linked(docs: DataFrame, threshold: Threshold) -> DataFrame:
             if found:
                 labels = components(links.unionByName(more).unionByName(same), "labels")
             break
-        step += not found
+        step += step == 1 or not found
         links = settled(links.unionByName(more), "links")
     named = labels.select(F.col("node").alias("doc_id"), "component")
     out = table.select("doc_id", "n_shingles").join(named, "doc_id", "left")

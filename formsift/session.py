@@ -56,17 +56,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/formsift/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the queries that run in here."""
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Queries that end in here free their shuffle files at once, not when the driver collects
     garbage. A query that needs them again, such as after a lost executor, repeats its stages."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
+    with set_for(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def settled(df: DataFrame, purpose: str) -> DataFrame:

@@ -342,6 +342,30 @@ def test_near_copies_are_linked_as_by_brute_force(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
 
 
+def test_join_has_one_tile_of_the_same_members(spark):
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    rows = [(i, " ".join(words("common", 30) + words(f"own{i // 2}x", 60)), "a") for i in range(40)]
+    rows = [(i, f"{text} last{i}", s) for i, text, s in rows]
+    sized = ngram_join.set_table(table_of(spark, rows), ngram_join.Threshold())
+    found = ngram_join.tiles(sized, sized.select("doc_id", F.col("doc_id").alias("id")), ngram_join.Threshold())
+    tiles = [tuple(sorted(r.ids)) for r in found.groupBy("element", "band").agg(F.collect_list("id").alias("ids")).collect()]
+    assert len(set(tiles)) == len(tiles) and {(2 * k, 2 * k + 1) for k in range(20)} <= set(tiles)
+
+
+def test_flat_links_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr("formsift.llm.components.star", None)
+    links = spark.createDataFrame([(2, 1), (1, 3), (9, 8), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, components(links, "test").collect())) == [(2, 1), (3, 1), (9, 8)]
+    assert components(links.limit(0), "test").count() == 0
+
+
+def test_join_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    ngram_join.similar_components(table_of(spark, odd_rows()))
+    assert spark.conf.get(key) == before
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.similar_components(table_of(spark, odd_rows()).limit(0)).count() == 0
 
