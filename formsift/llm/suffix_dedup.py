@@ -193,7 +193,8 @@ class Block:
         self.length, self.contexts, self.size = length, [], 0
 
     def add(self, group: list[tuple]) -> None:
-        """Take the contexts of one anchor that share a string with another of them, by its hash."""
+        """Take what the contexts of one anchor share with another of them: of each, the bytes of every run
+        of strings whose hashes others have. What no other has cannot repeat."""
         raw = np.frombuffer(b"".join(c for c, _, _ in group), np.uint8)
         sizes = np.array([len(c) for c, _, _ in group])
         owner = np.repeat(np.arange(len(group)), sizes - self.length + 1)
@@ -202,30 +203,47 @@ class Block:
         hashes = polynomial(raw, self.length)[np.arange(len(owner)) - runs[owner] + base[owner]]
         order = np.lexsort((owner, hashes))
         same = hashes[order][1:] == hashes[order][:-1]
-        for k in np.unique(np.concatenate([owner[order][1:][same], owner[order][:-1][same]])).tolist():
-            self.contexts.append(group[k])
-            self.size += len(group[k][0]) + 1
+        shared = np.zeros(len(owner), bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        edge = np.ones(len(owner) + 1, bool)
+        edge[1:-1] = (owner[1:] != owner[:-1]) | (shared[1:] != shared[:-1])
+        at = np.flatnonzero(edge)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if shared[a]:
+                context, doc_id, start = group[owner[a]]
+                first, stop = a - int(runs[owner[a]]), b - int(runs[owner[a]])
+                self.contexts.append((context[first:stop + self.length - 1], doc_id, start + first))
+                self.size += stop - first + self.length
 
     def repeats(self) -> list[tuple[int, int, int]]:
         """Spans (document, start, end) of the strings that also start earlier."""
         length, text = self.length, b"\0".join(c for c, _, _ in self.contexts)
-        starts, at = {}, 0
-        for context, doc_id, start in self.contexts:
-            for k in range(len(context) - length + 1):
-                starts[at + k] = doc_id, start + k
-            at += len(context) + 1
-        out, equal, last = [], [], None
-        for suffix in [*suffix_array(text), None]:
-            if suffix is not None and suffix not in starts:
-                continue
-            string = text[suffix:suffix + length] if suffix is not None else None
-            if string == last:
-                equal.append(starts[suffix])
-                continue
-            if len(equal) > 1:
-                first = min(equal)
-                out += [x for x in equal if x != first]
-            last, equal = string, [starts[suffix]] if suffix is not None else []
+        counts = np.array([len(c) - length + 1 for c, _, _ in self.contexts])
+        ends = np.cumsum(counts + length)
+        # Of each place in the text: the context whose string starts there, if one does.
+        owner = np.full(len(text), -1)
+        for k, (end, count) in enumerate(zip((ends - length - counts).tolist(), counts.tolist())):
+            owner[end:end + count] = k
+        order = np.array(suffix_array(text), np.int64)
+        order = order[owner[order] >= 0]
+        strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)
+        new = np.ones(len(order), bool)
+        for k in range(1, len(order), 4_096):  # compared in parts, which bounds the copies
+            part = order[k - 1:k + 4_096]
+            new[k:k + 4_096] = (strings[part[1:]] != strings[part[:-1]]).any(axis=1)
+        docs, starts = (np.array([c[n] for c in self.contexts], np.int64) for n in (1, 2))
+        of = owner[order]
+        docs, starts = docs[of], starts[of] + order - (ends - length - counts)[of]
+        equal = np.cumsum(new)
+        rank = np.lexsort((starts, docs, equal))
+        docs, starts, equal = docs[rank], starts[rank], equal[rank]
+        later = np.zeros(len(rank), bool)
+        later[1:] = equal[1:] == equal[:-1]
+        # One place may stand in several contexts; it is no repeat of itself.
+        head = np.flatnonzero(~later)
+        of = np.cumsum(~later) - 1
+        later &= (docs != docs[head][of]) | (starts != starts[head][of])
+        out = zip(docs[later].tolist(), starts[later].tolist())
         spans: list[list[int]] = []
         for doc_id, start in sorted(set(out)):
             if spans and spans[-1][0] == doc_id and start <= spans[-1][2] - length + 1:

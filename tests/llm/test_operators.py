@@ -486,3 +486,15 @@ def test_recall_on_the_test_table(spark):
         want = [i for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
         hits += len(set(want) & {r.vec_id for r in got if r.query_id == q})
     assert hits / (20 * (ids % 20 == 0).sum()) >= 0.9
+
+
+def test_only_shared_bytes_enter_a_suffix_array():
+    rng = random.Random(8)
+    some = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    both = some(120)
+    block = suffix_dedup.Block(100)
+    block.add([(some(30) + both, 5, 0), (both + some(30), 3, 700), (some(150), 4, 9)])
+    assert block.contexts == [(both, 5, 30), (both, 3, 700)]
+    assert block.repeats() == [(5, 30, 150)] and not block.contexts
+    block.add([(b"\0" * 130, 1, 0), (b"\0" * 130, 1, 10)])
+    assert block.repeats() == [(1, 1, 140)]
